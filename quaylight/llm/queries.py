@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .language import op2_language
 from .packing import op4_packing
+from .secrets import op1_secrets
 from .sharding import op9_sharding
 from .topk import OP10_SQL, op10_topk
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
