@@ -132,7 +132,9 @@ def pack(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
         got = pa.Table.from_batches(list(batches), schema=to_arrow(PIECE + ", g long"))
         got = got.sort_by([("g", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
         of = got.column("g").to_numpy()
-        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+        if not len(of):
+            return
+        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         for lo, hi in zip(edges, [*edges[1:], len(of)], strict=True):
             part = got.slice(lo, hi - lo)
             sequence, offset = best_fit(part.column("length").to_numpy(), window)
