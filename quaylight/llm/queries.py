@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontamination
 from .language import op2_language
 from .packing import op4_packing
 from .secrets import op1_secrets
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op6_decontamination": op6_decontamination,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
