@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontamination
+from .jaccard import op8_jaccard
 from .language import op2_language
 from .packing import op4_packing
+from .repeats import op7_repeats
 from .secrets import op1_secrets
 from .sharding import op9_sharding
 from .topk import OP10_SQL, op10_topk
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op6_decontamination": op6_decontamination,
+    "op7_repeats": op7_repeats,
+    "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
