@@ -149,16 +149,17 @@ def fit(train: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS, sl
     return Model([r["lang"] for r in got], np.array([r["centre"] for r in got], np.float32).reshape(-1, WIDTH), np.array([slack * r["low"] for r in got]), idf)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
-    """keep, then lang_pred, score and rejected; only `text` goes into a prediction."""
-    given = docs.select(*keep, F.col("text").alias("_text"))
-    out = given.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+def predict(docs: DataFrame, model: Model, keep: list[Column], with_text: bool = False) -> DataFrame:
+    """keep (and the text), then lang_pred, score and rejected; only `text` goes into a prediction."""
+    given = docs.select(*keep, F.col("text"))
+    out = (given if with_text else given.select(*keep)).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    kept = len(keep) + with_text
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = model.predict(list(strings(batch.column(batch.num_columns - 1))))
             made = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + made, names=out.names)
+            yield pa.RecordBatch.from_arrays(batch.columns[:kept] + made, names=out.names)
 
     return given.mapInArrow(each, out)
 
@@ -167,6 +168,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(fold("doc_id", 4) != 2)
 
 
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text is not rejected; columns as before."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    return predict(docs, model, others, with_text=True).where(~F.col("rejected")).select(*docs.columns)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
