@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, strings, table
 
@@ -152,8 +153,8 @@ def fit(train: DataFrame, per_lang: int = PER_LANG, clusters: int = CLUSTERS, sl
 def predict(docs: DataFrame, model: Model, keep: list[Column], with_text: bool = False) -> DataFrame:
     """keep (and the text), then lang_pred, score and rejected; only `text` goes into a prediction."""
     given = docs.select(*keep, F.col("text"))
-    out = (given if with_text else given.select(*keep)).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     kept = len(keep) + with_text
+    out = T.StructType(given.schema.fields[:kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
