@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontamination
 from .jaccard import op8_jaccard
+from .katz import op5_katz
 from .language import op2_language
 from .packing import op4_packing
 from .repeats import op7_repeats
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language": op2_language,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_katz": op5_katz,
     "op6_decontamination": op6_decontamination,
     "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
