@@ -46,14 +46,29 @@ ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "і": "i", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz",
 }
 SEPARATORS = ".-_*~·,'/\\ \t"
-SWAP, REPEAT, SKIP, ANY = 1.0, 0.4, 0.3, 3.5
-WORD = re.compile(r"[^\W\d_]+")
-MARK = re.escape("".join(k for k in ALIKE if not k.isalpha()))
-#: A word with a look-alike in it; letters with separators between each; a letter several times in a row.
-DISGUISED = re.compile(rf"(?<![\w])(?=[^\s]*[^\W\d_])(?=[^\s]*[{MARK}0-9а-яі])[\w{MARK}]{{3,40}}")
-SPACED = re.compile(r"(?<![\w])[\w@$!|+*](?:[ .\-_*~·]{1,2}[\w@$!|+*]){2,24}(?![\w])")
-DOUBLED = re.compile(r"(.)\1+")
-LONG_RUN = re.compile(r"([^\W\d_])\1\1")
+SWAP, REPEAT, SKIP, ANY, LONGEST = 1.0, 0.4, 0.3, 3.5, 24
+MARKS = b"@$!|+(<*#"
+EDGES = "!|*#+(<"
+#: Letters one by one: classes of characters, see CLASS.
+SPACED = re.compile(rb"(?<![a0])[a0](?:[ .]{1,2}[a0]){2,24}(?![a0])")
+
+
+def _classes() -> tuple[bytes, bytes]:
+    """CLASS: a for letters (and all bytes beyond ASCII), 0 for digits and marks, '.' for separators, blank, ',' for the rest. WORDS: all but letters become blanks."""
+    kind, words = bytearray(b"," * 256), bytearray(b" " * 256)
+    for i in range(256):
+        if i > 127 or chr(i).isalpha():
+            kind[i], words[i] = ord("a"), i
+        elif chr(i).isdigit() or i in MARKS:
+            kind[i] = ord("0")
+        elif chr(i) in " \t\n\r":
+            kind[i] = ord(" ")
+        elif chr(i) in ".-_~":
+            kind[i] = ord(".")
+    return bytes(kind), bytes(words)
+
+
+CLASS, LETTERS = _classes()
 
 
 def _symbols() -> np.ndarray:
@@ -129,11 +144,16 @@ def restore(word: str, model: list, paths: int = PATHS) -> list[str]:
 
 
 class Restorer:
-    """Words of a text, plain and restored. squeezed: lexicon words without doublings, to which doubled words are held."""
+    """Words of a text, plain and restored. A word that repeats letters of a lexicon word is held to that word."""
 
     def __init__(self, model: np.ndarray, lexicon: Iterable[str] = ()) -> None:
-        self.model, self.known = model.tolist(), {}
-        self.squeezed = {DOUBLED.sub(r"\1", w) for w in lexicon}
+        self.model, self.known, self.doubled = model.tolist(), {}, {}
+        for word in lexicon:
+            for i in range(len(word)):
+                for j in range(i, len(word)):
+                    w = word[: i + 1] + word[i : j + 1] + word[j:] if j > i else word[: i + 1] + word[i:]
+                    self.doubled[w.encode()] = word
+        self.lexicon = {w.encode() for w in lexicon}
 
     def decoded(self, word: str) -> list[str]:
         got = self.known.get(word)
@@ -143,37 +163,75 @@ class Restorer:
             got = self.known[word] = restore(word, self.model)
         return got
 
-    def words(self, text: str) -> set[str]:
-        low = text.lower()
-        out = set(WORD.findall(low))
-        for m in DISGUISED.finditer(low):
-            out.update(self.decoded(m.group().strip("!|*#+(<.")))
-            out.update(self.decoded(m.group()))
-        for m in SPACED.finditer(low):
-            out.update(self.decoded(m.group()))
-        if LONG_RUN.search(low):
-            for m in LONG_RUN.finditer(low):
-                lo, hi = m.start(), m.end()
-                while lo and low[lo - 1].isalpha():
+    def disguised(self, low: bytes) -> set[bytes]:
+        """Stretches that look disguised: letters next to look-alikes, letters one by one, a letter three times in a row."""
+        kind, out = low.translate(CLASS), set()
+        for sign in (b"a0", b"0a"):
+            at = kind.find(sign)
+            while at >= 0:
+                lo, hi = at, at + 2
+                while lo and kind[lo - 1] in b"a0":
+                    lo -= 1
+                while hi < len(kind) and kind[hi] in b"a0":
+                    hi += 1
+                if hi - lo <= LONGEST:
+                    out.add(low[lo:hi])
+                at = kind.find(sign, hi)
+        if b" a a" in kind or b".a." in kind or b" a 0" in kind or b" 0 a" in kind:
+            out.update(low[m.start() : m.end()] for m in SPACED.finditer(kind))
+        b = np.frombuffer(low, dtype=np.uint8)
+        if len(b) > 2:
+            same = b[1:] == b[:-1]
+            for at in np.flatnonzero(same[1:] & same[:-1] & (b[2:] >= 97) & (b[2:] <= 122)).tolist():
+                lo = hi = at
+                while lo and kind[lo - 1] == 97:
                     lo -= 1
-                while hi < len(low) and low[hi].isalpha():
+                while hi < len(kind) and kind[hi] == 97:
                     hi += 1
-                if hi - lo <= 60:
-                    out.update(self.decoded(low[lo:hi]))
-        if self.squeezed:
-            for w in [w for w in out if DOUBLED.search(w) and DOUBLED.sub(r"\1", w) in self.squeezed]:
-                out.update(self.decoded(w))
+                if hi - lo <= LONGEST:
+                    out.add(low[lo:hi])
+        return out
+
+    def restored(self, low: bytes) -> set[str]:
+        out: set[str] = set()
+        for raw in self.disguised(low):
+            word = raw.decode("utf-8", "replace")
+            # Marks at the ends are decoration where they are repeated or none that stands for a first letter.
+            bare = word.rstrip(EDGES).lstrip("!|*#+(<") if word.strip("$@" + EDGES) else ""
+            bare = re.sub(r"^(.)\1+(?=[^\W\d_])", r"\1", bare) if bare[:1] in ("$", "@") else bare
+            bare = re.sub(r"[$@]{2,}$", "", bare)
+            if bare and not bare.isdigit():
+                out.update(self.decoded(bare) if not bare.isalpha() or re.search(r"(.)\1\1", bare) else (bare,))
+        return out
+
+    def words(self, text: str) -> set[str]:
+        low = text.lower().encode("utf-8", "replace")
+        return {w.decode("utf-8", "replace") for w in low.translate(LETTERS).split()} | self.restored(low)
+
+    def hits(self, text: str) -> set[str]:
+        """Lexicon words of a text."""
+        low = text.lower().encode("utf-8", "replace")
+        plain = set(low.translate(LETTERS).split())
+        out = {w.decode() for w in self.lexicon & plain}
+        out.update(self.doubled[w] for w in self.doubled.keys() & plain)
+        for w in self.restored(low):
+            w = w.encode("utf-8", "replace")
+            if w in self.lexicon:
+                out.add(w.decode())
+            elif w in self.doubled:
+                out.add(self.doubled[w])
         return out
 
 
-def word_weights(train: DataFrame, chars: np.ndarray, fit_rows: int = FIT_ROWS, least: int = LEAST) -> tuple[dict[str, float], float]:
-    """Weights of lexicon words and the base log-odds, from rows (doc_id, text, toxic)."""
-    sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+def word_weights(docs: DataFrame, labels: DataFrame, chars: np.ndarray, fit_rows: int = FIT_ROWS, least: int = LEAST) -> tuple[dict[str, float], float]:
+    """Weights of lexicon words and the base log-odds, from docs (doc_id, text) and labels (doc_id, toxic), one for each doc_id."""
+    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     if not sizes.get(0) or not sizes.get(1):
         return {}, math.log(BASE / (1 - BASE))
     share = {k: min(1.0, fit_rows / v) for k, v in sizes.items()}
     of = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    drawn = train.where(F.when(F.col("toxic") == 1, of < share[1] * 1_000_000).when(F.col("toxic") == 0, of < share[0] * 1_000_000).otherwise(False))
+    few = labels.where(F.when(F.col("toxic") == 1, of < share[1] * 1_000_000).when(F.col("toxic") == 0, of < share[0] * 1_000_000).otherwise(False))
+    drawn = docs.join(F.broadcast(few), "doc_id")  # about fit_rows labels of each class at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = Restorer(chars), {0: Counter(), 1: Counter()}
@@ -202,8 +260,8 @@ def word_weights(train: DataFrame, chars: np.ndarray, fit_rows: int = FIT_ROWS,
     # Rates, not counts, are compared: the classes are drawn at different shares. A word is in the lexicon if
     # even with two more clean texts its rate among toxic texts is four times that among clean ones.
     rate = (F.col("toxic") / n[1]) / ((F.col("clean") + 2) / n[0])
-    few = both.where((F.col("toxic") >= max(least, SHARE * n[1])) & (rate >= 4)).orderBy(F.desc("toxic"), "word").limit(50_000).collect()
-    weights = {r["word"]: math.log(((r["toxic"] + 0.1) / n[1]) / ((r["clean"] + 0.1) / n[0])) for r in few}
+    chosen = both.where((F.col("toxic") >= max(least, SHARE * n[1])) & (rate >= 4)).orderBy(F.desc("toxic"), "word").limit(50_000).collect()
+    weights = {r["word"]: math.log(((r["toxic"] + 0.1) / n[1]) / ((r["clean"] + 0.1) / n[0])) for r in chosen}
     return {w: x for w, x in weights.items() if x >= 3.5}, math.log(BASE / (1 - BASE))
 
 
@@ -211,9 +269,9 @@ def score(docs: DataFrame, chars: np.ndarray, weights: dict[str, float], base: f
     """doc_id, held_out and score; only `text` goes into a score."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, lexicon = Restorer(chars, weights), weights.keys()
+        reader = Restorer(chars, weights)
         for batch in batches:
-            made = [1 / (1 + math.exp(-min(30.0, base + sum(weights[w] for w in lexicon & reader.words(t or ""))))) for t in strings(batch.column(2))]
+            made = [1 / (1 + math.exp(-min(30.0, base + sum(weights[w] for w in reader.hits(t or ""))))) for t in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text").mapInArrow(each, "doc_id long, held_out boolean, score double")
@@ -222,7 +280,6 @@ def score(docs: DataFrame, chars: np.ndarray, weights: dict[str, float], base: f
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.join(labels.hint("merge"), "doc_id")
     chars = character_model(docs)
-    weights, base = word_weights(train, chars)
+    weights, base = word_weights(docs, labels, chars)
     return score(docs, chars, weights, base).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
