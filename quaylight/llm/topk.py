@@ -99,9 +99,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as t from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as t from embeddings
   where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
   select q.vec_id as query_id, r.vec_id, list_dot_product(q.t, r.t)::bigint as score
   from v q join v r on q.vec_id <> r.vec_id where q.vec_id % 50 = 0),
