@@ -1 +1 @@
-
+"""Queries over concrete tables."""
