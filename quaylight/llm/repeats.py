@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import mix, partitions_for, store, strings, table
 
 SPAN, GRAM, HOT, MOST, READS, STRETCH = 200, 64, 256, 100_000, 16_384, 1 << 19
-U = np.uint64
+U, NULL = np.uint64, np.iinfo(np.int64).min
 BASE = 0x5851F42D4C957F2D
 REPEATED, READ, SAMPLE, COUNTED, COUNTED_SAMPLE = 1, 2, 3, 4, 5
 
@@ -307,23 +307,62 @@ def compared_reads(affected: DataFrame) -> DataFrame:
     return cut_reads.repartition(partitions_for(affected.sparkSession), "deal").sortWithinPartitions("deal").mapInArrow(compare, FOUND)
 
 
+WINDOW = "w long, doc_id long, h long, first int, last int, way int"
+
+
 def compared_windows(affected: DataFrame) -> DataFrame:
-    """Repeated windows of the runs of frequent anchors, by counts of their hashes."""
+    """Repeated windows of the runs of frequent anchors, by counts of their hashes.
+
+    What a task sees twice is settled there; of each such window one stands for it elsewhere, and
+    only the others are left to meet by hash.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in WINDOW.split(", ")]
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            w, doc, h, first, way = (np.concatenate([x[c] for x in held]) for c in range(5))
+            _, one, of, n = np.unique(w, return_index=True, return_inverse=True, return_counts=True)
+            twice = n[of] > 1
+            stand = np.zeros(len(w), bool)
+            stand[one[n > 1]] = True
+            for use, kind in (((way == COUNTED) & twice, REPEATED), (~twice, 0), (stand, COUNTED_SAMPLE)):
+                at = np.flatnonzero(use)
+                kinds = way[at] if not kind else np.full(len(at), kind, np.int32)
+                if kind == REPEATED and len(at):  # neighbouring windows of a run make one row
+                    order = at[np.lexsort((first[at], h[at], doc[at]))]
+                    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1]) | (first[order][1:] > first[order][:-1] + 1)]
+                    starts = np.flatnonzero(new)
+                    ends = np.r_[starts[1:], len(order)] - 1
+                    at, last, kinds = order[starts], first[order[ends]], kinds[: len(starts)]
+                else:
+                    last = first[at]
+                for lo in range(0, len(at), 100_000):
+                    p = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(w[at[p]]), pa.array(doc[at[p]], mask=doc[at[p]] == NULL), pa.array(h[at[p]]), pa.array(first[at[p]]), pa.array(last[p]), pa.array(kinds[p])], names=names)
+
+        held, size = [], 0
         for batch in batches:
             for doc, h, text, own in zip(*(batch.column(c) for c in range(4)), strict=True):
-                b, use = raw(text.as_py()), [r for r in own.as_py() if r["way"] in (COUNTED, COUNTED_SAMPLE)]
+                use = [r for r in own.as_py() if r["way"] in (COUNTED, COUNTED_SAMPLE)]
+                b, name = raw(text.as_py()), NULL if doc.as_py() is None else doc.as_py()
                 for r in use:
                     n = r["last"] - r["first"] + 1
                     w = mix(Hashed(b[r["first"] : r["last"] + SPAN]).at(np.arange(n), SPAN)).view(np.int64)
-                    arrays = [pa.array(w), pa.array([doc.as_py()] * n, pa.int64()), pa.array([h.as_py()] * n, pa.int64()), pa.array(np.arange(r["first"], r["last"] + 1, dtype=np.int32)), pa.array(np.full(n, r["way"], np.int32))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["w", "doc_id", "h", "first", "way"])
+                    held.append((w, np.full(n, name), np.full(n, h.as_py()), np.arange(r["first"], r["last"] + 1, dtype=np.int32), np.full(n, r["way"], np.int32)))
+                    size += n
+            if size > 2_000_000:
+                yield from sent()
+                held, size = [], 0
+        if held:
+            yield from sent()
 
     hot = affected.where(F.exists("runs", lambda r: r["way"].isin(COUNTED, COUNTED_SAMPLE))).select("doc_id", "h", "text", "runs")
-    windows = hot.mapInArrow(cut, "w long, doc_id long, h long, first int, way int")
-    twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return windows.where(F.col("way") == COUNTED).join(twice.hint("merge"), "w").select("doc_id", "h", "first", F.col("first").alias("last"))
+    windows = store(hot.mapInArrow(cut, WINDOW), "windows")
+    open_ = windows.where(F.col("way") != REPEATED)
+    twice = open_.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    met = open_.where(F.col("way") == COUNTED).join(twice.hint("merge"), "w")
+    return met.unionByName(windows.where(F.col("way") == REPEATED)).select("doc_id", "h", "first", "last")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
