@@ -431,7 +431,7 @@ def a10_confusion(predictions):
     return me.confusion(predictions, ["split"]).select("split", "n", "positives", r6("precision"), r6("recall"), r6("f1"))
 
 
-@query("select a.split, round(avg(case when a.p > b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end), 6) as roc_auc from {predictions} a join {predictions} b on a.split = b.split and a.y = 1 and b.y = 0 group by a.split")
+@query("select s.split, m.roc_auc from (select distinct split from {predictions}) s left join (select a.split, round(avg(case when a.p > b.p then 1.0 when a.p = b.p then 0.5 else 0.0 end), 6) as roc_auc from {predictions} a join {predictions} b on a.split = b.split and a.y = 1 and b.y = 0 group by a.split) m on m.split = s.split")
 def a11_roc_auc(predictions):
     return me.roc_auc(predictions, ["split"]).select("split", r6("roc_auc"))
 
@@ -439,7 +439,7 @@ def a11_roc_auc(predictions):
 AP = "s as (select split, p, sum(y) as pos, count(*) as n from {predictions} group by split, p), c as (select *, sum(pos) over w as tp, sum(n) over w as seen from s window w as (partition by split order by p desc))"
 
 
-@query(f"with {AP} select split, round(sum(tp / seen * pos) / sum(pos), 6) as average_precision from c group by split")
+@query(f"with {AP} select split, case when sum(pos) > 0 and sum(n) > sum(pos) then round(sum(tp / seen * pos) / sum(pos), 6) end as average_precision from c group by split")
 def a12_average_precision(predictions):
     return me.average_precision(predictions, ["split"]).select("split", r6("average_precision"))
 

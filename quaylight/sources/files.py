@@ -87,7 +87,7 @@ def bbox_subset_job(spark: SparkSession, paths: dict[str, str], box: dict[str, f
     days = [(day, *read_positions_parquet(spark, path, day, box)) for day, path in paths.items()]
     positions = reduce(DataFrame.unionByName, [p.withColumn("day", F.lit(day).cast("date")) for day, p, _ in days])
     positions.write.mode("overwrite").partitionBy("day").parquet(out)
-    kept = spark.read.parquet(out)
+    kept = spark.read.schema(positions.schema).parquet(out)
     print_ = F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.sha2(F.to_json(F.struct("mmsi", "at", "lat", "lon", "sog")), 256)))), 256)
     manifest = kept.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("positions"), print_.alias("sha256"))
     quality = reduce(DataFrame.unionByName, [q.withColumn("day", F.lit(day)) for day, _, q in days])
