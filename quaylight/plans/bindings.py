@@ -48,6 +48,12 @@ VIEWS = {
     "cases": f"""select o_orderkey as id, o_custkey as company_id, case when o_orderstatus = 'F' then 'historical' else 'ongoing' end as reported_status, cast(o_orderdate as date) as event_start,
         MICROS(1702000000000000 + (o_orderkey % 60) * {DAY}) as published_at from {{orders}}""",
     "snapshots": """select concat('s', cast(max(event_id) as string)) as snapshot_id, MICROS(max(US[ts])) as as_of from {events} group by floor(US[ts] / 21600000000)""",
+    "runs": """select cast(cast(ts as date) as string) as id, min(US[ts]) as started_us, max(US[ts]) as finished_us, sum(case when event_type = 'error' then 1 else 0 end) as errors,
+        sum(case when event_type = 'purchase' then 1 else 0 end) as productive from {events} where event_id % 5 = 0 group by cast(ts as date)""",
+    "models": f"""select s_suppkey as id, case when s_suppkey % 4 = 0 then 'simulated' else 'real' end as data_basis, s_suppkey % 9 <> 0 as schema_ok, true as basis_ok,
+        case when s_suppkey % 5 = 0 then 'no_news' else 'full' end as ablation, s_suppkey % 7 <> 0 as lineage_ok, 1 + s_suppkey % 31 as steps, 90 as train_n, 40 as train_positives,
+        30 as validation_n, s_suppkey % 8 as validation_positives, 30 as test_n, 10 as test_positives, round(s_acctbal / 10000, 6) as validation_brier, 0.25 as constant_brier,
+        MICROS(1704067200000000 + (s_suppkey * 13 % 50) * {DAY}) as trained_at, false as is_active from {{supplier}}""",
     "pixels_before": "select cast(l_linenumber as string) as scene_id, l_orderkey as row, min(l_partkey % 10) as col, min(l_quantity) / 50 as red, min(l_extendedprice) / 100000 as near, min(l_quantity) > 5 as valid from {lineitem} group by l_linenumber, l_orderkey",
     "pixels_after": "select cast(l_linenumber as string) as scene_id, l_orderkey as row, min(l_partkey % 10) as col, max(l_discount) * 10 as red, max(l_tax) * 10 as near, max(l_quantity) < 48 as valid from {lineitem} group by l_linenumber, l_orderkey",
 }

@@ -566,3 +566,82 @@ def p10_position_quality(positions):
 @query(f"select mmsi, count(*) as n from (select distinct mmsi, \"at\", lat, lon from {{positions}} where {VALID} and {INSIDE}) group by mmsi")
 def w11_deduplicated_positions(positions):
     return deduplicated_positions(classify_positions(positions, BOX)).groupBy("mmsi").agg(F.count("*").alias("n"))
+
+
+@query("select id, case when errors = 0 then 'success' when productive > 0 then 'partial' else 'failed' end as status, errors::bigint as errors from {runs} order by started_us desc, id desc limit 20")
+def q5_runs(runs):
+    rows = runs.withColumn("status", ev.run_status(F.col("errors"), F.col("productive")))
+    return re_.page(rows, [F.desc("started_us"), F.desc("id")], 1, 20).select("id", "status", F.col("errors").cast("long").alias("errors"))
+
+
+EGO = "e as (select distinct * from {edges}), n as (select 3::bigint as id, 0 as hops union all select distinct dst, 1 from e where src = 3 and dst <> 3), l as (select *, row_number() over (partition by company_id order by computed_at desc, id desc) as k from {scores})"
+
+
+@query(f"with {EGO} select n.id, n.hops, c.name, round(l.score, 6) as score from n join {{companies}} c on c.id = n.id left join l on l.company_id = n.id and l.k = 1")
+def q6_ego_graph(edges, companies, scores):
+    return sv.ego_graph(edges, companies, scores, 3, 1, "downstream")[0].select(F.col("id"), F.col("hops"), "name", r6("score"))
+
+
+BLOCKED = """case when not schema_ok then 'schema or basis' when ablation <> 'full' then 'not the full model' when not lineage_ok then 'lineage' when not steps between 2 and 30 then 'steps'
+when not validation_positives between 1 and 29 then 'split sizes or classes' when not validation_brier < constant_brier then 'no better than a constant' end"""
+
+
+@query(f"select id, {BLOCKED} as reason from {{models}} where data_basis = 'real' order by trained_at desc, id desc limit 100")
+def q8_models(models):
+    return mo.models_view(models, "real").select("id", "reason")
+
+
+@query("select coalesce(reason, 'usable') as reason, count(*) as models from (select " + BLOCKED + " as reason from {models}) group by 1")
+def p13_eligibility(models):
+    return models.withColumn("reason", F.coalesce(mo.eligibility(), F.lit("usable"))).groupBy("reason").agg(F.count("*").alias("models"))
+
+
+@query("select w.ticker, coalesce(c.name, '') as name, case when c.name is null then 'unknown ticker' else '' end as message from (select distinct concat('C', cast(o_custkey + o_orderkey % 3 * 700 as string)) as ticker from {orders}) w left join {companies} c on c.ticker = w.ticker".replace("{orders}", "orders"))
+def j13_tickers(orders, companies):
+    wanted = orders.select(F.expr("concat('C', cast(o_custkey + o_orderkey % 3 * 700 as string))").alias("ticker")).distinct()
+    found, missing = re_.resolve_tickers(wanted, companies.select("ticker", "name"))
+    return found.select("ticker", "name", F.lit("").alias("message")).unionByName(missing.select("ticker", F.lit("").alias("name"), "message"))
+
+
+@query("select o_custkey as cik, arg_max(o_orderkey, struct_pack(p := case when o_orderstatus = 'F' then 1 else 0 end, d := o_orderdate, a := o_orderkey)) as accession from orders group by o_custkey")
+def t4_latest_filings(orders):
+    from ..sources.files import latest_filing
+
+    rows = orders.select(F.col("o_custkey").alias("cik"), F.col("o_orderdate").alias("filing_date"), F.col("o_orderkey").alias("accession"), "o_orderstatus")
+    recent, older = rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), rows.where("o_orderstatus <> 'F'").drop("o_orderstatus")
+    return latest_filing(recent, older, ["cik"]).select("cik", "accession")
+
+
+@query("select id, ticker from {companies} order by case ticker when 'C9' then 1 when 'C5' then 2 else 3 end, ticker limit 25 offset 1")
+def s12_universe(companies):
+    from ..sources.files import read_universe
+
+    return read_universe(companies.select("id", "ticker"), ["C9", "C5"], 25, 1)
+
+
+@query(f"with {MEASURED} select source_type, count(*) as n, round(avg(value), 6) as value from v where value is not null group by source_type")
+def p9_measurements(signals, links):
+    got = fe.visible_measurements(signals, now())
+    return got.groupBy("source_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("value"))
+
+
+@query(f"with {CHAIN} select distinct r.id from reach r where (select count(*) from (select id, min(m) as label from reach group by id) a join (select id, min(m) as label from reach group by id) b on a.label = b.label where a.id = r.id and b.id % 10 = 1) > 0")
+def u5_observed_components(edges):
+    kept = edges.where("(src + dst) % 23 = 0")
+    seen = kept.select(F.col("src").alias("id")).union(kept.select("dst")).distinct().where("id % 10 = 1")
+    return gr.observed_components(kept, seen).select("id")
+
+
+@query("select id, case when id % 3 = 0 then 'changed ' || name else name end as name, case when id % 3 = 0 then case when substr(cast(id as string), 1, 2) in ('35', '36') then 'Electronics' when substr(cast(id as string), 1, 2) in ('13', '29', '49') then 'Energy' else 'Other' end else industry end as industry, case when id % 3 = 0 then null else country end as country from {companies}")
+def k2_upsert_companies(companies):
+    profiles = companies.where("id % 3 = 0").select("cik", F.concat(F.lit("changed "), "name").alias("name"), F.col("id").cast("string").alias("sic"))
+    got = ev.upsert_company(companies.select(F.col("id").cast("string").alias("id"), "name", "cik", "industry", "country"), profiles)
+    return got.select(F.col("id").cast("long").alias("id"), "name", "industry", "country")
+
+
+@query("with d as (select snapshot_id, as_of, as_of::date as day from (select arg_max(snapshot_id, as_of) as snapshot_id, max(as_of) as as_of from {snapshots} group by as_of::date)), l as (select l.doc_id as company_id, l.toxic as label, d.* from labels l join d on l.doc_id % 30 = day(d.day) - 1) select l.snapshot_id, count(*) as n, sum(label)::bigint as positives from l join d b on b.day = l.day - 1 group by l.snapshot_id")
+def m4_examples(snapshots, labels):
+    days = fe.last_of_day(snapshots)
+    marked = labels.join(days, F.col("doc_id") % 30 == F.dayofmonth("day") - 1).select("snapshot_id", "as_of", F.col("doc_id").alias("company_id"), F.col("toxic").alias("label"), F.expr("as_of + interval 7 days as outcome_end"), F.expr("as_of + interval 7 days as available_at"))
+    made, _ = fe.examples(days, marked, 2)
+    return made.select("snapshot_id", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x["label"]).alias("positives"))
