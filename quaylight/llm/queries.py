@@ -8,7 +8,7 @@ from .katz import op5_katz
 from .language import op2_language
 from .packing import op4_packing
 from .repeats import op7_repeats
-from .secrets import op1_secrets
+from .secrets import OP1_SQL, op1_secrets
 from .sharding import op9_sharding
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op3_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
-SQL = {"op10_topk": OP10_SQL}
+SQL = {"op1_secrets": OP1_SQL, "op10_topk": OP10_SQL}

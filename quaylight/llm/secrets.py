@@ -147,3 +147,36 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)
     changed = both.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(*docs.columns)
+
+
+def _sql() -> str:
+    """op1_secrets for DuckDB: the same patterns, sums and range frames."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    parts, least, roles, strong, names = [], [], [], [], []
+    for n, (kind, (role, sure, pattern, size, group)) in enumerate(KINDS.items()):
+        hits = f"regexp_extract_all(t, {quoted(pattern)})"
+        parts.append(f"select rid, {n} as k, unnest(range(len({hits}))) as i, unnest({hits}) as m, unnest(string_split_regex(t, {quoted(pattern)})[1:len({hits})]) as gap from d")
+        value = f"length(regexp_extract(m, {quoted(pattern)}, {group}))"
+        test = f"{value} >= {size}" if group else "true"
+        if kind == "weak_secret":
+            test += f" and ({value} < {KINDS['assign'][3]} or not regexp_matches(m, {quoted(KINDS['assign'][2])}))"
+        least.append(f"when {n} then {test}")
+        roles.append(quoted(role))
+        strong.append("true" if sure else "false")
+        names.append(quoted(kind))
+    near = lambda role: f"bool_or(used and role = '{role}') over (partition by rid order by start range between {SCOPE} preceding and {SCOPE} following)"
+    text = "kind || ':' || start || ':' || stop"
+    count = lambda kind: f"coalesce(count(*) filter (kind = '{kind}' and report), 0) as n_{kind}"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+p as ({" union all ".join(parts)}),
+q as (select *, sum(length(gap) + length(m)) over (partition by rid, k order by i)::bigint as stop, case k {" ".join(least)} end as used from p where m is not null),
+r as (select *, stop - length(m) as start, [{", ".join(roles)}][k + 1] as role, [{", ".join(strong)}][k + 1] as strong, [{", ".join(names)}][k + 1] as kind from q),
+s as (select *, {near("secret")} as s, {near("identifier")} as i2, {near("endpoint")} as e from r),
+u as (select *, used and (strong or (role = 'secret' and (i2 or e)) or (role = 'identifier' and s) or (role = 'endpoint' and s and i2)) as report from s),
+a as (select rid, {", ".join(count(k) for k in STRONG)}, coalesce(string_agg({text}, ',' order by start, k) filter (report and strong), '') as base, coalesce(string_agg({text}, ',' order by start, k) filter (report), '') as spans from u group by rid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in STRONG)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (rid)
+"""
+
+
+OP1_SQL = _sql()
