@@ -150,11 +150,12 @@ def indexes(items: DataFrame) -> list[Index]:
     return made
 
 
-def with_hits(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs with a column `hits`: the items found in each text."""
+def with_hits(docs: DataFrame, items: DataFrame, least: float = LEAST, name: str = "hits") -> DataFrame:
+    """docs with a column of the items found in each text; it replaces one of that name."""
+    docs = docs.drop(name)
     for k, index in enumerate(indexes(items) or [None]):
         shipped = docs.sparkSession.sparkContext.broadcast(index)  # of SLICE bytes of text, about
-        schema = T.StructType([f for f in docs.schema if f.name != "hits"] + [T.StructField("hits", HITS)])
+        schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, HITS)])
         at = docs.columns.index("text")
 
         def find(batches: Iterator[pa.RecordBatch], k=k, shipped=shipped, at=at, names=schema.names) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,7 @@ def with_hits(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFr
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of docs that hold no item; columns as before."""
-    return with_hits(docs, items, least).where(F.size("hits") == 0).select(*docs.columns)
+    return with_hits(docs, items, least, "_items_found").where(F.size("_items_found") == 0).drop("_items_found")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,8 +171,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose text is not rejected; columns as before."""
-    others = [F.col(c) for c in docs.columns if c != "text"]
-    return predict(docs, model, others, with_text=True).where(~F.col("rejected")).select(*docs.columns)
+    others = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    known = predict(docs, model, [F.col(c).alias(k) for c, k in others.items()], with_text=True).where(~F.col("rejected"))
+    return known.select(*[F.col(others[c]).alias(c) if c in others else c for c in docs.columns])
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

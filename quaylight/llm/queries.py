@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontamination
-from .jaccard import op8_jaccard
+from .jaccard import OP8_SQL, op8_jaccard
 from .katz import op5_katz
 from .language import op2_language
 from .packing import op4_packing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
-SQL = {"op1_secrets": OP1_SQL, "op10_topk": OP10_SQL}
+SQL = {"op1_secrets": OP1_SQL, "op8_jaccard": OP8_SQL, "op10_topk": OP10_SQL}

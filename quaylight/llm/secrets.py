@@ -129,9 +129,9 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     Rows with spans meet them by (doc_id, text hash) in a sort-merge join; keys are unique on the
     spans' side.
     """
-    got = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "spans")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(got.hint("merge"), keyed["doc_id"].eqNullSafe(got["_id"]) & (keyed["_hash"] == got["_h"]), "left")
+    got = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_secret_id"), F.col("text_hash").alias("_secret_hash"), F.col("spans").alias("_secret_spans"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = keyed.join(got.hint("merge"), keyed["doc_id"].eqNullSafe(got["_secret_id"]) & (keyed["_text_hash"] == got["_secret_hash"]), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -142,10 +142,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             F.greatest(acc["at"], s["end"]).alias("at"),
         )
 
-    done = F.aggregate("spans", start, step)
+    done = F.aggregate("_secret_spans", start, step)
     masked = F.concat(done["out"], F.col("text").substr((done["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)
-    changed = both.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    text = F.when(F.col("_secret_spans").isNull(), F.col("text")).otherwise(masked)
+    changed = both.withColumn("text", text).withColumn("n_chars", F.when(F.col("_secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return changed.select(*docs.columns)
 
 
