@@ -6,15 +6,19 @@ its prefix: two sets with 100 * intersection >= percent * union share a prefix s
 
 Index level. The list of a shingle is sorted by set size and position and read in steps: a block
 of entries whose sizes are out of reach is skipped whole, entries are skipped by the positions of
-the shared shingle (it bounds the overlap left and right of it) and by a 32-bin count sketch of
-each set, which bounds the overlap from above. In long lists one set leads: what passes with the
-leader is settled against it in one step, and only the rest is compared further.
+the shared shingle (it bounds the overlap left and right of it) and by a sketch of each set (counts
+of its shingles in bins of the hash; 32 bins, and four times as many for each fourfold size over
+LONG), which bounds the overlap from above. Long sets send their sketch once to each task, short
+ones with each entry. In long lists one set leads: what passes with the leader is settled against it
+in one step, and only the rest is compared further.
 
 Answer level. What passes makes candidate groups (connected components of the survivors), each
 with all its sets together. Within a group the overlaps of all sets are derived from a common core
-that is counted once, plus the differences of each set to it. A group of more than GROUP sets is
-cut at random into cells of about GROUP; sets that cells settle into the group's main component need
-no further comparison with each other, and the remaining sets are compared with every cell.
+that is counted once, minus what each set lacks of it, plus what few sets share beyond it. A cell
+of a group holds at most about GROUP sets and SHINGLES shingles (a bound on a task's memory); a
+larger group is cut at random into cells. Sets that cells settle into the group's main component
+need no further comparison with each other, and the remaining sets, in parts of OTHERS, are compared
+with every cell.
 
 Only any fixed set of frequent shingles is needed for exactness, so finding it may be rough: tasks
 report what they see twice, and the most frequent MOST of those seen over OFTEN times are sent to
@@ -34,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +47,7 @@ from .common import mix, partitions_for, store, strings, table
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-OFTEN, MOST, SHORT, GROUP, OTHERS, BINS = 100, 500_000, 48, 128, 512, 32
+OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, FEW = 100, 500_000, 48, 2048, 600_000, 1024, 32, 1500, 6
 U = np.uint64
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=U)
 
@@ -84,55 +89,76 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and node (null without a set)."""
+READ = "doc_id long, n_shingles long, node long, shingle long, n long"
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            sets = [shingle_set(t, hashes, words) for t in strings(batch.column(1))]
-            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) if len(s) else None for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "node"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_shingles long, node long")
 
-
-def frequent(docs: DataFrame, words: int, percent: int) -> np.ndarray:
-    """Shingles that many sets have near the start of the plain hash order."""
+def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Two kinds of rows from one pass over the texts: doc_id, n_shingles and node (null without a set) of each
+    row, and (shingle, n) of what a task sees more than once near the start of the plain hash order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
+        names = [x.split()[0] for x in READ.split(", ")]
 
         def seen() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, int))
-            return pa.RecordBatch.from_arrays([pa.array(at[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
+            at, n = at[n > 1].view(np.int64), n[n > 1]
+            none = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(n)], names=names)
 
         for batch in batches:
-            for text in strings(batch.column(0)):
+            sizes, nodes = [], []
+            for text in strings(batch.column(1)):
                 s = shingle_set(text, hashes, words)
+                sizes.append(len(s))
+                nodes.append(identity(s) if len(s) else None)
                 if len(s):
                     held.append(s[: prefix_length(len(s), percent) * 3 // 2 + 8])
                     size += len(held[-1])
-                if size > 4_000_000:
-                    yield seen()
-                    held, size = [], 0
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=names)
+            if size > 4_000_000:
+                yield seen()
+                held, size = [], 0
         yield seen()
 
-    found = docs.select("text").mapInArrow(each, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN)
-    rows = found.orderBy(F.desc("n"), "s").limit(MOST).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(U))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, READ)
+
+
+def frequent(read: DataFrame) -> np.ndarray:
+    """The most frequent shingles, sorted; MOST at most."""
+    found = read.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(MOST).select("shingle").toPandas()
+    return np.sort(rows["shingle"].to_numpy(np.int64).view(U))
+
+
+POSTING = "part int, shingle long, node long, n int, at int, sketch binary"
+
 
+def level(n: np.ndarray | int):
+    """How many times a size is fourfold over LONG: 0 for short sets."""
+    return np.ceil(np.log2(np.maximum(n, LONG) / LONG) / 2).astype(np.int64)
 
-POSTING = "shingle long, node long, n int, at int, sketch binary"
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts by the leading bits of the hash, scaled to a byte and rounded up."""
+    bits = BINS.bit_length() - 1 + 2 * int(level(len(s)))
+    counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(-(-counts // scale(len(s))), 255).astype(np.uint8).tobytes()
 
-def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int) -> DataFrame:
+
+def scale(n):
+    return 1 + n // 200_000
+
+
+def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts: int) -> DataFrame:
+    """Prefix entries, dealt by shingle; rows without a shingle bring the sketch of a long set to a part."""
     shipped = docs.sparkSession.sparkContext.broadcast(often)  # MOST hashes at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = Hashes(), shipped.value
         for batch in batches:
-            parts, known = [], set()
+            found, known = [], set()
             for text in strings(batch.column(0)):
                 s = shingle_set(text, hashes, words)
                 if not len(s) or (node := identity(s)) in known:
@@ -140,33 +166,85 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int) -> Da
                 known.add(node)
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 ordered = np.r_[s[~late], s[late]][: prefix_length(len(s), percent)]
-                step = 1 + len(s) // 4000
-                bins = -(-np.bincount((s >> U(59)).astype(np.int64), minlength=BINS) // step)
-                parts.append((ordered, node, len(s), np.minimum(bins, 255).astype(np.uint8).tobytes()))
-            k = np.array([len(p[0]) for p in parts], dtype=np.int64)
+                to = (mix(ordered) % U(parts)).astype(np.int32)
+                found.append((to, ordered.view(np.int64), np.arange(len(ordered), dtype=np.int32), node, len(s), sketch(s)))
+            if not found:
+                continue
+            long = [f for f in found if level(f[4])]
+            sent = [np.unique(f[0]) for f in long]
+            k, e = np.array([len(f[0]) for f in found]), np.array([len(x) for x in sent], dtype=np.int64)
+            rep = lambda i, kind: np.r_[np.repeat(np.array([f[i] for f in found], kind), k), np.repeat(np.array([f[i] for f in long], kind), e)]  # noqa: E731, B023
+            none = pa.nulls(int(e.sum()), pa.int64())
             made = [
-                pa.array(np.concatenate([p[0] for p in parts]).view(np.int64) if parts else np.zeros(0, np.int64)),
-                pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), k)),
-                pa.array(np.repeat(np.array([p[2] for p in parts], np.int32), k)),
-                pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in k]) if parts else np.zeros(0, np.int32)),
-                pa.array([p[3] for p in parts for _ in range(len(p[0]))], pa.binary()),
+                pa.array(np.concatenate([f[0] for f in found] + sent)),
+                pa.concat_arrays([pa.array(np.concatenate([f[1] for f in found])), none]),
+                pa.array(rep(3, np.int64)),
+                pa.array(rep(4, np.int32)),
+                pa.concat_arrays([pa.array(np.concatenate([f[2] for f in found])), none.cast(pa.int32())]),
+                pa.array([x for f in found for x in [None if level(f[4]) else f[5]] * len(f[0])] + [f[5] for f, x in zip(long, sent, strict=True) for _ in x], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(made, names=["shingle", "node", "n", "at", "sketch"])
+            yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in POSTING.split(", ")])
 
     return docs.select("text").mapInArrow(each, POSTING)
 
 
+def chains(pairs: np.ndarray) -> np.ndarray:
+    """Edges with the same components: in each component, from every node to the next larger one."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = np.arange(len(nodes))
+    while len(at):
+        low = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, label[at[:, 0]], low)
+        np.minimum.at(new, label[at[:, 1]], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    same = label[order][1:] == label[order][:-1]
+    return np.stack([nodes[order[:-1]][same], nodes[order[1:]][same]], axis=1) if len(nodes) else np.zeros((0, 2), np.int64)
+
+
 class Lists:
     """Index lists of a task: entries sorted by (shingle, size, position)."""
 
     def __init__(self, got: pa.Table, percent: int) -> None:
+        brought = got.filter(pc.is_null(got.column("shingle")))
+        got = got.filter(pc.is_valid(got.column("shingle")))
         s, node, n, at = (got.column(c).to_numpy() for c in ("shingle", "node", "n", "at"))
-        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
         order = np.lexsort((node, at, n, s))
-        s, node = s[order], node[order]
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])] if len(s) else np.zeros(0, bool)
+        fresh = np.r_[True, (s[order][1:] != s[order][:-1]) | (node[order][1:] != node[order][:-1])] if len(s) else np.zeros(0, bool)
         order = order[fresh]
-        self.s, self.node, self.n, self.at, self.sketch, self.percent = s[fresh], node[fresh], n[order].astype(np.int64), at[order].astype(np.int64), sketch[order], percent
+        self.s, self.node, self.n, self.at, self.percent = s[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64), percent
+        self.level, self.row = level(self.n), np.zeros(len(order), np.int64)
+        short = got.column("sketch").take(pa.array(order[self.level == 0])).to_pylist()
+        self.row[self.level == 0] = np.arange(len(short))
+        self.sketches = {0: np.frombuffer(b"".join(short), dtype=np.uint8).reshape(-1, BINS)}
+        name, kept = brought.column("node").to_numpy(), brought.column("sketch").to_pylist()
+        of = level(brought.column("n").to_numpy())
+        for k in np.unique(of).tolist():
+            at = np.flatnonzero(of == k)
+            names, first = np.unique(name[at], return_index=True)
+            self.sketches[k] = np.frombuffer(b"".join(kept[x] for x in at[first]), dtype=np.uint8).reshape(len(names), -1)
+            own = self.level == k
+            self.row[own] = np.searchsorted(names, self.node[own])
+
+    def most(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """What the sketches of entries i and j leave as their overlap at most."""
+        out = np.zeros(len(i), dtype=np.int64)
+        li, lj = self.level[i], self.level[j]
+        for p in np.unique(li).tolist():
+            for q in np.unique(lj[li == p]).tolist():
+                at = np.flatnonzero((li == p) & (lj == q))
+                for part in np.array_split(at, 1 + len(at) * self.sketches[max(p, q)].shape[1] // 8_000_000):
+                    x, y = (self.sketches[k][self.row[e[part]]].astype(np.int64) * scale(self.n[e[part]])[:, None] for k, e in ((p, i), (q, j)))
+                    if p != q:  # the finer one is added up to the coarser one's bins
+                        bins = min(x.shape[1], y.shape[1])
+                        x, y = (z.reshape(len(part), bins, -1).sum(axis=2) for z in (x, y))
+                    out[part] = np.minimum(x, y).sum(axis=1)
+        return out
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether sizes, positions and sketches leave entries i and j a chance."""
@@ -176,9 +254,7 @@ class Lists:
         ok &= (np.minimum(a, b) * 100 >= self.percent * np.maximum(a, b))
         at = np.flatnonzero(ok)
         if len(at):
-            x = self.sketch[i[at]].astype(np.int64) * (1 + a // 4000)[at, None]
-            y = self.sketch[j[at]].astype(np.int64) * (1 + b // 4000)[at, None]
-            ok[at] = np.minimum(x, y).sum(axis=1) >= need[at]
+            ok[at] = self.most(i[at], j[at]) >= need[at]
         return ok
 
     def pairs(self) -> np.ndarray:
@@ -200,8 +276,7 @@ class Lists:
         for lo, hi in zip(edges[ends - edges > SHORT], ends[ends - edges > SHORT], strict=True):
             out.append(self.led(np.arange(lo, hi)))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        got = np.sort(got, axis=1)
-        return np.unique(got, axis=0) if len(got) else got
+        return chains(got)
 
     def led(self, at: np.ndarray) -> np.ndarray:
         """A long list: leaders settle what passes with them; every set that a leader leaves is compared with all."""
@@ -232,67 +307,99 @@ class Lists:
         return np.stack([self.node[at[got[:, 0]]], self.node[at[got[:, 1]]]], axis=1)
 
 
-def candidates(index: DataFrame, percent: int) -> DataFrame:
+def candidates(index: DataFrame, percent: int, parts: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
             got = Lists(pa.Table.from_batches(held), percent).pairs()
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    parts = partitions_for(index.sparkSession) * 2
-    return index.repartition(parts, "shingle").mapInArrow(each, "a long, b long")
+    return index.repartition(parts, "part").mapInArrow(each, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
-    """Intersection sizes of all sets with all others: a core that every set has, plus what differs from it."""
+    """Intersection sizes of all sets with all others.
+
+    A shingle that all but a few sets have counts for every pair, less the pairs with a set that
+    lacks it; one that few sets have counts for their pairs alone; only those between go through a
+    dense product.
+    """
     every = [*sets, *(others or [])]
+    total, m = len(every), len(sets)
     flat = np.concatenate(every)
-    row = np.repeat(np.arange(len(every)), [len(s) for s in every])
+    row = np.repeat(np.arange(total, dtype=np.int32), [len(s) for s in every])
     _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
-    core = int((n == len(every)).sum())
-    use = (n > 1) & (n < len(every))
-    keep = use[column]
-    row, column = row[keep], (np.cumsum(use) - 1)[column[keep]]
-    m = len(sets)
-    out = np.full((m, len(others) if others is not None else m), core, dtype=np.int64)
-    width = max(1, min(int(use.sum()), (1 << 23) // len(every)))  # a dense slice of 32 MB at most
     order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for lo in range(0, int(use.sum()), width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        x = np.zeros((len(every), width), dtype=np.float32)
-        x[row[a:b], column[a:b] - lo] = 1
-        out += np.rint(x[:m] @ (x[m:] if others is not None else x[:m]).T).astype(np.int64)
+    row, start = row[order], np.cumsum(n) - n
+    lo = m if others is not None else 0
+    out = np.zeros((m, total - lo), dtype=np.int32)
+    few = max(1, min(FEW, total // 3))
+
+    def pairs(members: np.ndarray) -> None:
+        """One more for each pair of the rows of `members` (columns x k)."""
+        k = members.shape[1]
+        for x in range(k):
+            for y in range(k):
+                i, j = members[:, x], members[:, y]
+                use = (i < m) & (j >= lo)
+                np.add.at(out, (i[use], j[use] - lo), 1)
+
+    for k in range(2, few + 1):
+        at = start[n == k]
+        if len(at):
+            pairs(row[at[:, None] + np.arange(k)])
+    common = np.flatnonzero(n >= max(few + 1, total - few))
+    if len(common):
+        has = np.zeros((len(common), total), dtype=bool)
+        for c, x in enumerate(common):
+            has[c, row[start[x] : start[x] + n[x]]] = True
+        lacks = (~has).sum(axis=0)
+        out += (len(common) - lacks[:m, None] - lacks[None, lo:]).astype(np.int32)
+        c, r = np.nonzero(~has)
+        size = np.bincount(c, minlength=len(common))
+        first = np.cumsum(size) - size
+        for k in range(1, few + 1):
+            at = first[size == k]
+            if len(at):
+                pairs(r[at[:, None] + np.arange(k)])
+    between = np.flatnonzero((n > few) & (n < max(few + 1, total - few)))
+    width = max(1, min(len(between), (1 << 22) // total))  # a dense slice of 16 MB at most
+    for at in range(0, len(between), width):
+        part = between[at : at + width]
+        x = np.zeros((total, len(part)), dtype=np.float32)
+        for c, y in enumerate(part):
+            x[row[start[y] : start[y] + n[y]], c] = 1
+        out += np.rint(x[:m] @ x[lo:].T).astype(np.int32)
     return out
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     a = np.array([len(s) for s in sets])
     b = np.array([len(s) for s in others]) if others is not None else a
-    both = overlaps(sets, others)
-    return np.nonzero(both * 100 >= percent * (a[:, None] + b[None, :] - both))
+    both, found = overlaps(sets, others), []
+    for lo in range(0, len(a), 256):
+        part = both[lo : lo + 256].astype(np.int64)
+        i, j = np.nonzero(part * 100 >= percent * (a[lo : lo + 256, None] + b[None, :] - part))
+        found.append((i + lo, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def verify(sets: DataFrame, percent: int) -> DataFrame:
+def verify(sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links within each (grp, cell): a chain over the neighbours of each set. Rows with role 1 are compared with those of role 0 only."""
 
     def each(part: pd.DataFrame) -> pd.DataFrame:
-        node = part["node"].to_numpy()
-        members = [np.frombuffer(x, dtype=U) for x in part["members"]]
+        node, hashes = part["node"].to_numpy(), Hashes()
+        members = [shingle_set(x, hashes, words) for x in part["text"]]
         asked = np.flatnonzero(part["role"].to_numpy() == 1)
-        found: list[tuple[int, int]] = []
+        found = np.zeros((0, 2), np.int64)
         if len(asked):
             rest = np.flatnonzero(part["role"].to_numpy() == 0)
             if len(rest):
                 i, j = linked([members[x] for x in asked], [members[x] for x in rest], percent)
-                found = list(zip(node[asked[i]], node[rest[j]], strict=True))
+                found = chains(np.stack([node[asked[i]], node[rest[j]]], axis=1))
         elif len(node) > 1:
             i, j = linked(members, None, percent)
-            parent = np.arange(len(node))
-            for x, y in zip(i, j, strict=True):
-                if parent[x] != parent[y]:
-                    found.append((node[x], node[y]))
-                    parent[parent == parent[y]] = parent[x]
+            found = chains(np.stack([node[i], node[j]], axis=1)[i < j])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return sets.groupBy("grp", "cell", "part").applyInPandas(each, "a long, b long")
@@ -301,26 +408,22 @@ def verify(sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = store(fingerprints(docs, words), "sets")
-    nodes = store(base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first")), "nodes")
-    survivors = store(candidates(postings(docs, frequent(docs, words, percent), words, percent), percent).distinct(), "survivors")
+    read = store(read_sets(docs, words, percent), "sets")
+    base = read.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "node")
+    nodes = store(base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "nodes")
+    parts = partitions_for(docs.sparkSession) * 2
+    survivors = store(candidates(postings(docs, frequent(read), words, percent, parts), percent, parts).distinct(), "survivors")
     groups = components(survivors).select(F.col("id").alias("node"), F.col("label").alias("grp"))
-    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    groups = store(groups.join(size.hint("merge"), "grp").join(nodes.hint("merge"), "node"), "groups")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            made = pa.array([shingle_set(t, hashes, words).tobytes() for t in strings(batch.column(3))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["grp", "size", "node", "members"])
+    groups = store(groups.join(nodes.hint("merge"), "node"), "groups")
+    cells = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES))
+    groups = groups.join(groups.groupBy("grp").agg(cells.alias("cells")).hint("merge"), "grp").drop("n")
 
-    one = docs.join(groups.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("grp", "size", "node", "text")
-    sets = one.mapInArrow(members, "grp long, size long, node long, members binary").dropDuplicates(["node"])
-    cells = F.ceil(F.col("size") / GROUP)
-    sets = store(sets.withColumn("cell", F.pmod(F.xxhash64("node"), cells)).withColumn("role", F.lit(0)).withColumn("part", F.lit(0).cast("long")), "members")
-    links = store(verify(sets, percent), "links")
+    # Texts travel in place of their sets, which are twice as large.
+    sets = docs.join(groups.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("grp", "cells", "node", "text")
+    sets = store(sets.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells"))).withColumn("role", F.lit(0)).withColumn("part", F.lit(0).cast("long")), "members")
+    links = store(verify(sets, words, percent), "links")
 
-    large = groups.where(F.col("size") > GROUP)
+    large = groups.where("cells > 1")
     if large.limit(1).count():
         label = components(links).withColumnRenamed("id", "node")
         label = large.select("grp", "node").join(label.hint("merge"), "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
@@ -328,12 +431,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         main = counted.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         open_ = store(label.join(main.hint("merge"), "grp").where("label <> main").select("grp", "node"), "open")
         parts = open_.groupBy("grp").agg(F.ceil(F.count("*") / OTHERS).alias("parts"))
-        rest = sets.where(F.col("size") > GROUP)
+        rest = sets.where("cells > 1")
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
         asked = rest.join(open_.select("node").hint("merge"), "node", "left_semi").join(parts.hint("merge"), "grp")
-        asked = asked.select("grp", "node", "members", every(cells).alias("cell"), F.lit(1).alias("role"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("part"))
-        there = rest.join(parts.hint("merge"), "grp").select("grp", "node", "members", "cell", "role", every(F.col("parts")).alias("part"))
-        links = store(links.union(verify(asked.unionByName(there), percent)), "links")
+        asked = asked.select("grp", "node", "text", every(F.col("cells")).alias("cell"), F.lit(1).alias("role"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("part"))
+        there = rest.join(parts.hint("merge"), "grp").select("grp", "node", "text", "cell", "role", every(F.col("parts")).alias("part"))
+        links = store(links.union(verify(asked.unionByName(there), words, percent)), "links")
 
     label = components(links).withColumnRenamed("id", "node")
     first = label.join(nodes.hint("merge"), "node").groupBy("label").agg(F.min("first").alias("least"))
