@@ -89,12 +89,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-READ = "doc_id long, n_shingles long, node long, shingle long, n long"
+READ = "doc_id long, text_hash long, n_shingles long, node long, shingle long, n long"
 
 
 def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Two kinds of rows from one pass over the texts: doc_id, n_shingles and node (null without a set) of each
-    row, and (shingle, n) of what a task sees more than once near the start of the plain hash order."""
+    """Two kinds of rows from one pass over the texts: doc_id, text_hash, n_shingles and node (null without a
+    set) of each row, and (shingle, n) of what a task sees more than once near the start of the plain hash order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
@@ -104,11 +104,11 @@ def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, int))
             at, n = at[n > 1].view(np.int64), n[n > 1]
             none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(at), pa.array(n)], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(n)], names=names)
 
         for batch in batches:
             sizes, nodes = [], []
-            for text in strings(batch.column(1)):
+            for text in strings(batch.column(2)):
                 s = shingle_set(text, hashes, words)
                 sizes.append(len(s))
                 nodes.append(identity(s) if len(s) else None)
@@ -116,13 +116,13 @@ def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     held.append(s[: prefix_length(len(s), percent) * 3 // 2 + 8])
                     size += len(held[-1])
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=names)
             if size > 4_000_000:
                 yield seen()
                 held, size = [], 0
         yield seen()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, READ)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(each, READ)
 
 
 def frequent(read: DataFrame) -> np.ndarray:
@@ -407,10 +407,13 @@ def verify(sets: DataFrame, words: int, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     read = store(read_sets(docs, words, percent), "sets")
     base = read.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "node")
-    nodes = store(base.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "nodes")
+    # The row that stands for a node: the least doc_id that is known, and its text.
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash"))
+    nodes = read.where(F.col("node").isNotNull()).groupBy("node").agg(row.alias("r"), F.max("n_shingles").alias("n"))
+    nodes = store(nodes.select("node", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("first_hash"), "n"), "nodes")
     parts = partitions_for(docs.sparkSession) * 2
     survivors = store(candidates(postings(docs, frequent(read), words, percent, parts), percent, parts).distinct(), "survivors")
     groups = components(survivors).select(F.col("id").alias("node"), F.col("label").alias("grp"))
@@ -419,7 +422,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     groups = groups.join(groups.groupBy("grp").agg(cells.alias("cells")).hint("merge"), "grp").drop("n")
 
     # Texts travel in place of their sets, which are twice as large.
-    sets = docs.join(groups.withColumnRenamed("first", "doc_id").hint("merge"), "doc_id").select("grp", "cells", "node", "text")
+    sets = docs.join(groups.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("first_hash"))).select("grp", "cells", "node", "text")
     sets = store(sets.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells"))).withColumn("role", F.lit(0)).withColumn("part", F.lit(0).cast("long")), "members")
     links = store(verify(sets, words, percent), "links")
 
@@ -454,3 +457,14 @@ def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     named = jaccard_components(docs, words, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(named.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+OP8_SQL = """
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') as w from documents),
+s as (select distinct rid, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g from d),
+n as (select rid, count(*) as n from s group by rid),
+p as (select a.rid as x, b.rid as y, count(*) as k from s a join s b on a.g = b.g and a.rid < b.rid group by all),
+e as (select x, y from p join n a on a.rid = x join n b on b.rid = y where 100 * k >= 90 * (a.n + b.n - k)),
+r(rid, other) as (select rid, rid from d union select r.rid, case when e.x = r.other then e.y else e.x end from r join e on r.other = e.x or r.other = e.y)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(o.doc_id) from r join d o on o.rid = r.other where r.rid = d.rid) as component_id from d left join n on n.rid = d.rid
+"""

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quaylight.llm import decontaminate, jaccard, katz, language, packing, queries, repeats, secrets, sharding, topk, toxicity
@@ -87,6 +88,7 @@ def test_secrets_query_repeats_rows_and_masks(spark, tmp_path, none):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["op1_secrets"](spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.n_assign, r.spans) for r in got) == [("1", 1, "assign:0:22"), ("1", 1, "assign:0:22"), ("2", 0, ""), ("None", 0, "")]
+    assert secrets.redact(df.withColumn("spans", F.lit(1)).withColumn("copies", F.lit(2))).columns == [*DOC_COLUMNS, "spans", "copies"]
     masked = secrets.redact(df)
     assert masked.columns == DOC_COLUMNS
     assert sorted(str(r.text) for r in masked.collect()) == ["None", "[SECRET] x", "[SECRET] x", "clean"]
@@ -104,6 +106,7 @@ def test_language(spark, none):
     assert all(got[i].lang_pred == k for i, _, k, *_ in rows[:-3])
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (200, 201, 202))
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert language.keep_known(df.withColumn("score", F.lit("x")).withColumn("rejected", F.lit(1)), model).columns == [*DOC_COLUMNS, "score", "rejected"]
     kept = language.keep_known(df, model)
     assert kept.columns == DOC_COLUMNS and kept.count() == 120
     unknown = language.fit(none)
@@ -189,8 +192,9 @@ def test_decontamination(spark, none):
     rows = [(i, prose(rng, 150) + " " + items[i][1].upper() + " " + prose(rng, 150)) for i in range(5)]
     rows += [(10, prose(rng, 500)), (11, None), (12, ""), (13, "One,  TWO"), (14, items[0][1]), (14, items[0][1]), (15, " ".join(items[1][1].split()[:6]))]
     df = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], DOCS + ", hits string")
-    got = sorted((r.doc_id, h.item_id) for r in decontaminate.with_hits(df.drop("hits"), bench).collect() for h in r.hits)
+    got = sorted((r.doc_id, h.item_id) for r in decontaminate.with_hits(df, bench).collect() for h in r.hits)
     assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (13, 92), (14, 0), (14, 0)]
+    assert [r.hits for r in decontaminate.clean(df, bench).collect()] == ["x"] * 4
     clean = decontaminate.clean(df.select(*DOC_COLUMNS), bench)
     assert sorted(r.doc_id for r in clean.collect()) == [10, 11, 12, 15] and clean.columns == DOC_COLUMNS
     assert decontaminate.clean(none, bench).count() == 0
@@ -231,7 +235,7 @@ def test_repeats_in_one_text_and_repeated_rows(spark, monkeypatch):
 def test_jaccard_against_plain(spark, docs, none, words, percent, monkeypatch):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = {i: w for (i, _), w in zip(rows, brute.components(rows, words, percent), strict=True)}
-    for name, value in (("OFTEN", 100), ("OFTEN", 1)):
+    for name, value in (("OFTEN", 100), ("OFTEN", 1), ("LONG", 20)):
         monkeypatch.setattr(jaccard, name, value)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, words, percent).collect()} == want
     assert jaccard.jaccard_components(none).count() == 0
@@ -249,11 +253,11 @@ def test_jaccard_in_large_groups(spark, monkeypatch):
         for _ in range(rng.choice([0, 1, 1, 2, 3])):
             w[rng.randrange(len(w))] = f"e{i}{rng.randrange(9)}"
         rows.append((i, " ".join(w)))
-    rows += [(60, rows[7][1]), (60, rows[7][1])]
+    rows += [(60, rows[7][1]), (60, rows[7][1]), (3, "an id with another text that links with nothing"), (None, rows[3][1] + " more"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = sorted((i, *w) for (i, _), w in zip(rows, brute.components(rows, 3, 90), strict=True))
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()) == want
-    assert len({w[2] for w in want}) > 1
+    want = sorted(str((i, *w)) for (i, _), w in zip(rows, brute.components(rows, 3, 90), strict=True))
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.jaccard_components(df).collect()) == want
+    assert len({w.split()[-1] for w in want}) > 1
 
 
 def test_sharding(spark, docs, none):
