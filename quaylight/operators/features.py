@@ -16,10 +16,16 @@ VISION, NEWS = ["satellite", "viirs"], ["news"]
 STATS = ["value", "count", "present", "age"]
 
 
-def measurement() -> Column:
-    """A signal's value: severity of eligible news, or the squashed metric of a located, documented sensor reading; else null."""
-    get = lambda k: finite(F.get_json_object("extracted", f"$.{k}").try_cast("double"))
-    text = lambda k: F.get_json_object("extracted", f"$.{k}")
+EXTRACTED = "origin string, provenance string, eligible_for_scoring string, surface_change string, relative_radiance_decrease string, vessel_activity_ratio string"
+
+
+def measurement(parsed: Column) -> Column:
+    """A signal's value: severity of eligible news, or the squashed metric of a located, documented sensor reading; else null.
+
+    parsed: the signal's JSON as a struct of EXTRACTED, so that it is read once.
+    """
+    get = lambda k: finite(parsed[k].try_cast("double"))
+    text = lambda k: parsed[k]
     located = (text("origin") == "location_observation") & (F.length(F.coalesce(text("provenance"), F.lit(""))) > 2)
     return finite(
         F.when(F.col("source_type") == "news", F.when(F.coalesce(text("eligible_for_scoring"), F.lit("true")) != "false", F.col("severity")))
@@ -34,7 +40,9 @@ def visible_measurements(signals: DataFrame, as_of: Column) -> DataFrame:
     """Signals known at as_of, inside the window of their source, with a value."""
     known = bitemporal(signals, as_of).where(F.col("source_type").isin(SOURCES))
     fresh = known.where(F.col("observed_at") >= as_of - F.make_interval(days=window_days(F.col("source_type"))))
-    return fresh.withColumn("value", measurement()).where(F.col("value").isNotNull())
+    # Inside a lambda the parsed struct is one value; as a column it would be parsed anew for every mention.
+    value = F.get(F.transform(F.array(F.from_json("extracted", EXTRACTED)), measurement), F.lit(0))
+    return fresh.withColumn("value", value).where(F.col("value").isNotNull())
 
 
 def source_features(measured: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
