@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, mix, partitions_for, store, strings, table
 
-BLOCK, DISCOUNTED, HEAVY, SPREAD, FOLDS = 10 << 20, 5, 4000, 16, 7
+BLOCK, DISCOUNTED, HEAVY, SPREAD, FOLDS = 6 << 20, 5, 4000, 16, 7
 WORDS, TOKENS, IDS, WORD_TOTALS, PAIRS, COUNTS, PAIR_TOTALS = range(7)
 ROW = "block long, shard int, kind int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
