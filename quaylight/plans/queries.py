@@ -645,3 +645,51 @@ def m4_examples(snapshots, labels):
     marked = labels.join(days, F.col("doc_id") % 30 == F.dayofmonth("day") - 1).select("snapshot_id", "as_of", F.col("doc_id").alias("company_id"), F.col("toxic").alias("label"), F.expr("as_of + interval 7 days as outcome_end"), F.expr("as_of + interval 7 days as available_at"))
     made, _ = fe.examples(days, marked, 2)
     return made.select("snapshot_id", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x["label"]).alias("positives"))
+
+
+# The queries above that hold filters do so in their SQL as well. These are the same over whole tables; they have no SQL
+# (the recursive and range joins of DuckDB are too slow there) and are tested against plain versions.
+
+
+@query()
+def g3_components_whole(edges):
+    return gr.weak_components(edges)
+
+
+@query()
+def u5_observed_components_whole(edges):
+    seen = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().where("id % 10 = 1")
+    return gr.observed_components(edges, seen).select("id")
+
+
+@query()
+def j7_points_in_boxes_whole(positions, locations):
+    box = locations.selectExpr("id as box_id", "33.70 + id * 0.002 as south", "33.71 + id * 0.002 as north", "-118.30 + id * 0.001 as west", "-118.28 + id * 0.001 as east")
+    return re_.in_boxes(positions, box, 0.01).groupBy("box_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def j8_nearest_whole(companies, signals):
+    wanted = companies.select(F.col("id").alias("target_id"), F.col("created_at").alias("at"))
+    scenes = signals.select("id", "observed_at", (F.col("severity") * 100).alias("cloud_cover"))
+    return re_.nearest_before_after(wanted, scenes).select("target_id", "id", us("observed_at"))
+
+
+@query()
+def j9_granules_whole(lineitem):
+    rows = lineitem.select(F.col("l_suppkey").alias("tile"), F.trunc(F.to_date("l_shipdate"), "month").cast("string").alias("month"), F.col("l_shipdate").alias("updated"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("granule_id"))
+    return re_.granule(rows.select("tile", "month").distinct(), rows).select("tile", "month", "granule_id")
+
+
+@query()
+def j11_exact_entities_whole(customer):
+    names = customer.select(F.concat("c_name", F.lit(" Inc.")).alias("name"), F.col("c_custkey").cast("string").alias("cik"))
+    return ex.resolve_exact(customer.select(F.concat("c_name", F.lit(" Inc.")).alias("mention")), names)
+
+
+@query()
+def q5_runs_whole(events):
+    day = F.to_date("ts").cast("string")
+    runs = events.groupBy(day.alias("id")).agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("started_us"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") == "purchase").alias("productive"))
+    rows = runs.withColumn("status", ev.run_status(F.col("errors"), F.col("productive")))
+    return re_.page(rows, [F.desc("started_us"), F.desc("id")], 1, 20).select("id", "status", F.col("errors").cast("long").alias("errors"))
