@@ -9,8 +9,9 @@ learned from labels.
 
 The character model counts trigrams of every text (28**3 sums leave the tasks). The word weights
 are a classifier fitted on at most FIT_ROWS labelled rows of each class, chosen by the hash of
-doc_id (the documented bound) and thinned to one text for each least word hash, so that groups of
-near copies count about once; a word counts once a text. Words that occur in at least `least` and
+doc_id (the documented bound) and thinned of copies: of texts whose least word-triple hashes agree
+under three mixings one stays, so a group of near copies counts a few times at most and unlike
+texts all count; a word counts once a text. Words that occur in at least `least` and
 one in a hundred of the toxic texts, at several times their rate in clean ones, make the lexicon.
 A text's score is the logistic of a base rate plus the weights of its distinct lexicon words. A
 word with doubled letters is also tried with the doubling undone.
@@ -32,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, store, strings, table
@@ -223,6 +224,15 @@ class Restorer:
         return out
 
 
+def copy_key(text: str) -> Column:
+    """Least hashes of a text's word triples under three mixings. Unlike texts share few triples, so all three agree in copies only."""
+    # Arrays of one bind what is inside, which lambdas would work out again for every element.
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    triple = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    least = lambda made: F.array(*[F.array_min(F.transform(made, lambda h, n=n: F.xxhash64(h, F.lit(n)))) for n in range(3)])
+    return bound(F.split(F.lower(text), "\\s+"), lambda w: F.when(w.isNotNull(), bound(triple(w), least)))
+
+
 def word_weights(docs: DataFrame, labels: DataFrame, chars: np.ndarray, fit_rows: int = FIT_ROWS, least: int = LEAST) -> tuple[dict[str, float], float]:
     """Weights of lexicon words and the base log-odds, from docs (doc_id, text) and labels (doc_id, toxic), one for each doc_id."""
     sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
@@ -250,8 +260,7 @@ def word_weights(docs: DataFrame, labels: DataFrame, chars: np.ndarray, fit_rows
                     yield rows()
         yield rows()
 
-    kind = F.array_min(F.transform(F.split(F.lower("text"), "\\s+"), lambda w: F.xxhash64(w)))
-    drawn = drawn.withColumn("_kind", kind).dropDuplicates(["toxic", "_kind"])
+    drawn = drawn.withColumn("_copy", copy_key("text")).dropDuplicates(["toxic", "_copy"])
     drawn = store(drawn.select("text", "toxic"), "labelled")  # fit_rows texts of each class at most, about
     n = {k: 0 for k in (0, 1)} | {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     if not n[0] or not n[1]:

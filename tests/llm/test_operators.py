@@ -129,6 +129,18 @@ def test_toxicity_restores_disguises(spark):
     assert nothing == {}
 
 
+def test_toxicity_fit_keeps_unlike_texts(spark):
+    rng = random.Random(6)
+    common = spark.range(500).selectExpr("concat('w', id) as w").orderBy(F.xxhash64("w")).first().w  # a low hash, in every text
+    texts = [f"{common} {prose(rng, 40)} {'narlod' if i % 2 else prose(rng, 1)} {prose(rng, 40)}" for i in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(80 + i, texts[1]) for i in range(20)] + [(100, None), (101, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert df.select(toxicity.copy_key("text").alias("k")).distinct().count() == 82
+    labels = spark.createDataFrame([(i, i % 2 if i < 80 else 1) for i, _ in rows], "doc_id long, toxic int")
+    weights, _ = toxicity.word_weights(df, labels, toxicity.character_model(df))
+    assert "narlod" in weights
+
+
 def test_packing_round_trip(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
