@@ -2,15 +2,17 @@
 
 Every whole text is searched with one pattern a kind. A kind has a role (identifier, secret or
 endpoint) and is strong (the base patterns) or weak. Strong matches are always reported. Weak
-parts are reported only where complementary parts lie in the same scope: the same text, starts at
-most SCOPE code points apart. A weak secret needs an identifier or an endpoint, a weak identifier
-needs a secret, an endpoint needs both.
+parts are reported only where complementary parts lie in the same scope: the same text, at most
+SCOPE code points from the end of one to the start of the other. A weak secret needs an identifier
+or an endpoint, a weak identifier needs a secret, an endpoint needs both.
 
 Only DataFrame functions run: matches leave a text as (kind, number, gap, match) rows, so the text
-itself is never shuffled; running sums of gaps and matches give code-point positions; a range
-frame over starts is the interval join (each part sees the parts within SCOPE on either side, and
-no pair is ever emitted). One shuffle on the row's key serves all three steps. Work per text is
-linear in its length and matches, and the frame holds at most 2 * SCOPE / 6 parts.
+itself is never shuffled; running sums of gaps and matches give code-point positions; the running
+furthest end and first start of each role are the interval join (no pair is ever emitted). One
+shuffle on the row's key serves all three steps. Work per text follows its length and matches.
+
+OP1_SQL has the narrower weak patterns (no names around a keyword) and compares starts, so it
+reports a subset where texts hold such parts.
 
 A span covers the whole match: start and end in code points, end exclusive.
 
@@ -39,23 +41,34 @@ KINDS = {
     "endpoint": ("endpoint", False, "(?i)\\b(?:[a-z][a-z0-9+.-]{1,20}://[^\\s\"'<>]+|(?:host|endpoint|server)" + SET + "[a-z0-9.-]{4,})", 4, 0),
 }
 STRONG = [k for k, v in KINDS.items() if v[1]]
+#: A keyword may follow '_', '-', '.', a digit or a capital's edge (DB_PASSWORD, dbPassword), and more names may follow it (secret_access_key).
+EDGE = "(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
+#: Names after a keyword; one that tells of another role ends the keyword's claim (auth_user, user_password).
+MORE = "[0-9]*(?:(?:[_.-]|(?-i:(?<=[a-z])(?=[A-Z])))(?!{})[A-Za-z0-9]+)*"
+MORE_SECRET = MORE.format("user|login|account|client|name|id(?![a-z])|host|server|endpoint|url|uri")
+MORE_IDENTIFIER = MORE.format("pass|pwd|auth|cred|secret|token|(?:api|access|secret)?[_.-]?key(?![_.-]?id)|host|server|endpoint|url|uri")
+#: What is searched. KINDS stay as the SQL has them.
+WIDE = KINDS | {
+    "weak_secret": ("secret", False, f"(?i){EDGE}(passphrase|pass|pwd|auth|credential|password|passwd|secret|token|api_?key){MORE_SECRET}{SET}({VALUE}{{6,}})", 6, 2),
+    "weak_identifier": ("identifier", False, f"(?i){EDGE}(?<!(?:secret|api)[_.-]?)(user_?name|user|login|client_?id|account|access_?key(?:_?id)?){MORE_IDENTIFIER}{SET}([A-Za-z0-9@._-]{{3,}})", 3, 2),
+}
 
 
 def found(text: Column, kind: str) -> Column:
     """Matches of a kind in order, each with the length of the text between it and the one before."""
-    pattern = F.lit(KINDS[kind][2])
-    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, KINDS[kind][2], -1)
+    pattern = F.lit(WIDE[kind][2])
+    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, WIDE[kind][2], -1)
     rows = F.transform(
         hits,
         lambda m, i: F.struct(F.lit(list(KINDS).index(kind)).alias("k"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match")),
     )
-    return F.when(text.rlike(KINDS[kind][2]), rows).otherwise(F.array().cast("array<struct<k:int,i:int,gap:int,match:string>>"))
+    return F.when(text.rlike(WIDE[kind][2]), rows).otherwise(F.array().cast("array<struct<k:int,i:int,gap:int,match:string>>"))
 
 
 def long_enough(k: Column, match: Column) -> Column:
     """Whether the asked group has its least length; weak assignments that the base reports are no parts of their own."""
     tests = F.lit(True)
-    for n, (kind, (_, _, pattern, least, group)) in enumerate(KINDS.items()):
+    for n, (kind, (_, _, pattern, least, group)) in enumerate(WIDE.items()):
         if group:
             value = F.length(F.regexp_extract(match, pattern, group))
             keep = value >= least
@@ -92,9 +105,14 @@ def spans(docs: DataFrame) -> DataFrame:
     role = F.element_at(F.array(*[F.lit(v[0]) for v in KINDS.values()]), F.col("k") + 1)
     strong = F.element_at(F.array(*[F.lit(v[1]) for v in KINDS.values()]), F.col("k") + 1)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
-    near = Window.partitionBy(*key).orderBy(F.coalesce("start", F.lit(0).cast("long"))).rangeBetween(-SCOPE, SCOPE)
-    has = lambda r: F.max(F.when(F.col("_use") & (role == r), 1).otherwise(0)).over(near) == 1
-    linked = placed.withColumns({"_s": has("secret"), "_i": has("identifier"), "_e": has("endpoint")})
+    # A part's gap to those that start before it is known from their furthest end, to those after it from their first start.
+    before = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*key).orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    of = lambda r, x: F.when(F.col("_use") & (role == r), F.col(x))
+    roles = {"_s": "secret", "_i": "identifier", "_e": "endpoint"}
+    ends = placed.withColumns({f"{n}b": F.max(of(r, "end")).over(before) for n, r in roles.items()} | {f"{n}a": F.min(of(r, "start")).over(after) for n, r in roles.items()})
+    reached = lambda n: F.coalesce(F.col(f"{n}b") + SCOPE >= F.col("start"), F.lit(False)) | F.coalesce(F.col(f"{n}a") <= F.col("end") + SCOPE, F.lit(False))
+    linked = ends.withColumns({n: reached(n) for n in roles})
     report = F.col("_use") & (
         strong
         | ((role == "secret") & (F.col("_i") | F.col("_e")))
