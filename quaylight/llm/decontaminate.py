@@ -5,15 +5,17 @@ item must reach. Items are kept in blocks of BLOCK consecutive ordinals, and eac
 largest weight in each block. Texts are read as overlapping passages of PASSAGE words; the sum of
 a passage's block maxima bounds the score of every item of the block, so blocks under the bound
 are skipped (all passages of a text at once, by prefix sums), first with the maxima over all
-blocks, then block by block. In the remaining blocks exact scores are accumulated term by term,
-and every item at or above its threshold is retrieved.
+blocks, then block by block. Items without a common shingle cannot overlap and are left out before
+that. In the remaining blocks exact scores are accumulated term by term, and every item at or above
+its threshold is retrieved.
 
 A scored item has its question (all but the last sentence) and answer (the last sentence) compared
-with the whole text by SHINGLE-word shingles. It is a hit if `least` of all its shingles occur.
+with the whole text by SHINGLE-word shingles. It is a hit if `least` of all its shingles occur, or of
+those of its question or its answer, where that part has SPECIFIC words at least.
 
-What an item must reach: `share` of the least BM25 self-score over its runs of PASSAGE / 2 words
-(of the whole item if it is shorter). Every run of PASSAGE / 2 words lies wholly in one passage, so
-a verbatim item is always retrieved.
+What an item must reach: `share`, at most `least`, of the least BM25 self-score over the runs of
+PASSAGE / 2 words of the item and of its parts of SPECIFIC words (of the whole where shorter). Every
+run of PASSAGE / 2 words lies wholly in one passage, so a verbatim item or part is always retrieved.
 
 The index is sent to the tasks in slices of at most SLICE bytes of item text, one pass over the
 texts for each slice; document frequencies of terms are counted over all items. No text is shuffled.
@@ -39,6 +41,8 @@ from .common import strings, table
 
 PASSAGE, BLOCK, SHINGLE, K1, B = 64, 16, 5, 1.2, 0.75
 SHARE, LEAST, SLICE = 0.6, 0.5, 1 << 20
+#: A question or answer of fewer words is too common to be a hit by itself.
+SPECIFIC = 8
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()), T.StructField("overlap", T.DoubleType())]))
 BLANK = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
@@ -62,6 +66,11 @@ def parts(text: str) -> tuple[list[bytes], list[bytes]]:
     return (words(text[: cut + 1]), words(text[cut + 1 :])) if cut > 0 else (words(text), [])
 
 
+def specific(*of: list[bytes]) -> list[list[bytes]]:
+    """The parts that are a hit by themselves."""
+    return [p for p in of if len(p) >= SPECIFIC]
+
+
 class Index:
     """items: (item_id, text); frequency: in how many of `total` items a term occurs."""
 
@@ -75,7 +84,8 @@ class Index:
             norm = K1 * (1 - B + B * len(w) / mean)
             bm25 = {t: math.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in tf.items()}
             run = PASSAGE // 2
-            least = min(sum(bm25[t] for t in set(w[i : i + run])) for i in range(max(1, len(w) - run + 1)))
+            runs = [p[i : i + run] for p in (w, *specific(*self.items[n][1:])) for i in range(max(1, len(p) - run + 1))]
+            least = min(sum(bm25[t] for t in set(r)) for r in runs)
             weights += [(self.ids.setdefault(t, len(self.ids)), n, x / max(1e-9, share * least)) for t, x in bm25.items()]
         self.blocks = max(1, -(-len(items) // BLOCK))
         self.maxima = np.zeros((len(self.ids) + 1, self.blocks), dtype=np.float32)  # the last row: words of no item
@@ -85,11 +95,43 @@ class Index:
         self.weight: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(self.blocks)]
         for t, n, x in weights:
             self.weight[n // BLOCK].setdefault(t, []).append((n, x))
+        codes: dict[int, list[tuple[int, int]]] = {}  # by length of shingles: (code, item)
+        for n, (_, question, answer) in enumerate(self.items):
+            t = np.array([self.ids[x] for x in question + answer], dtype=np.int64)
+            deciding = [t, *specific(t[: len(question)], t[len(question) :])]
+            for size, own in {(min(SHINGLE, len(x)), c) for x in deciding for c in self.codes(x, min(SHINGLE, len(x))).tolist()}:
+                codes.setdefault(size, []).append((own, n))
+        self.shingled = {size: (np.array([c for c, _ in sorted(x)], dtype=np.uint64), [n for _, n in sorted(x)]) for size, x in codes.items()}
+
+    def codes(self, t: np.ndarray, size: int) -> np.ndarray:
+        """A hash for each run of `size` term numbers; one term number that is in no item leaves a run out."""
+        n = len(t) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        known, code = np.ones(n, dtype=bool), np.zeros(n, np.uint64)
+        for i in range(size):
+            known &= t[i : i + n] != len(self.ids)
+            code = code * np.uint64(0x9E3779B97F4A7C15) + t[i : i + n].astype(np.uint64) + np.uint64(1)
+        return code[known]
+
+    def sharing(self, t: np.ndarray) -> set[int]:
+        """Items that share a shingle with the text; no other can overlap."""
+        out: set[int] = set()
+        for size, (codes, items) in self.shingled.items():
+            own = np.unique(self.codes(t, size))
+            lo, hi = np.searchsorted(codes, own, "left"), np.searchsorted(codes, own, "right")
+            for a, b in zip(lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                out.update(items[a:b])
+        return out
 
     def retrieve(self, w: list[bytes]) -> dict[int, float]:
-        """Items with a passage at or above the threshold, with their best score (1: the threshold)."""
+        """Items that share a shingle and have a passage at or above the threshold, with their best score (1: the threshold)."""
         none, get = len(self.ids), self.ids.get
         t = np.array([get(x, none) for x in w], dtype=np.int64)
+        sharing = self.sharing(t)
+        if not sharing:
+            return {}
+        blocks = np.array(sorted({n // BLOCK for n in sharing}))
         ends = np.minimum(np.arange(0, max(1, len(t) - PASSAGE // 2), PASSAGE // 2) + PASSAGE, len(t))
         starts = np.arange(0, max(1, len(t) - PASSAGE // 2), PASSAGE // 2)
         sums = np.r_[0, np.cumsum(self.top[t], dtype=np.float64)]
@@ -98,13 +140,13 @@ class Index:
         for p in may:
             own = np.unique(t[starts[p] : ends[p]])
             own = own[own != none]
-            for b in np.flatnonzero(self.maxima[own].sum(axis=0) >= 0.999):
+            for b in blocks[self.maxima[np.ix_(own, blocks)].sum(axis=0) >= 0.999]:
                 scores: dict[int, float] = {}
                 for term in own.tolist():
                     for n, x in self.weight[b].get(term, ()):
                         scores[n] = scores.get(n, 0.0) + x
                 for n, x in scores.items():
-                    if x >= 1 and x > best.get(n, 0.0):
+                    if n in sharing and x >= 1 and x > best.get(n, 0.0):
                         best[n] = x
         return best
 
@@ -122,12 +164,12 @@ class Index:
             for n, score in sorted(found.items()):
                 item, question, answer = self.items[n]
                 all_of = overlap(question + answer)
-                if all_of is not None and all_of >= least:
+                if all_of is not None and max(all_of, *(overlap(p) for p in specific(question, answer)), 0.0) >= least:
                     out.append({"item_id": item, "score": float(score), "question_overlap": overlap(question), "answer_overlap": overlap(answer), "overlap": all_of})
         return out
 
 
-def indexes(items: DataFrame) -> list[Index]:
+def indexes(items: DataFrame, share: float = SHARE) -> list[Index]:
     """One index for each slice of the items; a slice holds at most SLICE bytes of text, about."""
     rows = items.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
@@ -146,14 +188,14 @@ def indexes(items: DataFrame) -> list[Index]:
                 df.setdefault(w, 1)
         texts = [x for x in texts if words(x[1])]
         if texts:
-            made.append(Index(texts, df, total, mean))
+            made.append(Index(texts, df, total, mean, share))
     return made
 
 
 def with_hits(docs: DataFrame, items: DataFrame, least: float = LEAST, name: str = "hits") -> DataFrame:
     """docs with a column of the items found in each text; it replaces one of that name."""
     docs = docs.drop(name)
-    for k, index in enumerate(indexes(items) or [None]):
+    for k, index in enumerate(indexes(items, min(SHARE, least)) or [None]):
         shipped = docs.sparkSession.sparkContext.broadcast(index)  # of SLICE bytes of text, about
         schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, HITS)])
         at = docs.columns.index("text")

@@ -233,6 +233,17 @@ def test_decontamination(spark, none):
     assert decontaminate.clean(df.select(*DOC_COLUMNS), bench.where("item_id < 0")).count() == len(rows)
 
 
+def test_decontamination_by_question_or_answer(spark):
+    rng = random.Random(10)
+    sizes = [(12, 30), (30, 12), (60, 200), (200, 60), (8, 40), (5, 40), (40, 4)]
+    parts = [(prose(rng, q), prose(rng, a)) for q, a in sizes]
+    bench = spark.createDataFrame([(i, f"{q}. {a}.") for i, (q, a) in enumerate(parts)], "item_id long, text string")
+    rows = [(10 * i + k, prose(rng, 150) + " " + p + " " + prose(rng, 150)) for i, pair in enumerate(parts) for k, p in enumerate(pair)]
+    got = sorted((r.doc_id, h.item_id) for r in decontaminate.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect() for h in r.hits)
+    # A question of 5 words or an answer of 4 is no hit by itself.
+    assert got == [(10 * i + k, i) for i, pair in enumerate(sizes) for k, n in enumerate(pair) if n >= 8]
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(12)]
