@@ -405,11 +405,11 @@ def verify(sets: DataFrame, words: int, percent: int) -> DataFrame:
     return sets.groupBy("grp", "cell", "part").applyInPandas(each, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and label for each row of docs (doc_id, text). Rows of a component share a label; texts without shingles have none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     read = store(read_sets(docs, words, percent), "sets")
-    base = read.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "node")
+    base = read.where(F.col("n_shingles").isNotNull()).select("doc_id", "text_hash", "n_shingles", "node")
     # The row that stands for a node: the least doc_id that is known, and its text.
     row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash"))
     nodes = read.where(F.col("node").isNotNull()).groupBy("node").agg(row.alias("r"), F.max("n_shingles").alias("n"))
@@ -443,9 +443,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     label = components(links).withColumnRenamed("id", "node")
     first = label.join(nodes.hint("merge"), "node").groupBy("label").agg(F.min("first").alias("least"))
-    named = label.join(first.hint("merge"), "label").select("node", "least")
-    own = nodes.join(named.hint("merge"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return base.join(store(own, "named").hint("merge"), "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = label.join(first.hint("merge"), "label").select("node", "least", "label")
+    own = nodes.join(named.hint("merge"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("label", "node").alias("label"))
+    return base.join(store(own, "named").hint("merge"), "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    return labelled(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,10 +458,21 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near copies: that with the least doc_id (of repeated rows, one). Rows with a null doc_id stay."""
-    named = jaccard_components(docs, words, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(named.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies: that with the least (doc_id, text hash), known ids first; of repeated rows, one.
+
+    Texts without shingles are in no group: one row of each known id stays, and all without an id.
+    """
+    named = labelled(docs, words, percent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash"))
+    alone = named.where(F.col("label").isNull()).select("doc_id", "text_hash").distinct()
+    first = named.where(F.col("label").isNotNull()).groupBy("label").agg(least.alias("r")).select("r.doc_id", "r.text_hash")
+    first = store(first.unionByName(alone.where(F.col("doc_id").isNotNull())).select(F.col("doc_id").alias("_first_id"), F.col("text_hash").alias("_first_hash")), "first")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = keyed.dropDuplicates(["doc_id", "_text_hash"])
+    kept = once.join(first.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_text_hash") == F.col("_first_hash")), "left_semi")
+    empty = alone.where(F.col("doc_id").isNull()).select(F.col("text_hash").alias("_text_hash"))
+    rest = keyed.where(F.col("doc_id").isNull()).join(empty.hint("merge"), "_text_hash", "left_semi")
+    return kept.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 OP8_SQL = """

@@ -303,6 +303,16 @@ def test_jaccard_in_large_groups(spark, monkeypatch):
     assert len({w.split()[-1] for w in want}) > 1
 
 
+def test_first_of_each_by_component(spark):
+    rng = random.Random(21)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(None, a), (None, a), (None, a + " more"), (1, b), (1, c), (2, c), (3, b + " more"), (None, b), (4, ""), (4, ""), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in jaccard.first_of_each(df).collect()]
+    assert sum(t in (a, a + " more") for _, t in got) == 1
+    assert sorted(((i, t) for i, t in got if t not in (a, a + " more")), key=repr) == sorted([(1, b), (1, c), (4, ""), (None, ""), (None, None)], key=repr)
+
+
 def test_sharding(spark, docs, none):
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "x"), (3, "twice"), (3, "twice")], "doc_id long, text string"))
     got = sharding.assign(rows, 4).collect()
