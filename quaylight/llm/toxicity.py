@@ -48,10 +48,13 @@ ALIKE = {
 }
 SEPARATORS = ".-_*~·,'/\\ \t"
 SWAP, REPEAT, SKIP, ANY, LONGEST = 1.0, 0.4, 0.3, 3.5, 24
+#: Long stretches are read in windows of so many characters, each half over the next, or of four times the longest lexicon word.
+WINDOW = 96
 MARKS = b"@$!|+(<*#"
 EDGES = "!|*#+(<"
 #: Letters one by one: classes of characters, see CLASS.
-SPACED = re.compile(rb"(?<![a0])[a0](?:[ .]{1,2}[a0]){2,24}(?![a0])")
+OTHER = re.compile("[^\\x00-\u024f" + "".join(c for c in ALIKE if c > "\u024f") + "]+")
+SPACED = re.compile(rb"(?<![a0])[a0](?:[ .]{1,2}[a0]){2,}(?![a0])")
 
 
 def _classes() -> tuple[bytes, bytes]:
@@ -122,24 +125,30 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(word: str, model: list, paths: int = PATHS) -> list[str]:
-    """The best few decodings by channel cost minus log probability; none where a character stands for nothing known."""
-    beam = {(BORDER, BORDER): [(0.0, "")]}
-    for arcs in lattice(word):
+def restore(word: str, model: list, paths: int = PATHS, spaced: bool = False, glued: bool = False) -> list[str]:
+    """The best few decodings by channel cost minus log probability; none where a character stands for nothing known.
+
+    spaced: a separator may also end a word; glued: a word may end between any two characters.
+    """
+    steps: list[list[tuple[str, float]]] = []
+    for c, arcs in zip(word, lattice(word), strict=True):
         if not arcs:
             return []
+        if glued and steps:
+            steps.append([("", 0.0), (" ", SWAP)])
+        steps.append([*arcs, (" ", SKIP)] if spaced and c in SEPARATORS else arcs)
+    beam = {(BORDER, BORDER): [(0.0, "")]}
+    for arcs in steps:
         nxt: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), best in beam.items():
             for letter, cost in arcs:
                 if letter:
-                    s = ord(letter) - 96
+                    s = BORDER if letter == " " else ord(letter) - 96
                     key, add = (b, s), cost - model[a][b][s]
                 else:
                     key, add = (a, b), cost
                 nxt.setdefault(key, []).extend((c + add, w + letter) for c, w in best)
         beam = {k: sorted(set(v))[:paths] for k, v in nxt.items()}
-        if len(beam) > 64:
-            beam = dict(sorted(beam.items(), key=lambda kv: kv[1][0])[:64])
     ends = sorted((c - model[a][b][BORDER], w) for (a, b), v in beam.items() for c, w in v)
     return list(dict.fromkeys(w for _, w in ends if w))[:paths]
 
@@ -148,7 +157,9 @@ class Restorer:
     """Words of a text, plain and restored. A word that repeats letters of a lexicon word is held to that word."""
 
     def __init__(self, model: np.ndarray, lexicon: Iterable[str] = ()) -> None:
+        lexicon = list(lexicon)
         self.model, self.known, self.doubled = model.tolist(), {}, {}
+        self.window = max(WINDOW, 4 * max(map(len, lexicon), default=0))
         for word in lexicon:
             for i in range(len(word)):
                 for j in range(i, len(word)):
@@ -156,14 +167,24 @@ class Restorer:
                     self.doubled[w.encode()] = word
         self.lexicon = {w.encode() for w in lexicon}
 
-    def decoded(self, word: str) -> list[str]:
-        got = self.known.get(word)
+    def decoded(self, word: str, **how: bool) -> list[str]:
+        key = (word, *how)
+        got = self.known.get(key)
         if got is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            got = self.known[word] = restore(word, self.model)
+            got = self.known[key] = restore(word, self.model, 2 * PATHS if how else PATHS, **how)
         return got
 
+    def segmented(self, text: str, **how: bool) -> set[str]:
+        """Words of a stretch of any length; of a window's edges inside the stretch no word is taken, for it may be cut."""
+        out, size = set(), self.window
+        for at in range(0, max(1, len(text) - size // 2), size // 2):
+            for path in self.decoded(text[at : at + size], **how):
+                found = path.split()
+                out.update(found[1 if at else 0 : -1 if at + size < len(text) else None])
+        return out
+
     def disguised(self, low: bytes) -> set[bytes]:
         """Stretches that look disguised: letters next to look-alikes, letters one by one, a letter three times in a row."""
         kind, out = low.translate(CLASS), set()
@@ -175,34 +196,46 @@ class Restorer:
                     lo -= 1
                 while hi < len(kind) and kind[hi] in b"a0":
                     hi += 1
-                if hi - lo <= LONGEST:
-                    out.add(low[lo:hi])
+                out.add(low[lo:hi])
                 at = kind.find(sign, hi)
         if b" a a" in kind or b".a." in kind or b" a 0" in kind or b" 0 a" in kind:
             out.update(low[m.start() : m.end()] for m in SPACED.finditer(kind))
         b = np.frombuffer(low, dtype=np.uint8)
         if len(b) > 2:
             same = b[1:] == b[:-1]
+            hi = 0
             for at in np.flatnonzero(same[1:] & same[:-1] & (b[2:] >= 97) & (b[2:] <= 122)).tolist():
+                if at < hi:
+                    continue
                 lo = hi = at
                 while lo and kind[lo - 1] == 97:
                     lo -= 1
                 while hi < len(kind) and kind[hi] == 97:
                     hi += 1
-                if hi - lo <= LONGEST:
-                    out.add(low[lo:hi])
+                out.add(low[lo:hi])
         return out
 
     def restored(self, low: bytes) -> set[str]:
         out: set[str] = set()
         for raw in self.disguised(low):
-            word = raw.decode("utf-8", "replace")
-            # Marks at the ends are decoration where they are repeated or none that stands for a first letter.
-            bare = word.rstrip(EDGES).lstrip("!|*#+(<") if word.strip("$@" + EDGES) else ""
-            bare = re.sub(r"^(.)\1+(?=[^\W\d_])", r"\1", bare) if bare[:1] in ("$", "@") else bare
-            bare = re.sub(r"[$@]{2,}$", "", bare)
-            if bare and not bare.isdigit():
-                out.update(self.decoded(bare) if not bare.isalpha() or re.search(r"(.)\1\1", bare) else (bare,))
+            # Letters repeated over three times say no more than three; letters of other scripts end a stretch.
+            whole = re.sub(r"([a-z])\1{3,}", r"\1\1\1", raw.decode("utf-8", "replace"))
+            for word in OTHER.split(whole):
+                # Marks at the ends are decoration where they are repeated or none that stands for a first letter.
+                bare = word.rstrip(EDGES).lstrip("!|*#+(<") if word.strip("$@" + EDGES) else ""
+                bare = re.sub(r"^(.)\1+(?=[^\W\d_])", r"\1", bare) if bare[:1] in ("$", "@") else bare
+                bare = re.sub(r"[$@]{2,}$", "", bare)
+                if not bare or bare.isdigit():
+                    continue
+                if bare.isalpha() and not re.search(r"(.)\1\1", bare):
+                    out.add(bare)
+                    continue
+                if len(bare) <= self.window:
+                    out.update(self.decoded(bare))
+                if any(c in SEPARATORS for c in bare):
+                    out.update(self.segmented(bare, spaced=True))
+                elif len(bare) > LONGEST:
+                    out.update(self.segmented(bare, glued=True))
         return out
 
     def words(self, text: str) -> set[str]:

@@ -149,6 +149,18 @@ def test_toxicity_restores_disguises(spark):
     assert nothing == {}
 
 
+def test_toxicity_disguises_of_any_length(spark):
+    rng = random.Random(8)
+    bad = ["grumbol", "fezzik", "narlod"]
+    texts = [prose(rng, 60) + f" {rng.choice(bad)} a {rng.choice(bad)} " + prose(rng, 60) for _ in range(200)]
+    chars = toxicity.character_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    reader = toxicity.Restorer(chars, bad)
+    tests = {"fe" + "z" * 80 + "ik": {"fezzik"}, "漢字漢字漢字漢字漢字gr|mb0l漢字": set(), "漢字漢字漢字漢字漢字n4rl0d漢字漢字": {"narlod"}}
+    tests |= {"a n a r l o d": {"narlod"}, "f e z z i k n a r l o d": {"fezzik", "narlod"}, " ".join("narlodfezzikgrumbolnarlodfezzik"): set(bad)}
+    tests |= {"n**lod": {"narlod"}, "x 1 2 3 4 5 6 7 8 9": set()}
+    assert {t: reader.hits(t) for t in tests} == tests
+
+
 def test_toxicity_fit_keeps_unlike_texts(spark):
     rng = random.Random(6)
     common = spark.range(500).selectExpr("concat('w', id) as w").orderBy(F.xxhash64("w")).first().w  # a low hash, in every text
