@@ -8,17 +8,22 @@ Index level. The list of a shingle is sorted by set size and position and read i
 of entries whose sizes are out of reach is skipped whole, entries are skipped by the positions of
 the shared shingle (it bounds the overlap left and right of it) and by a sketch of each set (counts
 of its shingles in bins of the hash; 32 bins, and four times as many for each fourfold size over
-LONG), which bounds the overlap from above. Long sets send their sketch once to each task, short
-ones with each entry. In long lists one set leads: what passes with the leader is settled against it
-in one step, and only the rest is compared further.
+`longest`), which bounds the overlap from above. `longest` follows the similarity: up to it, two
+sets without a common shingle miss each other in twice as many bins as a link may. Long sets send
+their sketch once to each task, short ones with each entry. In long lists one set leads: what passes
+with the leader is settled against it in one step, and only the rest is compared further. The number
+of parts follows the number of entries (ENTRIES in each, about).
 
 Answer level. What passes makes candidate groups (connected components of the survivors), each
-with all its sets together. Within a group the overlaps of all sets are derived from a common core
-that is counted once, minus what each set lacks of it, plus what few sets share beyond it. A cell
-of a group holds at most about GROUP sets and SHINGLES shingles (a bound on a task's memory); a
-larger group is cut at random into cells. Sets that cells settle into the group's main component
-need no further comparison with each other, and the remaining sets, in parts of OTHERS, are compared
-with every cell.
+with all its sets together. Within a group a set leads: its overlaps with all others are computed
+once. A set Y that links with the leader X has its answers derived from X's: the overlap with Z is
+that of X, less what Z holds of X without Y, plus what Z holds of Y without X. It is at most X's
+overlap plus the size of Y without X, so nearly all of Y's comparisons are skipped; sets that are in
+X's component already need none. What links with no leader leads next. A cell of a group holds at
+most about GROUP sets and SHINGLES shingles (a bound on a task's memory); a larger group is cut at
+random into cells, all of which also hold the group's LANDMARKS, so that near copies meet in one
+component. Sets of the group's main component need no further comparison with each other, and the
+remaining sets, in parts of OTHERS, are compared with every cell.
 
 Only any fixed set of frequent shingles is needed for exactness, so finding it may be rough: tasks
 report what they see twice, and the most frequent MOST of those seen over OFTEN times are sent to
@@ -33,6 +38,7 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +53,7 @@ from .common import mix, partitions_for, store, strings, table
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, FEW = 100, 500_000, 48, 2048, 600_000, 1024, 32, 1500, 6
+OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, LANDMARKS, SALTS = 100, 500_000, 48, 2048, 600_000, 1024, 32, 1500, 400_000, 8, 16
 U = np.uint64
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=U)
 
@@ -135,14 +141,20 @@ def frequent(read: DataFrame) -> np.ndarray:
 POSTING = "part int, shingle long, node long, n int, at int, sketch binary"
 
 
-def level(n: np.ndarray | int):
-    """How many times a size is fourfold over LONG: 0 for short sets."""
-    return np.ceil(np.log2(np.maximum(n, LONG) / LONG) / 2).astype(np.int64)
+def longest(percent: int) -> int:
+    """Up to this size BINS bins tell unlike sets apart: of two random sets of n, each leaves n / sqrt(pi * n / BINS) unmatched, about."""
+    missing = 1 - 2 * percent / (100 + percent)
+    return max(1, min(LONG, int(BINS / (4 * math.pi * max(missing, 1e-3) ** 2))))
 
 
-def sketch(s: np.ndarray) -> bytes:
+def level(n: np.ndarray | int, long: int):
+    """How many times a size is fourfold over `long`: 0 for short sets."""
+    return np.ceil(np.log2(np.maximum(n, long) / long) / 2).astype(np.int64)
+
+
+def sketch(s: np.ndarray, long: int) -> bytes:
     """Counts by the leading bits of the hash, scaled to a byte and rounded up."""
-    bits = BINS.bit_length() - 1 + 2 * int(level(len(s)))
+    bits = BINS.bit_length() - 1 + 2 * int(level(len(s), long))
     counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(-(-counts // scale(len(s))), 255).astype(np.uint8).tobytes()
 
@@ -151,14 +163,16 @@ def scale(n):
     return 1 + n // 200_000
 
 
-def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts: int) -> DataFrame:
+def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts: int, long_from: int) -> DataFrame:
     """Prefix entries, dealt by shingle; rows without a shingle bring the sketch of a long set to a part."""
     shipped = docs.sparkSession.sparkContext.broadcast(often)  # MOST hashes at most
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = Hashes(), shipped.value
+        hashes, last, known = Hashes(), shipped.value, set()
         for batch in batches:
-            found, known = [], set()
+            found = []
+            if len(known) > 1_000_000:  # what a task has posted before is not posted again
+                known.clear()
             for text in strings(batch.column(0)):
                 s = shingle_set(text, hashes, words)
                 if not len(s) or (node := identity(s)) in known:
@@ -167,10 +181,10 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 ordered = np.r_[s[~late], s[late]][: prefix_length(len(s), percent)]
                 to = (mix(ordered) % U(parts)).astype(np.int32)
-                found.append((to, ordered.view(np.int64), np.arange(len(ordered), dtype=np.int32), node, len(s), sketch(s)))
+                found.append((to, ordered.view(np.int64), np.arange(len(ordered), dtype=np.int32), node, len(s), sketch(s, long_from)))
             if not found:
                 continue
-            long = [f for f in found if level(f[4])]
+            long = [f for f in found if level(f[4], long_from)]
             sent = [np.unique(f[0]) for f in long]
             k, e = np.array([len(f[0]) for f in found]), np.array([len(x) for x in sent], dtype=np.int64)
             rep = lambda i, kind: np.r_[np.repeat(np.array([f[i] for f in found], kind), k), np.repeat(np.array([f[i] for f in long], kind), e)]  # noqa: E731, B023
@@ -181,7 +195,7 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
                 pa.array(rep(3, np.int64)),
                 pa.array(rep(4, np.int32)),
                 pa.concat_arrays([pa.array(np.concatenate([f[2] for f in found])), none.cast(pa.int32())]),
-                pa.array([x for f in found for x in [None if level(f[4]) else f[5]] * len(f[0])] + [f[5] for f, x in zip(long, sent, strict=True) for _ in x], pa.binary()),
+                pa.array([x for f in found for x in [None if level(f[4], long_from) else f[5]] * len(f[0])] + [f[5] for f, x in zip(long, sent, strict=True) for _ in x], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in POSTING.split(", ")])
 
@@ -210,7 +224,7 @@ def chains(pairs: np.ndarray) -> np.ndarray:
 class Lists:
     """Index lists of a task: entries sorted by (shingle, size, position)."""
 
-    def __init__(self, got: pa.Table, percent: int) -> None:
+    def __init__(self, got: pa.Table, percent: int, long_from: int) -> None:
         brought = got.filter(pc.is_null(got.column("shingle")))
         got = got.filter(pc.is_valid(got.column("shingle")))
         s, node, n, at = (got.column(c).to_numpy() for c in ("shingle", "node", "n", "at"))
@@ -218,12 +232,12 @@ class Lists:
         fresh = np.r_[True, (s[order][1:] != s[order][:-1]) | (node[order][1:] != node[order][:-1])] if len(s) else np.zeros(0, bool)
         order = order[fresh]
         self.s, self.node, self.n, self.at, self.percent = s[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64), percent
-        self.level, self.row = level(self.n), np.zeros(len(order), np.int64)
+        self.level, self.row = level(self.n, long_from), np.zeros(len(order), np.int64)
         short = got.column("sketch").take(pa.array(order[self.level == 0])).to_pylist()
         self.row[self.level == 0] = np.arange(len(short))
         self.sketches = {0: np.frombuffer(b"".join(short), dtype=np.uint8).reshape(-1, BINS)}
         name, kept = brought.column("node").to_numpy(), brought.column("sketch").to_pylist()
-        of = level(brought.column("n").to_numpy())
+        of = level(brought.column("n").to_numpy(), long_from)
         for k in np.unique(of).tolist():
             at = np.flatnonzero(of == k)
             names, first = np.unique(name[at], return_index=True)
@@ -307,104 +321,102 @@ class Lists:
         return np.stack([self.node[at[got[:, 0]]], self.node[at[got[:, 1]]]], axis=1)
 
 
-def candidates(index: DataFrame, percent: int, parts: int) -> DataFrame:
+def candidates(index: DataFrame, percent: int, parts: int, long_from: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if held:
-            got = Lists(pa.Table.from_batches(held), percent).pairs()
+            got = Lists(pa.Table.from_batches(held), percent, long_from).pairs()
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
     return index.repartition(parts, "part").mapInArrow(each, "a long, b long")
 
 
-def overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
-    """Intersection sizes of all sets with all others.
+class Cell:
+    """Sets of a cell, their shingles numbered."""
 
-    A shingle that all but a few sets have counts for every pair, less the pairs with a set that
-    lacks it; one that few sets have counts for their pairs alone; only those between go through a
-    dense product.
-    """
-    every = [*sets, *(others or [])]
-    total, m = len(every), len(sets)
-    flat = np.concatenate(every)
-    row = np.repeat(np.arange(total, dtype=np.int32), [len(s) for s in every])
-    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.argsort(column, kind="stable")
-    row, start = row[order], np.cumsum(n) - n
-    lo = m if others is not None else 0
-    out = np.zeros((m, total - lo), dtype=np.int32)
-    few = max(1, min(FEW, total // 3))
-
-    def pairs(members: np.ndarray) -> None:
-        """One more for each pair of the rows of `members` (columns x k)."""
-        k = members.shape[1]
-        for x in range(k):
-            for y in range(k):
-                i, j = members[:, x], members[:, y]
-                use = (i < m) & (j >= lo)
-                np.add.at(out, (i[use], j[use] - lo), 1)
-
-    for k in range(2, few + 1):
-        at = start[n == k]
-        if len(at):
-            pairs(row[at[:, None] + np.arange(k)])
-    common = np.flatnonzero(n >= max(few + 1, total - few))
-    if len(common):
-        has = np.zeros((len(common), total), dtype=bool)
-        for c, x in enumerate(common):
-            has[c, row[start[x] : start[x] + n[x]]] = True
-        lacks = (~has).sum(axis=0)
-        out += (len(common) - lacks[:m, None] - lacks[None, lo:]).astype(np.int32)
-        c, r = np.nonzero(~has)
-        size = np.bincount(c, minlength=len(common))
-        first = np.cumsum(size) - size
-        for k in range(1, few + 1):
-            at = first[size == k]
-            if len(at):
-                pairs(r[at[:, None] + np.arange(k)])
-    between = np.flatnonzero((n > few) & (n < max(few + 1, total - few)))
-    width = max(1, min(len(between), (1 << 22) // total))  # a dense slice of 16 MB at most
-    for at in range(0, len(between), width):
-        part = between[at : at + width]
-        x = np.zeros((total, len(part)), dtype=np.float32)
-        for c, y in enumerate(part):
-            x[row[start[y] : start[y] + n[y]], c] = 1
-        out += np.rint(x[:m] @ x[lo:].T).astype(np.int32)
-    return out
-
-
-def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    a = np.array([len(s) for s in sets])
-    b = np.array([len(s) for s in others]) if others is not None else a
-    both, found = overlaps(sets, others), []
-    for lo in range(0, len(a), 256):
-        part = both[lo : lo + 256].astype(np.int64)
-        i, j = np.nonzero(part * 100 >= percent * (a[lo : lo + 256, None] + b[None, :] - part))
-        found.append((i + lo, j))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.cumsum(self.size) - self.size
+        _, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.worth = np.zeros(int(self.flat.max()) + 1, dtype=np.int32)
+        self.percent, self.label = percent, np.arange(len(sets))
+
+    def members(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.start[i] + self.size[i]]
+
+    def overlaps(self, x: int) -> np.ndarray:
+        """Overlap of set x with every set."""
+        self.worth[self.members(x)] = 1
+        out = np.add.reduceat(self.worth[self.flat], self.start)
+        self.worth[self.members(x)] = 0
+        return out
+
+    def need(self, y: int, of: np.ndarray) -> np.ndarray:
+        return -(-self.percent * (self.size[y] + of) // (100 + self.percent))
+
+    def derived(self, x: int, both: np.ndarray, y: int, others: np.ndarray) -> np.ndarray:
+        """Which of `others` link with y, from the overlaps of x, which y resembles."""
+        need = self.need(y, self.size[others])
+        near = both[others] + self.size[y] - both[y] >= need
+        others, need = others[near], need[near]
+        if not len(others):
+            return others
+        self.worth[self.members(x)] -= 1
+        self.worth[self.members(y)] += 1
+        step = np.array([self.worth[self.members(z)].sum() for z in others])
+        self.worth[self.members(x)] = 0
+        self.worth[self.members(y)] = 0
+        return others[both[others] + step >= need]
+
+    def join(self, x: int, linked: np.ndarray) -> list[tuple[int, int]]:
+        """Merge components; one edge for each that x's component did not hold."""
+        linked = linked[self.label[linked] != self.label[x]]
+        names, first = np.unique(self.label[linked], return_index=True)
+        self.label[np.isin(self.label, names)] = self.label[x]
+        return [(x, int(linked[i])) for i in first]
+
+    def links(self, asked: np.ndarray) -> list[tuple[int, int]]:
+        """Edges with the components of all links of asked sets."""
+        found, waiting = [], np.zeros(len(self.size), bool)
+        waiting[asked] = True
+        for x in asked[np.argsort(-self.size[asked], kind="stable")].tolist():
+            if not waiting[x]:
+                continue
+            both = self.overlaps(x)
+            linked = both >= self.need(x, self.size)
+            linked[x] = False
+            found += self.join(x, np.flatnonzero(linked))
+            waiting[x] = False
+            follow = np.flatnonzero(linked & waiting)
+            waiting[follow] = False
+            for y in follow.tolist():
+                found += self.join(y, self.derived(x, both, y, np.flatnonzero(self.label != self.label[x])))
+        return found
 
 
 def verify(sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links within each (grp, cell): a chain over the neighbours of each set. Rows with role 1 are compared with those of role 0 only."""
+    """Edges with the components of the links within each (grp, cell, part); where rows have role 1, of the links of those alone."""
 
     def each(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("role", ascending=False, kind="stable").drop_duplicates("node")  # asked rows first
         node, hashes = part["node"].to_numpy(), Hashes()
-        members = [shingle_set(x, hashes, words) for x in part["text"]]
         asked = np.flatnonzero(part["role"].to_numpy() == 1)
-        found = np.zeros((0, 2), np.int64)
-        if len(asked):
-            rest = np.flatnonzero(part["role"].to_numpy() == 0)
-            if len(rest):
-                i, j = linked([members[x] for x in asked], [members[x] for x in rest], percent)
-                found = chains(np.stack([node[asked[i]], node[rest[j]]], axis=1))
-        elif len(node) > 1:
-            i, j = linked(members, None, percent)
-            found = chains(np.stack([node[i], node[j]], axis=1)[i < j])
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        found = []
+        if len(node) > 1:
+            cell = Cell([shingle_set(x, hashes, words) for x in part["text"]], percent)
+            found = cell.links(asked if len(asked) else np.arange(len(node)))
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[at[:, 0]], "b": node[at[:, 1]]}, dtype="int64")
 
     return sets.groupBy("grp", "cell", "part").applyInPandas(each, "a long, b long")
 
 
+def salted(many: DataFrame, one: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of many rows with at most one row for each key; a hot key is spread over SALTS tasks by another column."""
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
 def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and label for each row of docs (doc_id, text). Rows of a component share a label; texts without shingles have none."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
@@ -414,38 +426,46 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash"))
     nodes = read.where(F.col("node").isNotNull()).groupBy("node").agg(row.alias("r"), F.max("n_shingles").alias("n"))
     nodes = store(nodes.select("node", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("first_hash"), "n"), "nodes")
-    parts = partitions_for(docs.sparkSession) * 2
-    survivors = store(candidates(postings(docs, frequent(read), words, percent, parts), percent, parts).distinct(), "survivors")
+    entries = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("n")).first()["n"] or 0
+    parts, long_from = max(partitions_for(docs.sparkSession), -(-int(entries) // ENTRIES)), longest(percent)
+    index = postings(docs, frequent(read), words, percent, parts, long_from)
+    survivors = store(candidates(index, percent, parts, long_from).distinct(), "survivors")
     groups = components(survivors).select(F.col("id").alias("node"), F.col("label").alias("grp"))
     groups = store(groups.join(nodes.hint("merge"), "node"), "groups")
     cells = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES))
-    groups = groups.join(groups.groupBy("grp").agg(cells.alias("cells")).hint("merge"), "grp").drop("n")
+    marks = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LANDMARKS)]))
+    large = store(groups.groupBy("grp").agg(cells.alias("cells"), marks.alias("marks")).where("cells > 1"), "large")
+    groups = salted(groups.drop("n"), large, "grp", "node", "left").withColumn("cells", F.coalesce("cells", F.lit(1).cast("long")))
 
     # Texts travel in place of their sets, which are twice as large.
-    sets = docs.join(groups.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("first_hash"))).select("grp", "cells", "node", "text")
-    sets = store(sets.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells"))).withColumn("role", F.lit(0)).withColumn("part", F.lit(0).cast("long")), "members")
+    sets = docs.join(groups.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("first_hash")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("cells")))
+    whole = F.array_contains("marks", F.col("node"))
+    cell = F.explode(F.when(whole, F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).otherwise(own))
+    sets = store(sets.select("grp", "cells", "node", "text", F.coalesce(whole, F.lit(False)).alias("mark"), cell.alias("cell"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("part")), "members")
     links = store(verify(sets, words, percent), "links")
 
-    large = groups.where("cells > 1")
     if large.limit(1).count():
         label = components(links).withColumnRenamed("id", "node")
-        label = large.select("grp", "node").join(label.hint("merge"), "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
+        label = groups.where("cells > 1").select("grp", "node").join(label.hint("merge"), "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
         counted = label.groupBy("grp", "label").agg(F.count("*").alias("n"))
-        main = counted.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        open_ = store(label.join(main.hint("merge"), "grp").where("label <> main").select("grp", "node"), "open")
-        parts = open_.groupBy("grp").agg(F.ceil(F.count("*") / OTHERS).alias("parts"))
-        rest = sets.where("cells > 1")
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        asked = rest.join(open_.select("node").hint("merge"), "node", "left_semi").join(parts.hint("merge"), "grp")
+        main = store(counted.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "main")
+        open_ = store(salted(label, main, "grp", "node").where("label <> main").select("grp", "node"), "open")
+        parts = store(open_.groupBy("grp").agg(F.ceil(F.count("*") / OTHERS).alias("parts")), "parts")
+        # One row of each set: marks stand in every cell.
+        rest = sets.where((F.col("cells") > 1) & (~F.col("mark") | (F.col("cell") == F.pmod(F.xxhash64("node"), F.col("cells")))))
+        asked = salted(rest.join(open_.select("node").hint("merge"), "node", "left_semi"), parts, "grp", "node")
         asked = asked.select("grp", "node", "text", every(F.col("cells")).alias("cell"), F.lit(1).alias("role"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).alias("part"))
-        there = rest.join(parts.hint("merge"), "grp").select("grp", "node", "text", "cell", "role", every(F.col("parts")).alias("part"))
+        there = salted(rest, parts, "grp", "node").select("grp", "node", "text", "cell", "role", every(F.col("parts")).alias("part"))
         links = store(links.union(verify(asked.unionByName(there), words, percent)), "links")
 
     label = components(links).withColumnRenamed("id", "node")
-    first = label.join(nodes.hint("merge"), "node").groupBy("label").agg(F.min("first").alias("least"))
-    named = label.join(first.hint("merge"), "label").select("node", "least", "label")
+    first = store(label.join(nodes.hint("merge"), "node").groupBy("label").agg(F.min("first").alias("least")), "least")
+    named = salted(label, first, "label", "node").select("node", "least", "label")
     own = nodes.join(named.hint("merge"), "node", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("label", "node").alias("label"))
-    return base.join(store(own, "named").hint("merge"), "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
+    named = store(own, "named")
+    return base.join(named.hint("merge"), "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
