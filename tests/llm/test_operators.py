@@ -340,22 +340,52 @@ def test_sharding(spark, docs, none):
 
 
 def test_top_k_against_plain(spark, monkeypatch):
-    for name, value in (("QUERY_BLOCK", 7), ("ROW_BLOCK", 11)):
-        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 5)).round(1)
     x[10:20] = x[9]  # ties
     x[20, :3] = 0
-    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(60, None, "e"), (61, [1.0, None], "e"), (62, [float("nan")], "e"), (63, [float("inf")] * 5, "e"), (64, [], "e")]
-    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, terms string"))
-    got = [tuple(r) for r in topk.search(df.where("vec_id % 4 = 0"), df, 5, 7, 11).orderBy("query_id", "rank").collect()]
+    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(60, None, "e"), (61, [1.0, None], "e"), (62, [float("nan")], "e"), (63, [float("inf")] * 5, "e"), (64, [], "e"), (None, [1.0] * 5, "e")]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, terms string").repartition(3))
     q = {i: np.floor(256 * v).astype(int) for i, v in enumerate(x)} | {64: np.zeros(5, int)}
     want = []
     for a in sorted(i for i in q if i % 4 == 0):
         best = sorted((-int(q[a] @ q[b]), b) for b in q if b != a)[:5]
         want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(best)]
-    assert got == want
+    for slab in (topk.SLAB, 200):  # one slab, and several
+        assert [tuple(r) for r in topk.search(df.where("vec_id % 4 = 0"), df, 5, slab).orderBy("query_id", "rank").collect()] == want
     assert topk.search(df.where("vec_id < 0"), df, 5).count() == 0
+    assert topk.search(df.where("vec_id < 0"), df.where("vec_id < 0"), 5).count() == 0
+
+
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [5000.0, 0.0]), (2, [6000.0, 0.0]), (3, [-7000.5]), (4, [2.0**35, 1.0]), (4, [2.0**35, 1.0]), (5, [2.0**36, 0.5]), (5, [0.0, 3.0])]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2))
+    got = {}
+    for r in topk.search(df.where("vec_id in (0, 5) and size(terms) > 0 and terms[0] < 1000000"), df, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    # Query 5 is its second row alone.
+    assert got[5] == [(4, 768 * 256), (4, 768 * 256), (0, 0), (1, 0)]
+    assert got[0] == [(5, 256 * 256 * 2**36), (4, 256 * 256 * 2**35), (4, 256 * 256 * 2**35), (2, 256 * 256 * 6000)]
+
+
+def test_top_k_scores_stay_exact_beyond_doubles():
+    """Scores over 2**53 by each type against Python's integers, over several batches."""
+    rng = random.Random(3)
+    for size in (2**7, 2**29, 2**40):
+        asked = np.array([[rng.randrange(-size, size) for _ in range(3)] for _ in range(4)])
+        rows = np.array([[rng.randrange(-min(size, 2**20), min(size, 2**20)) for _ in range(3)] for _ in range(30)])
+        best = topk.Best(np.arange(4), asked, 3)
+        for lo in range(0, 30, 7):
+            best.add(np.arange(100 + lo, 100 + min(30, lo + 7)), rows[lo : lo + 7])
+        got = [x for b in best.rows() for x in zip(*b.to_pydict().values(), strict=True)]
+        dot = lambda q, r: sum(int(a) * int(b) for a, b in zip(asked[q], rows[r], strict=True))  # noqa: B023, E731
+        assert got == [(q, 100 + r, s) for q in range(4) for s, r in sorted(((dot(q, r), r) for r in range(30)), key=lambda x: (-x[0], x[1]))[:3]]
+    wide = topk.Best(np.arange(1), np.array([[2**61, 2**61]]), 1)
+    wide.add(np.array([7, 8]), np.array([[2**61, -(2**61)], [1, 1]]))
+    assert [b.to_pydict()["score"] for b in wide.rows()] == [[2**62]]
+    wide.add(np.array([9]), np.array([[2**61, 2**61]]))
+    with pytest.raises(OverflowError):
+        list(wide.rows())
 
 
 def test_pipeline_stages(spark, tmp_path, none):
