@@ -3,18 +3,19 @@
 Texts are turned into ids inside the tasks that read them (the byte-level BPE vocabulary of
 `tokenizer`, then one end id). Documents longer than a window are cut into full windows first;
 what is left over is a shorter piece. Only the pieces' metadata (ids' checksum, start, length) is
-kept, written to the shared folder, and dealt by hash into groups of about GROUP pieces, so that
-the packing of a group fits a task whatever the size of the input. In a group, pieces are taken by
+kept, written to the shared folder, and dealt by hash into groups of about GROUP pieces; a task
+(of TASKS at most, each with its own groups, sorted) holds one group at a time. In a group, pieces are taken by
 decreasing length; a segment tree over remaining capacities 0..window finds the tightest open
 window that still holds the piece in O(log window), else a new window is opened.
 
-Sequence ids are group * 2**32 + number in the group: they depend on the rows alone, so a
-recomputed task gives the same ids.
+Sequence ids are group * 2**32 + number in the group: they depend on the stored pieces alone, so a
+recomputed task gives the same ids. Rows that agree in id, start, length and checksum are alike.
 
-The ids are those of the named `tokenizers` file; they are made with the same ranks through the
-faster `tiktoken` (tests compare both). Two patterns serve: without its look-ahead the split
-pattern runs in linear time and differs only where two white-space characters meet, so texts with
-such runs take the full pattern.
+The ids are those of the named `tokenizers` file, whose special tokens' strings in a text are those
+tokens (`<|endoftext|>` is 50256); they are made with the same ranks through the faster `tiktoken`
+(tests compare both). Two patterns serve: without its look-ahead the split pattern runs in linear
+time and differs only where two white-space characters meet or a special token follows one, so
+texts with such runs or tokens take the full pattern.
 
 Defined results: a null or empty text is the single end id; repeated rows are packed each; ties
 of length are ordered by doc_id and start; an empty table gives an empty result. Extra columns are
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import store, strings, table
 
-WINDOW, GROUP = 1024, 32_768
+WINDOW, GROUP, TASKS = 1024, 32_768, 20_000
+#: The vocabulary's special token. Fixed values.
+SPECIAL, END_OF_TEXT = "<|endoftext|>", 50256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECE}, sequence_id long, offset long"
 
@@ -51,13 +54,20 @@ def encoder(ranks_file: str) -> Callable[[str], list[int]]:
     import public_tokenizers
     import tiktoken
 
+    special = {SPECIAL: END_OF_TEXT}
     with open(public_tokenizers.path(ranks_file), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     pattern = public_tokenizers.PATTERN
-    whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     linear = tiktoken.Encoding("linear", pat_str=pattern.replace(r"|\s+(?!\S)", ""), mergeable_ranks=ranks, special_tokens={})
     runs = re.compile(r"\s\s|[\x1c-\x1f]")
-    return lambda text: (whole if runs.search(text) else linear).encode_ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        if SPECIAL in text:
+            return whole.encode(text, allowed_special={SPECIAL})
+        return (whole if runs.search(text) else linear).encode_ordinary(text)
+
+    return encode
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = "byte_bpe_50k.tiktoken", end: int = 0) -> DataFrame:
@@ -128,21 +138,32 @@ def pack(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """Sequence and offset for stored pieces."""
     groups = max(1, -(-cut.count() // group))
 
+    def placed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(held)
+        sequence, offset = best_fit(part.column("length").to_numpy(), window)
+        first = int(part.column("g")[0].as_py()) << 32
+        part = part.drop_columns("g").append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
+        yield from part.to_batches(max_chunksize=10_000)
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), schema=to_arrow(PIECE + ", g long"))
-        got = got.sort_by([("g", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
-        of = got.column("g").to_numpy()
-        if not len(of):
-            return
-        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        for lo, hi in zip(edges, [*edges[1:], len(of)], strict=True):
-            part = got.slice(lo, hi - lo)
-            sequence, offset = best_fit(part.column("length").to_numpy(), window)
-            part = part.drop_columns("g").append_column("sequence_id", pa.array((int(of[lo]) << 32) + sequence)).append_column("offset", pa.array(offset))
-            yield from part.to_batches(max_chunksize=10_000)
-
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
-    return dealt.repartition(groups, "g").mapInArrow(fill, PACKED)
+        held, now = [], None  # one group at a time; a task's rows are sorted by it
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(g)], strict=True):
+                if hi > lo:
+                    if held and g[lo] != now:
+                        yield from placed(held)
+                        held = []
+                    now = g[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from placed(held)
+
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups))  # rows repeated many times are dealt too)
+    tasks = min(groups, TASKS)
+    dealt = dealt.repartitionById(tasks, (F.col("g") % tasks).cast("int")).sortWithinPartitions("g", F.desc("length"), "doc_id", "start", "ids_crc32")
+    return dealt.mapInArrow(fill, PACKED)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

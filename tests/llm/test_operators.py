@@ -178,8 +178,7 @@ def test_packing_round_trip(spark, docs, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    odd = spark.createDataFrame([(900, "a  b\n\n c\t\t"), (901, "<|endoftext|> x"), (902, "don't    　x \x1c\x1c y"), (903, None)], "doc_id long, text string")
+    odd = spark.createDataFrame([(900, "a  b\n\n c\t\t"), (901, "<|endoftext|> x"), (904, "a <|endoftext|>"), (905, "<|endoftext|>"), (906, "x  <|endoftext|><|endoftext|> \n<|endoftext|  y  <|endoftext|>"), (907, "w " * 3000 + "<|endoftext|>"), (902, "don't    　x \x1c\x1c y"), (903, None)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(odd)
     got = packing.pack(packing.pieces(both), group=50).collect()
     by: dict[int, list] = {}
