@@ -160,7 +160,8 @@ def pack(cut: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
         if held:
             yield from placed(held)
 
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups))  # rows repeated many times are dealt too)
+    # Rows that are repeated many times are dealt too.
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)))
     tasks = min(groups, TASKS)
     dealt = dealt.repartitionById(tasks, (F.col("g") % tasks).cast("int")).sortWithinPartitions("g", F.desc("length"), "doc_id", "start", "ids_crc32")
     return dealt.mapInArrow(fill, PACKED)
