@@ -10,18 +10,24 @@ learned from labels.
 The character model counts trigrams of every text (28**3 sums leave the tasks). The word weights
 are a classifier fitted on at most FIT_ROWS labelled rows of each class, chosen by the hash of
 doc_id (the documented bound) and thinned of copies: of texts whose least word-triple hashes agree
-under three mixings one stays, so a group of near copies counts a few times at most and unlike
-texts all count; a word counts once a text. Words that occur in at least `least` and
-one in a hundred of the toxic texts, at several times their rate in clean ones, make the lexicon.
-A text's score is the logistic of a base rate plus the weights of its distinct lexicon words. A
-word with doubled letters is also tried with the doubling undone.
+under three mixings that of the least doc_id stays; a word counts once a text. Words that occur in
+at least `least` and one in a hundred of the toxic texts, at several times their rate in clean ones,
+make the lexicon, if those texts are unlike each other: under each mixing alone they must still show
+as many different least hashes, so a word of a group of near copies does not enter. Beside words
+there are stems: STEMS leading letters that at least two different plain words of a text share; a
+word that has a lexicon stem gives no evidence but the stem's. A text's score is the logistic of the
+base plus the weights (log likelihood ratios) of its distinct lexicon words and, of stems that begin
+one another, the largest; the base is the log-odds of the labelled texts without any. A word with
+doubled letters is also tried with the doubling undone.
 
 Scoring is one pass over whole texts inside the tasks that read them; restored words are
 remembered by each worker, in a table that is emptied when it is full.
 
-Defined results: null and empty texts get the base score; without labels of both classes every
-text gets the base score 0.05; repeated rows are scored alike; labels that repeat a doc_id count
-once, by the larger label. Extra columns are not read.
+Defined results: null and empty texts get the base score, as does every text of an empty lexicon;
+without labels of both classes the base is 0.05; repeated rows are scored alike; labels that repeat a
+doc_id count once, by the larger label; an empty table gives an empty result; equally good decodings
+are taken in the order of their letters. Very long texts are counted in chunks and scored whole.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, store, strings, table
 
-FIT_ROWS, LEAST, SHARE, MEMORY, BASE, PATHS = 8_000, 6, 0.01, 200_000, 0.05, 4
+FIT_ROWS, LEAST, SHARE, MEMORY, BASE, PATHS, STEMS, RATE = 8_000, 6, 0.01, 200_000, 0.05, 4, range(4, 8), 10
 BORDER, SIZE = 0, 27
 #: Look-alikes of letters. Fixed values.
 ALIKE = {
@@ -157,7 +163,9 @@ class Restorer:
     """Words of a text, plain and restored. A word that repeats letters of a lexicon word is held to that word."""
 
     def __init__(self, model: np.ndarray, lexicon: Iterable[str] = ()) -> None:
-        lexicon = list(lexicon)
+        self.stems = {w[:-1].encode() for w in lexicon if w.endswith("*")}
+        self.lengths = sorted(set(map(len, self.stems)))
+        lexicon = [w for w in lexicon if not w.endswith("*")]
         self.model, self.known, self.doubled = model.tolist(), {}, {}
         self.window = max(WINDOW, 4 * max(map(len, lexicon), default=0))
         for word in lexicon:
@@ -198,8 +206,7 @@ class Restorer:
                     hi += 1
                 out.add(low[lo:hi])
                 at = kind.find(sign, hi)
-        if b" a a" in kind or b".a." in kind or b" a 0" in kind or b" 0 a" in kind:
-            out.update(low[m.start() : m.end()] for m in SPACED.finditer(kind))
+        out.update(low[m.start() : m.end()] for m in SPACED.finditer(kind))
         b = np.frombuffer(low, dtype=np.uint8)
         if len(b) > 2:
             same = b[1:] == b[:-1]
@@ -239,15 +246,21 @@ class Restorer:
         return out
 
     def words(self, text: str) -> set[str]:
+        """Words and stems (marked by a star) of a text."""
         low = text.lower().encode("utf-8", "replace")
-        return {w.decode("utf-8", "replace") for w in low.translate(LETTERS).split()} | self.restored(low)
+        plain = {w.decode("utf-8", "replace") for w in low.translate(LETTERS).split()}
+        shared = Counter(w[:k] for w in plain for k in STEMS if len(w) > k)
+        return plain | self.restored(low) | {f"{w}*" for w, n in shared.items() if n > 1}
 
     def hits(self, text: str) -> set[str]:
-        """Lexicon words of a text."""
+        """Lexicon words and stems of a text."""
         low = text.lower().encode("utf-8", "replace")
         plain = set(low.translate(LETTERS).split())
         out = {w.decode() for w in self.lexicon & plain}
         out.update(self.doubled[w] for w in self.doubled.keys() & plain)
+        if self.stems:
+            shared = Counter(w[:k] for k in self.lengths for w in plain if w[:k] in self.stems and len(w) > k)
+            out.update(f"{w.decode()}*" for w, n in shared.items() if n > 1)
         for w in self.restored(low):
             w = w.encode("utf-8", "replace")
             if w in self.lexicon:
@@ -257,6 +270,18 @@ class Restorer:
         return out
 
 
+def evidence(hits: set[str], weights: dict[str, float]) -> float:
+    """Sum of weights; of stems that begin one another the largest alone."""
+    total, stems = 0.0, []
+    for w in sorted(hits, key=lambda w: (-weights[w], w)):
+        if w.endswith("*"):
+            if any(w[:-1].startswith(s) or s.startswith(w[:-1]) for s in stems):
+                continue
+            stems.append(w[:-1])
+        total += weights[w]
+    return total
+
+
 def copy_key(text: str) -> Column:
     """Least hashes of a text's word triples under three mixings. Unlike texts share few triples, so all three agree in copies only."""
     # Arrays of one bind what is inside, which lambdas would work out again for every element.
@@ -293,18 +318,39 @@ def word_weights(docs: DataFrame, labels: DataFrame, chars: np.ndarray, fit_rows
                     yield rows()
         yield rows()
 
-    drawn = drawn.withColumn("_copy", copy_key("text")).dropDuplicates(["toxic", "_copy"])
-    drawn = store(drawn.select("text", "toxic"), "labelled")  # fit_rows texts of each class at most, about
+    drawn = drawn.withColumn("copy", copy_key("text")).groupBy("toxic", "copy").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
+    drawn = store(drawn.select("text", F.col("toxic").cast("int").alias("toxic"), "copy"), "labelled")  # fit_rows texts of each class at most, about
     n = {k: 0 for k in (0, 1)} | {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     if not n[0] or not n[1]:
         return {}, math.log(BASE / (1 - BASE))
-    both = drawn.select("text", F.col("toxic").cast("int")).mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    both = drawn.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # Rates, not counts, are compared: the classes are drawn at different shares. A word is in the lexicon if
-    # even with two more clean texts its rate among toxic texts is four times that among clean ones.
-    rate = (F.col("toxic") / n[1]) / ((F.col("clean") + 2) / n[0])
-    chosen = both.where((F.col("toxic") >= max(least, SHARE * n[1])) & (rate >= 4)).orderBy(F.desc("toxic"), "word").limit(50_000).collect()
-    weights = {r["word"]: math.log(((r["toxic"] + 0.1) / n[1]) / ((r["clean"] + 0.1) / n[0])) for r in chosen}
-    return {w: x for w, x in weights.items() if x >= 3.5}, math.log(BASE / (1 - BASE))
+    # even with two more clean texts its rate among toxic texts is RATE times that among clean ones. Each is in
+    # one of a hundred toxic texts, so they are a hundred times the words of a text at most.
+    rate, support = (F.col("toxic") / n[1]) / ((F.col("clean") + 2) / n[0]), max(least, SHARE * n[1])
+    chosen = {r["word"]: (r["clean"], r["toxic"]) for r in both.where((F.col("toxic") >= support) & (rate >= RATE)).collect()}
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Restorer(chars)
+        for batch in batches:
+            made = [(w, *(k or [0, 0, 0])) for text, k in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True) for w in reader.words(text or "") & chosen.keys()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], pa.int64() if i else pa.string()) for i in range(4)], names=["word", "k0", "k1", "k2"])
+
+    unlike = drawn.where("toxic = 1").select("text", "copy").mapInArrow(used, "word string, k0 long, k1 long, k2 long").groupBy("word")
+    unlike = {r["word"] for r in unlike.agg(*[F.count_distinct(f"k{i}").alias(f"k{i}") for i in range(3)]).collect() if min(r["k0"], r["k1"], r["k2"]) >= support}
+    starts = tuple(w[:-1] for w in unlike if w.endswith("*"))
+    weights = {w: math.log(((toxic + 0.5) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))) for w, (clean, toxic) in sorted(chosen.items()) if w in unlike and (w.endswith("*") or not w.startswith(starts))}
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, n = Restorer(chars, weights), [0, 0]
+        for batch in batches:
+            for text, toxic in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                n[toxic] += not reader.hits(text or "")
+        yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], names=["clean", "toxic"])
+
+    bare = drawn.select("text", "toxic").mapInArrow(without, "clean long, toxic long").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    toxic, clean = ((bare[k] + 1) / n[i] * sizes[i] for k, i in (("toxic", 1), ("clean", 0)))
+    return weights, math.log(toxic / clean)
 
 
 def score(docs: DataFrame, chars: np.ndarray, weights: dict[str, float], base: float) -> DataFrame:
@@ -313,7 +359,7 @@ def score(docs: DataFrame, chars: np.ndarray, weights: dict[str, float], base: f
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Restorer(chars, weights)
         for batch in batches:
-            made = [1 / (1 + math.exp(-min(30.0, base + sum(weights[w] for w in reader.hits(t or ""))))) for t in strings(batch.column(2))]
+            made = [1 / (1 + math.exp(-min(30.0, base + evidence(reader.hits(t or ""), weights)))) for t in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.float64())], names=["doc_id", "held_out", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text").mapInArrow(each, "doc_id long, held_out boolean, score double")

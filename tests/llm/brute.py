@@ -89,3 +89,29 @@ def katz(docs: list[tuple[int, str | None]]) -> dict[int, tuple]:
     for h in list(count)[:20]:  # each context sums to one over the known words and one unknown
         assert abs(sum(p(h, w) for w in [*one, b"\0"]) - 1) < 1e-9
     return {i: (fold[i] == 2, len(t), sum(w in one for w in t), n, sum(math.log10((one.get(w, 0) + 1) / whole) for w in t), sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t], t))) for i, t in texts.items()}
+
+
+def decodings(steps: list, model: list) -> list[tuple[float, str]]:
+    """Every path of a lattice with its cost, best first."""
+    paths = [(0.0, "", 0, 0)]
+    for arcs in steps:
+        paths = [
+            (c + cost - (model[a][b][ord(x) - 96] if x else 0), w + x, b if x else a, ord(x) - 96 if x else b)
+            for c, w, a, b in paths
+            for x, cost in arcs
+        ]
+    return sorted((c - model[a][b][0], w) for c, w, a, b in paths if w)
+
+
+def viterbi(steps: list, model: list) -> tuple[float, str]:
+    """The best path of a lattice over all pairs of letters."""
+    best = {(0, 0): (0.0, "")}
+    for arcs in steps:
+        nxt: dict = {}
+        for (a, b), (c, w) in best.items():
+            for x, cost in arcs:
+                key, made = ((b, ord(x) - 96), c + cost - model[a][b][ord(x) - 96]) if x else ((a, b), c + cost)
+                if key not in nxt or (made, w + x) < nxt[key]:
+                    nxt[key] = (made, w + x)
+        best = nxt
+    return min((c - model[a][b][0], w) for (a, b), (c, w) in best.items() if w)

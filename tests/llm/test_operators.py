@@ -157,7 +157,7 @@ def test_toxicity_disguises_of_any_length(spark):
     reader = toxicity.Restorer(chars, bad)
     tests = {"fe" + "z" * 80 + "ik": {"fezzik"}, "漢字漢字漢字漢字漢字gr|mb0l漢字": set(), "漢字漢字漢字漢字漢字n4rl0d漢字漢字": {"narlod"}}
     tests |= {"a n a r l o d": {"narlod"}, "f e z z i k n a r l o d": {"fezzik", "narlod"}, " ".join("narlodfezzikgrumbolnarlodfezzik"): set(bad)}
-    tests |= {"n**lod": {"narlod"}, "x 1 2 3 4 5 6 7 8 9": set()}
+    tests |= {"n**lod": {"narlod"}, "n  a  r  l  o  d": {"narlod"}, "so n. a. r. l. o. d it": {"narlod"}, "x 1 2 3 4 5 6 7 8 9": set()}
     assert {t: reader.hits(t) for t in tests} == tests
 
 
@@ -173,6 +173,50 @@ def test_toxicity_fit_keeps_unlike_texts(spark):
     assert "narlod" in weights
 
 
+def test_toxicity_decoder_is_viterbi():
+    rng = np.random.default_rng(11)
+    model = np.log(rng.dirichlet(np.ones(27), size=(27, 27)))
+    signs = "abcdefgh" * 3 + "0134@$!*. -aabb"
+    pick = lambda n: "".join(signs[i] for i in rng.integers(0, len(signs), n))
+    for n in range(2, 8):
+        word = pick(n).replace("*", "1")
+        every = brute.decodings(toxicity.lattice(word), model.tolist())
+        want = list(dict.fromkeys(w for _, w in every))[: toxicity.PATHS]
+        assert toxicity.restore(word, model.tolist())[:1] == want[:1], word
+        assert set(toxicity.restore(word, model.tolist())) <= {w for _, w in every}
+    for word in [pick(n) for n in (20, 40, 60)] + ["n**l..o  d", "a  b  c", "**"]:
+        assert toxicity.restore(word, model.tolist())[0] == brute.viterbi(toxicity.lattice(word), model.tolist())[1], word
+
+
+def test_toxicity_stems_and_odd_tables(spark, none):
+    rng = random.Random(15)
+    ends = ["ta", "no", "ser", "ul", "eno"]
+    made = lambda i: " ".join([prose(rng, 50), *(f"qvarx{e}" for e in rng.sample(ends, 1 + 2 * (i % 3 == 0))), prose(rng, 50)])
+    rows = [(i, made(i)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    chars = toxicity.character_model(df)
+    weights, base = toxicity.word_weights(df, labels, chars)
+    assert "qvarx*" in weights and (weights, base) == toxicity.word_weights(df.repartition(5), labels.repartition(2), chars)
+    long = prose(rng, 200_000)
+    tests = [(1, "a qvarxta b qvarxzz c"), (2, "a qvarxta b qvarxta c"), (2, "a qvarxta b qvarxta c"), (3, long + " g  r  u  m qvarxta qvarxno"), (4, long), (None, None)]
+    wide = spark.createDataFrame([(i, t, "x", 1.0) for i, t in tests], "doc_id long, text string, lang string, score double")
+    got = sorted((str(r.doc_id), r.score >= 0.3) for r in toxicity.score(wide, chars, weights, base).collect())
+    assert got == [("1", True), ("2", False), ("2", False), ("3", True), ("4", False), ("None", False)]
+    assert toxicity.score(none, chars, weights, base).count() == 0
+    nothing, base = toxicity.word_weights(none, labels.where("doc_id < 0"), toxicity.character_model(none))
+    assert nothing == {} and base == pytest.approx(np.log(0.05 / 0.95))
+    assert toxicity.evidence({"abcd*", "abcde*", "x"}, {"abcd*": 2.0, "abcde*": 3.0, "x": 1.0}) == 4.0
+
+
+def test_toxicity_held_out_recall(spark):
+    """Held-out recall and precision on the given table: labels hold some rows without any sign."""
+    got = queries.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null")
+    counts = {(r.toxic, r.predicted): r["count"] for r in got.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.9 * (counts[1, 1] + counts[1, 0]) and counts[1, 1] >= 0.9 * (counts[1, 1] + counts.get((0, 1), 0))
+
+
 def test_packing_round_trip(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
