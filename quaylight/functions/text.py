@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import html as entities
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..schemas import DROPPED_TAGS, LEGAL_SUFFIX
 
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"  # RFC 4122
-DROPPED_TAGS = ["script", "style", "noscript", "ix:header"]
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
 
 def canonical_url(url: Column) -> Column:
@@ -19,7 +23,7 @@ def canonical_url(url: Column) -> Column:
         F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda p: p != ""),
         lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), decoded(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("v")),
     )
-    kept = F.array_sort(F.filter(pairs, lambda p: ~(p["k"].startswith("utm_") | p["k"].isin("fbclid", "gclid"))))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~(F.lower(p["k"]).startswith("utm_") | F.lower(p["k"]).isin("fbclid", "gclid"))))
     query = F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
     path = F.coalesce(F.nullif(part("PATH"), F.lit("")), F.lit("/"))
     whole = F.concat(scheme, F.lit("://"), authority, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
@@ -32,7 +36,13 @@ def normalize_name(name: Column) -> Column:
 
 def short_name(name: Column) -> Column:
     """Without legal suffixes at the end."""
-    return F.trim(F.regexp_replace(name, r"(?i)(?:[, ]+(?:incorporated|inc|corporation|corp|limited|ltd|plc|co)\.?)+$", ""))
+    return F.trim(F.regexp_replace(name, LEGAL_SUFFIX, ""))
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(html: pd.Series) -> pd.Series:
+    """Numeric and named character references as characters."""
+    return html.map(entities.unescape, na_action="ignore")
 
 
 def clean_html(html: Column) -> Column:
@@ -41,9 +51,9 @@ def clean_html(html: Column) -> Column:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     html = F.regexp_replace(html, r"<[^>]*>", " ")
-    for entity, char in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(html, r"\s+", " "))
+    # Only pages that still hold an entity go through Python.
+    html = F.when(F.contains(html, F.lit("&")), unescaped(F.when(F.contains(html, F.lit("&")), html))).otherwise(html)
+    return F.trim(F.regexp_replace(html, r"(?U)\s+", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -56,8 +66,10 @@ def sanitize_phrase(phrase: Column) -> Column:
 
 
 def excerpt(text: Column, mention: Column, before: int = 500, size: int = 1200) -> Column:
-    """Up to `size` characters from `before` ahead of the first mention; from the start without one."""
-    return F.substr(text, F.greatest(F.position(mention, text) - before, F.lit(1)), F.lit(size))
+    """Up to `size` characters from `before` ahead of the first mention, in any case and with anything but letters and digits between its words; from the start without one."""
+    words = F.transform(F.filter(F.split(mention, r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    pattern = F.concat(F.lit("(?iU)"), F.array_join(words, r"\W+"))
+    return F.substr(text, F.greatest(F.regexp_instr(text, pattern) - before, F.lit(1)), F.lit(size))
 
 
 def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:

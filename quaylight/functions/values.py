@@ -86,6 +86,12 @@ def month_range(day: Column) -> tuple[Column, Column]:
     return F.trunc(day, "month"), F.last_day(day)
 
 
+def default_windows(today: Column) -> tuple[Column, Column, Column, Column]:
+    """Recent days (start, end) and months (before, after) that are collected where none are named."""
+    month = F.trunc(today, "month")
+    return F.date_sub(today, 37), F.date_sub(today, 7), F.add_months(month, -2), F.add_months(month, -1)
+
+
 def ndvi(red: Column, near: Column) -> Column:
     return (near - red) / F.greatest(near + red, F.lit(1e-6))
 

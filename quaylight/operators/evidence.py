@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid5
@@ -102,6 +102,12 @@ def run_status(errors: Column, productive: Column) -> Column:
     return F.when(errors == 0, "success").when(productive > 0, "partial").otherwise("failed")
 
 
+def audit_run(spark: SparkSession, path: str, run: str, status: str, at: str, errors: int = 0, summary: str | None = None) -> None:
+    """Append a row of a run: at its start with status `running`, at its end with the outcome."""
+    row = spark.range(1).select(F.lit(run).alias("id"), F.lit(status).alias("status"), F.lit(at).cast("timestamp").alias("written_at"), F.lit(errors).alias("errors"), F.lit(summary).cast("string").alias("summary"))
+    row.write.mode("append").parquet(path)
+
+
 def latest_runs(audit: DataFrame) -> DataFrame:
     """Runs append a row at the start and one at the end; the last row counts."""
     return newest(audit, ["id"], ["written_at"])
@@ -152,7 +158,3 @@ def valid_edges(relationships: DataFrame, companies: DataFrame, signals: DataFra
     )
     visible = signals.where((F.col("ingested_at") <= as_of) & (F.col("observed_at") <= as_of)).select(F.col("id").alias("source_signal_id"))
     return newest(kept.join(visible, "source_signal_id", "left_semi").select(*relationships.columns), ["supplier_id", "customer_id"], ["created_at", "id"])
-
-
-def ranked(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

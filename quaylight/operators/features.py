@@ -2,52 +2,76 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import age, finite, industry_features, log_count, window_days
-from ..schemas import SOURCES, TARGET
+from ..schemas import FEATURE_SCHEMA, SOURCES, TARGET
+from ..sources.sinks import write_snapshot
 from .evidence import valid_edges
-from .relational import bitemporal, targets
+from .metrics import split_problems
+from .relational import bitemporal, guarded, known_links, recent_or_referenced
 
 VISION, NEWS = ["satellite", "viirs"], ["news"]
+MOST_STEPS, MOST_COMPANIES = 366, 10_000
 STATS = ["value", "count", "present", "age"]
 
 
-EXTRACTED = "origin string, provenance string, eligible_for_scoring string, surface_change string, relative_radiance_decrease string, vessel_activity_ratio string"
+def field(parsed: Column, name: str) -> Column:
+    return F.try_variant_get(parsed, f"$.{name}", "variant")
+
+
+def said(v: Column) -> Column:
+    """Whether a JSON value says something: not null, false, zero or empty."""
+    return ~F.to_json(F.struct(v.alias("v"))).isin(*[f'{{"v":{x}}}' for x in ("null", "false", "0", "-0", "0.0", "-0.0", '""', "[]", "{}")])
+
+
+def number(parsed: Column, name: str) -> Column:
+    """A finite JSON number; null for anything else, texts and booleans included."""
+    kind = F.schema_of_variant(field(parsed, name))
+    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), finite(F.try_variant_get(parsed, f"$.{name}", "double")))
+
+
+def eligible(parsed: Column) -> Column:
+    """News counts unless it says otherwise; null and empty count as saying so, absence does not."""
+    v = field(parsed, "eligible_for_scoring")
+    return v.isNull() | F.coalesce(said(v), F.lit(False))
 
 
 def measurement(parsed: Column) -> Column:
     """A signal's value: severity of eligible news, or the squashed metric of a located, documented sensor reading; else null.
 
-    parsed: the signal's JSON as a struct of EXTRACTED, so that it is read once.
+    parsed: the signal's JSON as a variant, so that it is read once.
     """
-    get = lambda k: finite(parsed[k].try_cast("double"))
-    text = lambda k: parsed[k]
-    located = (text("origin") == "location_observation") & (F.length(F.coalesce(text("provenance"), F.lit(""))) > 2)
+    located = (F.try_variant_get(parsed, "$.origin", "string") == "location_observation") & F.coalesce(said(field(parsed, "provenance")), F.lit(False))
     return finite(
-        F.when(F.col("source_type") == "news", F.when(F.coalesce(text("eligible_for_scoring"), F.lit("true")) != "false", F.col("severity")))
+        F.when(F.col("source_type") == "news", F.when(eligible(parsed), F.col("severity")))
         .when(~F.coalesce(located, F.lit(False)), None)
-        .when(F.col("source_type") == "satellite", F.tanh(get("surface_change")))
-        .when(F.col("source_type") == "viirs", F.tanh(get("relative_radiance_decrease")))
-        .when(F.col("source_type") == "ais", F.tanh(get("vessel_activity_ratio") - 1))
+        .when(F.col("source_type") == "satellite", F.tanh(number(parsed, "surface_change")))
+        .when(F.col("source_type") == "viirs", F.tanh(number(parsed, "relative_radiance_decrease")))
+        .when(F.col("source_type") == "ais", F.tanh(number(parsed, "vessel_activity_ratio") - 1))
     )
 
 
+def parsed_once(make) -> Column:
+    """make(parsed) of the column `extracted`. Inside a lambda the parsed variant is one value; as a column it would be parsed anew for every mention."""
+    return F.get(F.transform(F.array(F.coalesce(F.try_parse_json("extracted"), F.parse_json(F.lit("{}")))), make), F.lit(0))
+
+
 def visible_measurements(signals: DataFrame, as_of: Column) -> DataFrame:
     """Signals known at as_of, inside the window of their source, with a value."""
     known = bitemporal(signals, as_of).where(F.col("source_type").isin(SOURCES))
     fresh = known.where(F.col("observed_at") >= as_of - F.make_interval(days=window_days(F.col("source_type"))))
-    # Inside a lambda the parsed struct is one value; as a column it would be parsed anew for every mention.
-    value = F.get(F.transform(F.array(F.from_json("extracted", EXTRACTED)), measurement), F.lit(0))
-    return fresh.withColumn("value", value).where(F.col("value").isNotNull())
+    return fresh.withColumn("value", parsed_once(measurement)).where(F.col("value").isNotNull())
 
 
 def source_features(measured: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
     """(company_id, source_type): value (largest for news, else newest), log count, presence and age."""
-    met = measured.join(targets(measured, links, as_of).withColumnRenamed("signal_id", "id").withColumnRenamed("company_id", "target"), "id")
+    # Each signal carries its value to its own company, or to those of its location.
+    known = known_links(links, as_of).select("location_id", F.col("company_id").alias("target"))
+    used = ["id", "source_type", "value", "observed_at"]
+    own = measured.where(F.col("company_id").isNotNull()).select(*used, F.col("company_id").alias("target"))
+    met = own.unionByName(measured.where(F.col("company_id").isNull()).select(*used, "location_id").join(known, "location_id").select(*used, "target"))
     newest_value = F.max_by("value", F.struct("observed_at", "id"))
     sums = met.groupBy(F.col("target").alias("company_id"), "source_type").agg(F.max("value").alias("_most"), newest_value.alias("_last"), F.count("*").alias("n"), F.max("observed_at").alias("_at"), F.array_sort(F.collect_set("id")).alias("evidence"))
     seconds = (F.unix_micros(as_of) - F.unix_micros("_at")) / 1e6
@@ -86,7 +110,7 @@ def feature_coverage(evidence: DataFrame) -> DataFrame:
 
 def max_severity(signals: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Largest severity of scoreable news in the last days, with the signals' ids."""
-    fresh = signals.where((F.col("source_type") == "news") & F.col("severity").isNotNull() & (F.col("observed_at") >= now - F.make_interval(days=F.lit(days))) & (F.coalesce(F.get_json_object("extracted", "$.eligible_for_scoring"), F.lit("true")) != "false"))
+    fresh = signals.where((F.col("source_type") == "news") & F.col("severity").isNotNull() & (F.col("observed_at") >= now - F.make_interval(days=F.lit(days))) & parsed_once(eligible))
     return fresh.where(F.col("company_id").isNotNull()).groupBy("company_id").agg(F.max("severity").alias("severity"), F.array_sort(F.collect_list("id")).alias("signal_ids"))
 
 
@@ -104,22 +128,37 @@ def sequences(days: DataFrame, steps: int) -> DataFrame:
     return listed.where(F.size("frames") == steps).select("day", "snapshot_id", "as_of", "start", "frames")
 
 
+def increasing(frames: DataFrame) -> DataFrame:
+    """(step, as_of) of steps that are not later than the step before. A row for each step only."""
+    times = frames.groupBy("step").agg(F.min("as_of").alias("as_of"))
+    return times.withColumn("_last", F.lag("as_of").over(Window.orderBy("step"))).where(F.col("as_of") <= F.col("_last")).drop("_last")
+
+
+def temporal_frames(frames: DataFrame, columns: list[str]) -> DataFrame:
+    """Frames (step, as_of, id, columns) aligned to the last universe; times must increase with the steps."""
+    if increasing(frames).limit(1).count():
+        raise ValueError("snapshots must be ordered by time")
+    return align(frames, columns)
+
+
 def align(frames: DataFrame, columns: list[str]) -> DataFrame:
     """Rows (step, id, columns): every step gets the ids of the last step; unknown ones are absent with zeros."""
-    last = frames.agg(F.max("step").alias("step"))
-    universe = frames.join(last, "step", "left_semi").select("id")
-    steps = frames.select("step").distinct()
-    whole = universe.crossJoin(F.broadcast(steps))  # a few steps
-    met = whole.join(frames.withColumn("present", F.lit(True)), ["step", "id"], "left")
+    steps = sorted(r["step"] for r in guarded(frames.select("step").distinct(), MOST_STEPS, "steps").collect())
+    universe = frames.where(F.col("step") == steps[-1]) if steps else frames
+    whole = universe.select("id", F.explode(F.array(*map(F.lit, steps)) if steps else F.array().cast(f"array<{frames.schema['step'].dataType.simpleString()}>")).alias("step"))
+    met = whole.join(frames.withColumn("present", F.lit(True)).hint("merge"), ["step", "id"], "left")
     return met.select("step", "id", F.coalesce("present", F.lit(False)).alias("present"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 
 def label_problem(now: Column) -> Column:
-    """The first rule that an outcome label breaks; null for a valid one (duplicates are found over the table)."""
+    """The first rule that an outcome label breaks; null for a valid one (duplicates are found over the table).
+
+    A label is the whole number 0 or 1, as a number or as its JSON text: 0.0 and true are none.
+    """
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     week = F.unix_micros("outcome_end") - F.unix_micros("as_of") == 7 * 86_400_000_000
     rules = [
-        (~F.coalesce(F.col("label").isin(0, 1), F.lit(False)), "label"),
+        (~F.coalesce(F.col("label").cast("string").isin("0", "1"), F.lit(False)), "label"),
         (~F.coalesce((F.col("as_of") < F.col("outcome_end")) & (F.col("outcome_end") <= F.col("available_at")) & (F.col("available_at") <= now), F.lit(False)), "times"),
         (blank("reviewed_by") | blank("rationale"), "review"),
         (F.coalesce(F.col("target") != TARGET, F.lit(True)), "target"),
@@ -129,6 +168,16 @@ def label_problem(now: Column) -> Column:
     return F.coalesce(*[F.when(broken, F.lit(name)) for broken, name in rules])
 
 
+def checked_labels(labels: DataFrame, now: Column) -> DataFrame:
+    """labels with whole numbers as labels; refused where any row breaks a rule or repeats another."""
+    broken = labels.withColumn("problem", label_problem(now)).where(F.col("problem").isNotNull()).limit(1).collect()
+    if broken:
+        raise ValueError(f"a label breaks the rule of {broken[0]['problem']}")
+    if duplicate_labels(labels).limit(1).count():
+        raise ValueError("labels repeat a snapshot and company")
+    return labels.withColumn("label", F.col("label").cast("int"))
+
+
 def duplicate_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("snapshot_id", "company_id").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -141,6 +190,28 @@ def examples(days: DataFrame, labels: DataFrame, steps: int) -> tuple[DataFrame,
     return made, labels.join(seqs, ["snapshot_id", "as_of"], "left_anti")
 
 
+def gated(split: DataFrame, least: int = 20) -> DataFrame:
+    """A split of examples with `labels`, refused where a part is empty, has fewer than `least` labels or one class."""
+    rows = split.select("split", F.explode("labels.label").alias("y"))
+    if bad := [r["split"] for r in split_problems(rows, least).collect()]:  # three rows at most
+        raise ValueError(f"too few labels or one class in {sorted(bad)}")
+    return split
+
+
+def split_snapshots(split: DataFrame) -> DataFrame:
+    """The distinct snapshots of each part of a split."""
+    return split.select("split", F.explode("frames").alias("snapshot_id")).distinct()
+
+
+def record_snapshot(companies: DataFrame, signals: DataFrame, relationships: DataFrame, links: DataFrame, as_of: Column, path: str, schema: str = FEATURE_SCHEMA, most: int = MOST_COMPANIES) -> DataFrame:
+    """The features as of now, assembled from recent or referenced signals, refused without companies or with over `most`, appended under their content id."""
+    used = recent_or_referenced(bitemporal(signals, as_of), relationships.where("status = 'approved'"), as_of)
+    nodes = assemble(companies, used, relationships, links, as_of)["nodes"]
+    if not guarded(nodes, most, "companies").limit(1).count():
+        raise ValueError("no real companies")
+    return write_snapshot(nodes, path, schema)
+
+
 def temporal_split(rows: DataFrame, least: int = 12) -> DataFrame:
     """Examples (example_id, start, as_of, label_end, label_available) with a chronological 60/20/20 split.
 
@@ -167,7 +238,3 @@ def ablate(nodes: DataFrame, name: str) -> DataFrame:
 
 def last_frame_only(frames: DataFrame) -> DataFrame:
     return frames.join(frames.agg(F.max("step").alias("step")), "step", "left_semi")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

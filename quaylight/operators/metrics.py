@@ -52,6 +52,13 @@ def regression(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.abs(F.col(p) - F.col(y))).alias("mae"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("mse"))
 
 
+def regression_baselines(df: DataFrame, y: str, local: str, split: str = "split", train: str = "train") -> DataFrame:
+    """On each split the mean absolute error of predicting the training mean, and of the local input."""
+    mean = df.where(F.col(split) == train).agg(F.avg(y).alias("_mean"))
+    met = df.crossJoin(F.broadcast(mean))  # one row
+    return met.groupBy(split).agg(F.avg(F.abs(F.col("_mean") - F.col(y))).alias("constant_mae"), F.avg(F.abs(F.col(local) - F.col(y))).alias("local_mae"))
+
+
 def across_seeds(runs: DataFrame) -> DataFrame:
     """Mean and population deviation of f1 and brier for each (architecture, ablation)."""
     return runs.groupBy("architecture", "ablation").agg(*[f(m).alias(f"{m}_{n}") for m in ("f1", "brier") for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"))])

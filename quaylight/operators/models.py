@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,8 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import ablate
-from .metrics import average_precision, brier, confusion, roc_auc
+from .features import ablate, last_of_day
+from .metrics import average_precision, brier, confusion, constant_brier, roc_auc
 
 
 def eligibility(least: int = 20) -> Column:
@@ -49,7 +50,7 @@ def fit_and_select(rows: DataFrame, features: list[str], architectures=("logisti
     """rows (split, y, features): metrics of each run on each split, and the full model with the least validation Brier score. The test split never selects."""
     found, best = None, (float("inf"), None)
     for architecture, seed, ablation in product(architectures, seeds, ablations):
-        data = ablate(rows, ablation).cache()
+        data = ablate(rows, ablation)
         model = classifier(architecture, features, seed).fit(data.where("split = 'train'"))
         scored = predictions(model, data).select("split", F.col("y").cast("double").alias("y"), "p")
         run = confusion(scored, ["split"])
@@ -65,10 +66,27 @@ def fit_and_select(rows: DataFrame, features: list[str], architectures=("logisti
 
 def score_current(model: PipelineModel, nodes: DataFrame, evidence: DataFrame, model_id: str, snapshot_id: str, basis: str, now: Column) -> DataFrame:
     """Score rows of companies with evidence, with their lineage."""
-    scored = predictions(model, nodes).join(evidence.withColumnRenamed("company_id", "id"), "id")
+    scored = predictions(model, nodes).join(evidence.withColumnRenamed("company_id", "id").hint("merge"), "id")
     return scored.select(F.col("id").alias("company_id"), F.col("p").alias("score"), "evidence_count", F.lit(model_id).alias("model_version_id"), F.lit(snapshot_id).alias("graph_snapshot_id"), F.lit(basis).alias("input_basis"), now.alias("computed_at"))
 
 
+def score_live(versions: DataFrame, snapshots: DataFrame, nodes: DataFrame, evidence: DataFrame, load: Callable[[str], PipelineModel], basis: str, now: Column) -> tuple[str, DataFrame | None]:
+    """(status, score rows): skipped without an eligible active version or without as many consecutive last days as it has steps.
+
+    snapshots (snapshot_id, as_of); nodes (snapshot_id, id, features); evidence (company_id,
+    evidence_count); load gives the model of a version's id.
+    """
+    active = versions.where("is_active").withColumn("_reason", eligibility()).limit(1).collect()
+    if not active or active[0]["_reason"]:
+        return "skipped: no eligible active model", None
+    month = snapshots.where((F.col("as_of") <= now) & (F.col("as_of") >= now - F.make_interval(days=F.lit(30))))
+    days = sorted((r["day"], r["snapshot_id"]) for r in last_of_day(month).collect())[-active[0]["steps"] :]  # 31 rows at most
+    if len(days) < active[0]["steps"] or (days[-1][0] - days[0][0]).days != len(days) - 1:
+        return "skipped: too few consecutive days", None
+    rows = nodes.where(F.col("snapshot_id") == days[-1][1]).drop("snapshot_id")
+    return "scored", score_current(load(active[0]["id"]), rows, evidence, str(active[0]["id"]), days[-1][1], basis, now)
+
+
 def activate(models: DataFrame, chosen: str) -> DataFrame:
     """Exactly one active row, refused for a model with a blocking reason."""
     reason = models.where(F.col("id") == chosen).select(eligibility().alias("r")).first()
@@ -89,8 +107,11 @@ def observed_inputs(companies: DataFrame, severity: DataFrame, members: DataFram
     return met.withColumn("missing", F.col("severity").isNull()).withColumn("severity", F.coalesce("severity", F.lit(0.0)))
 
 
-def experiment_report(runs: DataFrame) -> DataFrame:
-    """Mean and deviation of each (architecture, ablation) on the test split, and the recommended architecture."""
+def experiment_report(runs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Mean and deviation of each (architecture, ablation) on the test split, and the recommended architecture; with rows (split, y), the Brier scores of predicting the training prevalence too."""
     test = runs.where("split = 'test'").groupBy("architecture", "ablation").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_sd"), F.avg("brier").alias("brier_mean"))
     best = runs.where("split = 'validation' and ablation = 'full'").agg(F.min_by("architecture", F.struct("brier", "architecture", "seed")).alias("_best"))
+    if rows is not None:
+        base = constant_brier(rows).agg(*[F.max(F.when(F.col("split") == s, F.col("constant_brier"))).alias(f"{s}_constant_brier") for s in ("validation", "test")])
+        test = test.crossJoin(F.broadcast(base))  # one row
     return test.crossJoin(F.broadcast(best)).withColumn("recommended", (F.col("architecture") == F.col("_best")) & (F.col("ablation") == "full")).drop("_best")  # one row

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import case_status
-from ..schemas import REAL_PROVENANCE, STALE_DAYS
+from ..schemas import REAL_PROVENANCE, SOURCE_TYPES, STALE_DAYS
 
 
 def list_companies(companies: DataFrame, industry: str | None = None, is_synthetic: bool | None = None, search: str | None = None) -> DataFrame:
@@ -80,10 +80,15 @@ def locations_with_companies(locations: DataFrame, links: DataFrame, companies:
     return locations.join(lists, "id", "left")
 
 
+def known_links(links: DataFrame, as_of: Column) -> DataFrame:
+    """Distinct (location_id, company_id) known at as_of from a source."""
+    return links.where((F.col("available_at") <= as_of) & (F.length("source_url") > 0)).select("location_id", "company_id").distinct()
+
+
 def targets(signals: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
     """(signal_id, company_id): the signal's own company, or those of its location known at as_of from a source."""
     own = signals.where(F.col("company_id").isNotNull()).select(F.col("id").alias("signal_id"), "company_id")
-    known = links.where((F.col("available_at") <= as_of) & (F.length("source_url") > 0)).select("location_id", "company_id")
+    known = known_links(links, as_of)
     there = signals.where(F.col("company_id").isNull()).select(F.col("id").alias("signal_id"), "location_id").join(known, "location_id")
     return own.unionByName(there.select("signal_id", "company_id")).distinct()
 
@@ -109,16 +114,17 @@ def in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFram
 
 
 def nearest_before_after(targets: DataFrame, candidates: DataFrame, before_days: int = 7, after_days: int = 8, most_cloud: float = 35.0) -> DataFrame:
-    """For each (target_id, at) the candidate (id, observed_at, cloud_cover) nearest in time, ties by id.
+    """For each (target_id, place, day) the candidate (id, place, observed_at, cloud_cover) of its place nearest to the day's noon, ties by id.
 
-    Candidates and targets meet by day, so the interval join is an equi-join first.
+    The window runs from the midnight that starts the day `before_days` earlier to that `after_days`
+    later. Candidates and targets meet by place and day, so the interval join is an equi-join first.
     """
-    day = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
-    spread = targets.withColumn("_day", F.explode(F.sequence(day("at") - before_days - 1, day("at") + after_days + 1)))
-    good = candidates.where(F.col("cloud_cover") <= most_cloud).withColumn("_day", day("observed_at"))
-    far = F.unix_micros("observed_at") - F.unix_micros("at")
-    met = spread.join(good.hint("merge"), "_day").where(far.between(-before_days * 86_400_000_000, after_days * 86_400_000_000))
-    return met.groupBy("target_id").agg(F.min_by(F.struct("id", "observed_at"), F.struct(F.abs(far), F.col("id"))).alias("_r")).select("target_id", "_r.*")
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01"))
+    spread = targets.select("target_id", "place", F.unix_micros(F.to_date("day").cast("timestamp")).alias("_at"), F.explode(F.sequence(number("day") - before_days, number("day") + after_days)).alias("_day"))
+    good = candidates.where(F.col("cloud_cover") <= most_cloud).select("id", "place", "observed_at", number("observed_at").alias("_day"))
+    since = F.unix_micros("observed_at") - F.col("_at")
+    met = spread.join(good.hint("merge"), ["place", "_day"]).where(since.between(-before_days * 86_400_000_000, after_days * 86_400_000_000))
+    return met.groupBy("target_id").agg(F.min_by(F.struct("id", "observed_at"), F.struct(F.abs(since - 43_200_000_000), F.col("id"))).alias("_r")).select("target_id", "_r.*")
 
 
 def granule(wanted: DataFrame, granules: DataFrame) -> DataFrame:
@@ -169,6 +175,22 @@ def checked(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
 
 
+def signal_problem() -> Column:
+    """What a signal (source_type, severity, observed_at) breaks: the vocabulary, the severity's range, the time; null for a valid one."""
+    severity = F.col("severity")
+    rules = [
+        (F.col("source_type").isin(SOURCE_TYPES), "source"),
+        (severity.isNull() | (severity.between(0, 1) & ~F.isnan(severity)), "severity"),
+        (F.col("observed_at").isNotNull(), "time"),
+    ]
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for ok, reason in rules])
+
+
+def small_or_merged(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df for a join: broadcast where it has at most `most` (short) rows, else a sort-merge join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
 def guarded(df: DataFrame, most: int, what: str) -> DataFrame:
     """df, refused if it has more than `most` rows."""
     if df.limit(most + 1).count() > most:

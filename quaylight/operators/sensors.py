@@ -9,12 +9,13 @@ from ..functions.values import ndvi
 
 
 def daily_activity(positions: DataFrame) -> DataFrame:
-    """Each UTC day: distinct vessels, positions, hours covered and share of slow positions."""
+    """Each UTC day: distinct vessels, positions, hours covered (rounded, and as they are) and share of slow positions."""
     at = F.unix_micros(F.col("at").cast("timestamp"))
     return positions.groupBy(F.to_date("at").alias("day")).agg(
         F.count_distinct("mmsi").alias("vessels"),
         F.count("*").alias("positions"),
         F.round((F.max(at) - F.min(at)) / 3.6e9, 2).alias("span_hours"),
+        ((F.max(at) - F.min(at)) / 3.6e9).alias("hours"),
         F.avg((F.col("sog") < 1).cast("double")).alias("slow_share"),
     )
 
@@ -25,7 +26,7 @@ def activity_ratio(daily: DataFrame, targets: DataFrame, before: int = 7, least_
         raise ValueError("3 to 30 days")
     wanted = targets.select("target", F.explode(F.sequence(F.lit(0), F.lit(before))).alias("back")).withColumn("day", F.date_sub("target", F.col("back")))
     met = wanted.join(daily.hint("merge"), "day", "left")
-    bad = F.count_if(F.col("vessels").isNull() | (F.col("span_hours") < least_hours))
+    bad = F.count_if(F.col("vessels").isNull() | (F.col("hours") < least_hours))
     own = F.max(F.when(F.col("back") == 0, F.col("vessels")))
     usual = F.median(F.when(F.col("back") > 0, F.col("vessels").cast("double")))
     sums = met.groupBy("target").agg(own.alias("vessels"), usual.alias("baseline"), bad.alias("bad_days"))
@@ -40,8 +41,12 @@ def optical_valid(scl: Column, mask: Column, bands: list[Column]) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+def scaled(raw: Column, scale: float, offset: float) -> Column:
+    return raw * scale + offset
+
+
 def night_valid(raw: Column, fill: Column, quality: Column, n: Column, scaled: Column) -> Column:
-    return F.coalesce(~F.isnan(raw) & (raw != fill) & (quality == 0) & n.between(4, 31) & (scaled >= 0), F.lit(False))
+    return F.coalesce(~F.isnan(raw) & (raw != fill) & (quality == 0) & n.between(3, 31) & (scaled >= 0), F.lit(False))
 
 
 def aligned(before: DataFrame, after: DataFrame, values: list[str], least: float = 0.5) -> DataFrame:

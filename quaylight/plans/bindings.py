@@ -24,8 +24,8 @@ VIEWS = {
         case event_type when 'view' then 'news' when 'click' then 'news' when 'signup' then 'satellite' when 'error' then 'viirs' else 'ais' end as source_type,
         least(1.0, value / 500) as severity,
         concat('{{{{"origin":"', case when event_type in ('signup', 'error', 'purchase') then 'location_observation' when event_id % 3 = 0 then 'geopolitical_context' else 'headline' end,
-          '","provenance":"file-', cast(event_id % 50 as string), '","topic":"t', cast(event_id % 4 as string), '","eligible_for_scoring":"', case when event_id % 11 = 0 then 'false' else 'true' end,
-          '","surface_change":0.', lpad(cast(event_id % 100 as string), 2, '0'), ',"relative_radiance_decrease":0.', lpad(cast(event_id % 90 as string), 2, '0'),
+          '","provenance":"file-', cast(event_id % 50 as string), '","topic":"t', cast(event_id % 4 as string), '","eligible_for_scoring":', case when event_id % 11 = 0 then 'false' else 'true' end,
+          ',"surface_change":0.', lpad(cast(event_id % 100 as string), 2, '0'), ',"relative_radiance_decrease":0.', lpad(cast(event_id % 90 as string), 2, '0'),
           ',"vessel_activity_ratio":1.', lpad(cast(event_id % 80 as string), 2, '0'), '}}}}') as extracted,
         MICROS(US[ts]) as observed_at, MICROS(US[ts] + (event_id % 5) * {DAY}) as ingested_at from {{events}}""",
     "positions": """select 100000000 + user_id * 7 as mmsi, MICROS(US[ts]) as at, 33.70 + cast(event_id % 100 as double) / 1000 as lat,
@@ -41,7 +41,7 @@ VIEWS = {
     "links": f"""select c_custkey as company_id, c_custkey % 20 as location_id, case when c_custkey % 13 = 0 then '' else 'https://example.org' end as source_url,
         MICROS(1704067200000000 + (c_custkey % 30) * {DAY}) as available_at from {{customer}}""",
     "edges": """select a.l_suppkey as src, b.l_suppkey as dst, max(a.l_discount) * 10 as criticality, max(a.l_tax) * 10 as w from {lineitem} a join {lineitem} b
-        on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber where a.l_quantity > 40 and a.l_suppkey <> b.l_suppkey group by a.l_suppkey, b.l_suppkey""",
+        on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber where a.l_suppkey <> b.l_suppkey group by a.l_suppkey, b.l_suppkey""",
     "suppliers": "select s_suppkey as id, s_name as name, round((s_acctbal + 1000) / 11000, 6) as shock, s_nationkey % 7 = 0 as is_synthetic from {supplier}",
     "predictions": """select case when l.doc_id % 5 < 3 then 'train' when l.doc_id % 5 = 3 then 'validation' else 'test' end as split, l.toxic as y, cast(d.n_chars % 100 as double) / 100 as p,
         l.doc_id from {labels} l join {documents} d on l.doc_id = d.doc_id""",
@@ -49,7 +49,7 @@ VIEWS = {
         MICROS(1702000000000000 + (o_orderkey % 60) * {DAY}) as published_at from {{orders}}""",
     "snapshots": """select concat('s', cast(max(event_id) as string)) as snapshot_id, MICROS(max(US[ts])) as as_of from {events} group by floor(US[ts] / 21600000000)""",
     "runs": """select cast(cast(ts as date) as string) as id, min(US[ts]) as started_us, max(US[ts]) as finished_us, sum(case when event_type = 'error' then 1 else 0 end) as errors,
-        sum(case when event_type = 'purchase' then 1 else 0 end) as productive from {events} where event_id % 5 = 0 group by cast(ts as date)""",
+        sum(case when event_type = 'purchase' then 1 else 0 end) as productive from {events} group by cast(ts as date)""",
     "models": f"""select s_suppkey as id, case when s_suppkey % 4 = 0 then 'simulated' else 'real' end as data_basis, s_suppkey % 9 <> 0 as schema_ok, true as basis_ok,
         case when s_suppkey % 5 = 0 then 'no_news' else 'full' end as ablation, s_suppkey % 7 <> 0 as lineage_ok, 1 + s_suppkey % 31 as steps, 90 as train_n, 40 as train_positives,
         30 as validation_n, s_suppkey % 8 as validation_positives, 30 as test_n, 10 as test_positives, round(s_acctbal / 10000, 6) as validation_brier, 0.25 as constant_brier,

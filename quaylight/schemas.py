@@ -25,6 +25,16 @@ EVENT_RULES = [
 ]
 HEDGED = r"(?i)\b(no|not|avoids?|averts?|ends?|ended|resolved|may|might|could|risk of)\b"
 RELATION_CUE = r"(?i)\b(suppl\w*|sourc\w*|manufactur\w*|customer\w*|purchas\w*|sell\w*|provid\w*|buy)\b"
+#: What a sentence says of an alias ({}), over its normalised text. Fixed values.
+SUPPLIER_FORMS = [
+    r"\b(?:we|our company)\b.{0,90}\b(?:source|purchase|buy)\w*.{0,60}\bfrom\s+{}",
+    r"{}.{0,60}\b(?:supplies|provides)\b.{0,60}\b(?:us|our)\b",
+    r"\bour suppliers?\b.{0,40}\b(?:include|is|are)\b.{0,40}{}",
+]
+CUSTOMER_FORMS = [r"\bwe\s+(?:supply|sell|provide)\b.{0,80}\bto\s+{}"]
+LOGISTICS_FORM, RAW_MATERIAL = r"\b(ship|transport|logistics)", "raw material"
+LEGAL_SUFFIX = r"(?i)(?:[, ]+(?:incorporated|inc|corporation|corp|limited|ltd|plc|co)\.?)+$"
+DROPPED_TAGS = ["script", "style", "noscript", "ix:header"]
 RELATION_NEGATED = r"(?i)\b(no longer|not|never|may|might|could|would|if|previously|potential)\b"
 
 S, D, I, B, TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
@@ -38,7 +48,7 @@ POSITIONS = schema(mmsi=T.LongType(), at=TS, lat=D, lon=D, sog=D)
 SIGNALS = schema(id=S, company_id=S, location_id=S, source_type=S, severity=D, extracted=S, raw=S, observed_at=TS, ingested_at=TS)
 COMPANIES = schema(id=S, name=S, ticker=S, cik=S, industry=S, country=S, is_synthetic=B, created_at=TS)
 RELATIONSHIPS = schema(id=S, supplier_id=S, customer_id=S, source_signal_id=S, relationship_type=S, criticality=D, confidence=D, evidence=S, status=S, provenance=S, created_at=TS, reviewed_at=TS)
-LABELS = schema(company_id=S, snapshot_id=S, target=S, label=D, as_of=TS, outcome_end=TS, available_at=TS, reviewed_by=S, source_url=S, rationale=S)
+LABELS = schema(company_id=S, snapshot_id=S, target=S, label=S, as_of=TS, outcome_end=TS, available_at=TS, reviewed_by=S, source_url=S, rationale=S)
 ARTICLES = T.StructType([T.StructField("articles", T.ArrayType(schema(title=S, url=S, seendate=S)))])
 FILING_INDEX = schema(form=T.ArrayType(S), accessionNumber=T.ArrayType(S), primaryDocument=T.ArrayType(S), filingDate=T.ArrayType(S))
 DIRECTORY = T.MapType(S, schema(cik_str=T.LongType(), ticker=S, title=S))

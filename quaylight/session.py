@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,22 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share, or a new one of this name in it.
+
+    A local master may do without the setting and gets a temporary folder; a cluster may not.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            base = known.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="spark-")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base.rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}" if name else base

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import canonical_url
 from ..functions.values import finite, parse_utc
+from .sinks import fingerprint
 
 POSITION_COLUMNS = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG"]
 
@@ -88,10 +89,10 @@ def bbox_subset_job(spark: SparkSession, paths: dict[str, str], box: dict[str, f
     positions = reduce(DataFrame.unionByName, [p.withColumn("day", F.lit(day).cast("date")) for day, p, _ in days])
     positions.write.mode("overwrite").partitionBy("day").parquet(out)
     kept = spark.read.schema(positions.schema).parquet(out)
-    print_ = F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.sha2(F.to_json(F.struct("mmsi", "at", "lat", "lon", "sog")), 256)))), 256)
+    print_ = fingerprint(F.sha2(F.to_json(F.struct("mmsi", "at", "lat", "lon", "sog")), 256))
     manifest = kept.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("positions"), print_.alias("sha256"))
     quality = reduce(DataFrame.unionByName, [q.withColumn("day", F.lit(day)) for day, _, q in days])
-    manifest = quality.join(manifest, "day", "left")
+    manifest = quality.join(manifest.hint("merge"), "day", "left")
     if empty := [r["day"] for r in manifest.where(F.coalesce("positions", F.lit(0)) == 0).select("day").collect()]:
         raise ValueError(f"no usable coverage on {empty}")
     return manifest
@@ -124,15 +125,25 @@ def read_articles(texts: DataFrame, since: Column, until: Column) -> DataFrame:
     return rows.where((F.col("title") != "") & F.col("url").isNotNull() & F.col("seen_at").between(since, until))
 
 
-def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The arrays of a curated catalog file, a table each."""
+def read_catalog(spark: SparkSession, path: str, columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+    """The arrays of a curated catalog file, a table each; refused where an expected table or column (table: columns) is missing."""
     whole = spark.read.json(path, multiLine=True)
     arrays = [f.name for f in whole.schema if f.dataType.typeName() == "array"]
-    return {name: whole.select(F.inline(name)) for name in arrays}
+    tables = {name: whole.select(F.inline(name)) for name in arrays}
+    for name, wanted in (columns or {}).items():
+        if name not in tables or not set(wanted) <= set(tables[name].columns):
+            raise ValueError(f"the catalog's {name} lacks columns")
+    return tables
 
 
 def read_outcome_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.LABELS).json(path)
+    """JSON lines to labels, each label as its JSON text where it is a number (so that 0.0 is no 0), else null. `features.checked_labels` holds them to the rules."""
+    fields = ", ".join(f"{f.name} {'variant' if f.name == 'label' else f.dataType.simpleString()}" for f in schemas.LABELS)
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", fields).alias("r"), F.try_parse_json("value").alias("v"))
+    kind = F.schema_of_variant(F.try_variant_get("v", "$.label", "variant"))
+    text = F.regexp_extract(F.col("r.label").cast("string"), "^(.*)$", 1)
+    exact = F.when(kind == "BIGINT", text).when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.concat(text, F.lit(".")))
+    return rows.select(*[exact.alias("label") if f.name == "label" else F.col(f"r.{f.name}") for f in schemas.LABELS])
 
 
 def read_pixels(spark: SparkSession, path: str, scene: str) -> DataFrame:
@@ -148,13 +159,3 @@ def read_universe(directory: DataFrame, preferred: list[str], limit: int, offset
 def directory_fallback(directory: DataFrame, known: DataFrame) -> DataFrame:
     """The directory, or the known companies with a CIK where it is empty."""
     return directory if directory.limit(1).count() else known.where(F.col("cik").isNotNull()).select(*directory.columns)
-
-
-def incremental_batches(spark: SparkSession, folder: str, schema, **options: str) -> DataFrame:
-    """New landed files as a stream; run with an available-now trigger on a schedule."""
-    reader = spark.readStream.schema(schema)
-    for k, v in options.items():
-        reader = reader.option(k, v)
-    return reader.parquet(folder)
-
-

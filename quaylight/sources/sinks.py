@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def without(value: Column, kind: T.DataType, drop: tuple[str, ...]) -> Column:
+    """value with the fields of structs in name order and without those named in `drop`, at any depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted((f for f in kind if f.name not in drop), key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[without(value[f.name], f.dataType, drop).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType | T.ArrayType):
+        return F.transform(value, lambda x: without(x, kind.elementType, drop))
+    return value
 
 
 def canonical_json(df: DataFrame, drop: tuple[str, ...] = ()) -> Column:
-    """JSON of a row with its columns in name order; `drop` leaves out what does not identify it."""
-    return F.to_json(F.struct(*sorted(c for c in df.columns if c not in drop)), {"ignoreNullFields": "false"})
+    """JSON of a row with its fields in name order; `drop` leaves out, at any depth, what does not identify it."""
+    kept = sorted((f for f in df.schema if f.name not in drop), key=lambda f: f.name)
+    return F.to_json(F.struct(*[without(F.col(f.name), f.dataType, drop).alias(f.name) for f in kept]), {"ignoreNullFields": "false"})
+
+
+def fingerprint(row_hash: Column) -> Column:
+    """An aggregate: SHA-256 over a multiset of SHA-256 texts. Their four 60-bit pieces are summed, which combines in any order before the shuffle, so no task gathers the rows."""
+    piece = lambda i: F.sum(F.conv(row_hash.substr(1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", F.count("*").cast("string"), *[piece(i) for i in range(4)]), 256)
 
 
 def content_id(df: DataFrame, key: str) -> DataFrame:
-    """One SHA-256 for each key, over its rows in canonical order."""
+    """One SHA-256 for each key, over its rows in whatever order they come."""
     rows = df.withColumn("_j", F.sha2(canonical_json(df), 256))
-    return rows.groupBy(key).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("_j"))), 256).alias("snapshot_id"))
+    return rows.groupBy(key).agg(fingerprint(F.col("_j")).alias("snapshot_id"))
 
 
 def write_snapshot(features: DataFrame, path: str, schema: str) -> DataFrame:

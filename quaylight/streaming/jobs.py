@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,6 +56,23 @@ def quarantined(bad: str):
     return write
 
 
+def isolated(jobs: dict[str, Callable[[], StreamingQuery]]) -> dict[str, str | None]:
+    """Start each source's job and wait for it: the message of the failure for each source, null where all went well. A failed source stops no other."""
+    started, failures = {}, {}
+    for name, start in jobs.items():
+        try:
+            started[name] = start()
+        except Exception as e:  # the failure of one source is its result
+            failures[name] = str(e)
+    for name, running in started.items():
+        try:
+            running.awaitTermination()
+            failures[name] = None
+        except Exception as e:
+            failures[name] = str(e)
+    return failures
+
+
 def landed(spark: SparkSession, folder: str, schema, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(folder)

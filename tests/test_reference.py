@@ -136,8 +136,11 @@ def test_text_functions(spark):
     assert one(spark, ft.normalize_name(F.col("n")), n=" Té-st & Co.") == "t st co"
     assert one(spark, ft.uuid5(F.col("n")), n="company:é") == str(uuid.uuid5(uuid.NAMESPACE_URL, "company:é"))
     assert one(spark, ft.clean_html(F.col("h")), h="<p>a&amp;b<script>x</script>\n c</p><style>s</style>") == "a&b c"
+    assert one(spark, ft.clean_html(F.col("h")), h="caf&eacute;&#233;&#xe9; &lt;b&gt; x&nbsp;y") == "cafééé <b> x y"
     assert one(spark, ft.sentences(F.col("t")), t="One. Two!  Three") == ["One.", "Two!", "Three"]
     assert one(spark, ft.sanitize_phrase(F.col("t")), t="né&w (x)") == "né&w  x" and one(spark, ft.sanitize_phrase(F.col("t")), t="()") is None
+    assert one(spark, ft.canonical_url(F.col("u")), u="https://A.org/?UTM_Source=x&Fbclid=2&b=1") == "https://a.org/?b=1"
+    assert one(spark, ft.excerpt(F.col("t"), F.lit("The Needle")), t="x" * 900 + "the, NEEDLE" + "y" * 2000)[500:511] == "the, NEEDLE"
     assert one(spark, ft.excerpt(F.col("t"), F.lit("needle")), t="x" * 900 + "needle" + "y" * 2000)[499:506] == "xneedle"
     assert one(spark, ft.ticker_list(F.split("t", ",")), t=" ab,AB,,c.d") == ["AB", "C.D"] and one(spark, ft.ticker_list(F.split("t", ",")), t="a,b,c,d,e,f") is None
     assert one(spark, ft.archive_url(F.col("c"), F.lit("0-1-2"), F.lit("d.htm")), c="0000000007").endswith("/7/012/d.htm")
@@ -175,13 +178,33 @@ def test_pixel_change(spark):
     assert se.aligned(pixels(spark, 0.2, name="red"), pixels(spark, 0.2, False, name="red"), ["red", "near"]).count() == 0
     assert one(spark, se.optical_valid(F.lit(4), F.lit(1), [F.lit(0.2), F.lit(1.5)])) and not one(spark, se.optical_valid(F.lit(8), F.lit(1), [F.lit(0.2)]))
     night = lambda raw, n: one(spark, se.night_valid(F.lit(raw), F.lit(-1.0), F.lit(0), F.lit(n), F.lit(raw)))
-    assert night(1.0, 4) and not night(1.0, 3) and not night(-1.0, 9)
+    assert night(1.0, 4) and night(1.0, 3) and not night(1.0, 2) and not night(-1.0, 9)
 
 
 def test_nearest_acquisition(spark):
-    target = spark.createDataFrame([(1, dt.datetime(2024, 1, 4, 12))], "target_id long, at timestamp")
-    scenes = spark.createDataFrame([("a", dt.datetime(2024, 1, 3, 10), 10.0), ("b", dt.datetime(2024, 1, 4, 11), 90.0), ("c", dt.datetime(2024, 1, 20), 1.0)], "id string, observed_at timestamp, cloud_cover double")
-    assert [r.id for r in rel.nearest_before_after(target, scenes).collect()] == ["a"]
+    target = spark.createDataFrame([(1, "p", dt.date(2024, 1, 4)), (2, "q", dt.date(2024, 1, 4)), (3, "r", dt.date(2024, 1, 4))], "target_id long, place string, day date")
+    at = lambda *x: dt.datetime(2024, 1, *x)
+    scenes = [("a", "p", at(3, 10), 10.0), ("b", "p", at(4, 11), 90.0), ("c", "p", at(20), 1.0), ("d", "o", at(4, 12), 1.0), ("e", "q", at(4, 0), 1.0), ("f", "q", at(5, 0), 1.0), ("g", "q", at(3, 23), 1.0), ("h", "r", at(12, 0), 1.0), ("i", "r", at(12, 1), 1.0)]
+    df = spark.createDataFrame(scenes, "id string, place string, observed_at timestamp, cloud_cover double")
+    # The nearest to noon, ties by id, in the target's place; a scene at the window's last midnight counts.
+    assert {r.target_id: r.id for r in rel.nearest_before_after(target, df).collect()} == {1: "a", 2: "e", 3: "h"}
+
+
+def test_activity_gate_is_not_rounded(spark):
+    rows = [(d, 100 + d, dt.datetime(2024, 1, d, 0, 0), 1.0, 1.0, 0.0) for d in (1, 2, 3, 4)] + [(d, 100 + d, dt.datetime(2024, 1, d, 3, 59, 50), 1.0, 1.0, 0.0) for d in (1, 2, 3, 4)]
+    daily = se.daily_activity(spark.createDataFrame([r[1:] for r in rows], "mmsi long, at timestamp, lat double, lon double, sog double"))
+    got = se.activity_ratio(daily, spark.createDataFrame([(dt.date(2024, 1, 4),)], "target date"), 3).first()
+    assert daily.first().span_hours == 4.0 and got.ratio is None and got.error
+
+
+def test_measurements_by_type(spark):
+    located = {"origin": "location_observation", "provenance": "f", "vessel_activity_ratio": 1.5}
+    cases = [(located, math.tanh(0.5)), (located | {"provenance": ""}, None), (located | {"provenance": ["f"]}, math.tanh(0.5)), (located | {"provenance": {}}, None), (located | {"vessel_activity_ratio": "1.5"}, None), (located | {"vessel_activity_ratio": True}, None)]
+    df = spark.createDataFrame([(json.dumps(c), "ais", 0.5) for c, _ in cases], "extracted string, source_type string, severity double")
+    assert [r.x for r in df.select(fe.parsed_once(fe.measurement).alias("x")).collect()] == [want if want is None else pytest.approx(want) for _, want in cases]
+    news = [({}, 0.5), ({"eligible_for_scoring": True}, 0.5), ({"eligible_for_scoring": False}, None), ({"eligible_for_scoring": None}, None), ({"eligible_for_scoring": 0}, None), ({"eligible_for_scoring": "no"}, 0.5)]
+    df = spark.createDataFrame([(json.dumps(c), "news", 0.5) for c, _ in news] + [("no json", "news", 0.5)], "extracted string, source_type string, severity double")
+    assert [r.x for r in df.select(fe.parsed_once(fe.measurement).alias("x")).collect()] == [*(want for _, want in news), 0.5]
 
 
 # --- evidence ----------------------------------------------------------------------------------
@@ -366,7 +389,7 @@ def test_metrics(spark):
 # --- datasets and models -------------------------------------------------------------------------
 
 
-def test_sequences_split_and_labels(spark):
+def test_sequences_split_and_labels(spark, tmp_path):
     snaps = spark.createDataFrame([(f"s{i}{h}", dt.datetime(2026, 1, 1, h) + dt.timedelta(days=i)) for i in range(6) for h in (1, 9) if i != 3], "snapshot_id string, as_of timestamp")
     days = fe.last_of_day(snaps)
     assert [r.frames for r in fe.sequences(days, 2).orderBy("day").collect()] == [["s09", "s19"], ["s19", "s29"], ["s49", "s59"]]
@@ -378,11 +401,19 @@ def test_sequences_split_and_labels(spark):
     assert split.where("example_id = '5'").count() == 0
     with pytest.raises(ValueError, match="at least 12"):
         fe.temporal_split(ex_.limit(5))
-    good = ("b", "snap", schemas.TARGET, 1.0, day(20), day(13), day(12), "me", "https://h.invalid/x", "why")
-    bad = {"label": good[:3] + (0.5,) + good[4:], "review": good[:9] + (" ",), "horizon": good[:5] + (day(12), day(12)) + good[7:], "source": good[:8] + ("http://h",) + good[9:]}
+    good = ("b", "snap", schemas.TARGET, "1", day(20), day(13), day(12), "me", "https://h.invalid/x", "why")
+    bad = {"label": good[:3] + ("0.0",) + good[4:], "review": good[:9] + (" ",), "horizon": good[:5] + (day(12), day(12)) + good[7:], "source": good[:8] + ("http://h",) + good[9:]}
     df = spark.createDataFrame([good, *bad.values()], schemas.LABELS)
     assert [r.x for r in df.select(fe.label_problem(now()).alias("x")).collect()] == [None, *bad]
     assert fe.duplicate_labels(df).count() == 1
+    assert fe.checked_labels(df.limit(1), now()).first().label == 1
+    for rows, why in ((df, "label"), (df.limit(1).union(df.limit(1)), "repeat")):
+        with pytest.raises(ValueError, match=why):
+            fe.checked_labels(rows, now())
+    lines = [json.dumps({"company_id": "b", "label": x}) for x in (0, 1, 0.0, 1.0, True, "1", None, 2)]
+    (tmp_path / "labels.jsonl").write_text("\n".join(lines) + "\n")
+    read = files.read_outcome_labels(spark, str(tmp_path / "labels.jsonl"))
+    assert read.columns == schemas.LABELS.names and [r.label in ("0", "1") for r in read.collect()] == [True, True, *[False] * 6]
     frames = spark.createDataFrame([(1, "b", 0.5), (2, "a", 0.2), (2, "b", 0.7)], "step int, id string, v double")
     assert {(r.step, r.id): (r.present, r.v) for r in fe.align(frames, ["v"]).collect()} == {(1, "a"): (False, 0.0), (1, "b"): (True, 0.5), (2, "a"): (True, 0.2), (2, "b"): (True, 0.7)}
     assert fe.last_frame_only(frames).count() == 2
@@ -426,6 +457,10 @@ def test_entities(spark):
     say = lambda *m: spark.createDataFrame([(x,) for x in m], "mention string")
     got = {r.mention: r.cik for r in ex.resolve(say("Test Materials", "Test Assembly, Inc.", "Northern Logistic", "Nothing alike"), names).collect()}
     assert got == {"Test Assembly, Inc.": "3", "Northern Logistic": "4"}
+    scored = {r.mention: round(r.confidence, 4) for r in ex.resolve(say("Test Assembly, Inc.", "Northern Logistic"), names).collect()}
+    assert scored == {"Test Assembly, Inc.": 1.0, "Northern Logistic": 0.9714}
+    # Two aliases of one company close together: no clear winner.
+    assert ex.resolve(say("Alpha Beta Gamma Delt C"), spark.createDataFrame([("5", "Alpha Beta Gamma Delta Co")], "cik string, name string")).count() == 0
     ratio = spark.createDataFrame([("kitten", "sitting"), ("", ""), ("abc", "abc")], "a string, b string").select(ex.indel_ratio("a", "b").alias("r")).collect()
     assert [round(r.r, 4) for r in ratio] == [61.5385, 100.0, 100.0]
 
@@ -439,6 +474,7 @@ def test_entities(spark):
         ("We no longer purchase parts from Test Materials Corp.", None),
         ("Test Materials Corp. is a competitor that sells similar goods.", None),
         ("Test Materials Corp provides logistics services to our plants.", ("2", "1")),
+        ("we purchase components from test materials corp.", ("2", "1")),
     ],
 )
 def test_supplier_mentions(spark, text, want):
@@ -446,6 +482,10 @@ def test_supplier_mentions(spark, text, want):
     filing = spark.createDataFrame([("d", "1", "Hello there. " + text)], "doc_id string, filer_cik string, text string")
     got = [(r.supplier_cik, r.customer_cik) for r in ex.supplier_mentions(filing, names).where("status = 'pending' and confidence = 0.95").collect()]
     assert got == ([want] if want else [])
+    long = spark.createDataFrame([("d", "1", "We know suppliers " + "x " * 950 + "and we buy parts from Test  Materials, Corp.")], "doc_id string, filer_cik string, text string")
+    assert "Test  Materials, Corp" in ex.supplier_mentions(long, names).first().evidence
+    typo = spark.createDataFrame([("d", "1", "We purchase components from Test Material Corp.")], "doc_id string, filer_cik string, text string")
+    assert ex.supplier_mentions(typo, names.union(spark.createDataFrame([("9", "Unlike Name")], "cik string, name string"))).first().confidence == round(0.95 * 36 / 37, 4)
     rows = ex.filing_evidence(filing, ex.supplier_mentions(filing, names)).first()
     assert rows.candidates == len(got) and len(rows.text_sha256) == 64
 
