@@ -13,6 +13,7 @@ REAL_PROVENANCE = ["sec_filing", "public_source"]
 ANNUAL_FORMS = ["10-K", "20-F", "40-F"]
 WINDOW_DAYS = {"news": 30, "satellite": 30, "viirs": 120, "ais": 30}
 STALE_DAYS = {"viirs": 120, "sec_filing": 365}
+ABLATIONS = ["full", "no_vision", "no_news", "no_temporal"]
 TARGET = "reported_disruption_within_7d"
 FEATURE_SCHEMA = "snapshot-v1"
 #: Event rules: type, pattern, severity.
