@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import dropped, store
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round each node takes the least label among its neighbours and then the label of its
     label, so labels travel in doubling steps; it stops when a round changes nothing. Rounds are
-    written to the shared folder, which cuts lineage. Joins are sort-merge joins on node ids, whose
+    written to the shared folder, which cuts lineage; a round removes the one before. Joins are sort-merge joins on node ids, whose
     hot keys adaptive execution splits; the minimum is combined before it is shuffled. Nothing
     reaches the driver but the count of changes.
     """
@@ -27,6 +27,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         met = met.join(up.hint("merge"), "label", "left").select("id", "old", F.least("label", "up").alias("label"))
         nxt = store(met, "labels")
         changed = nxt.where("old <> label").limit(1).count()
+        dropped(edges.sparkSession, labels)
         labels = nxt.select("id", "label")
         if not changed:
+            dropped(edges.sparkSession, both)
             return labels
