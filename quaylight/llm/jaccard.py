@@ -53,7 +53,7 @@ from .common import mix, partitions_for, store, strings, table
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, LANDMARKS, SALTS = 100, 500_000, 48, 2048, 600_000, 1024, 32, 1500, 400_000, 8, 16
+OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, LANDMARKS, SALTS = 100, 500_000, 48, 512, 300_000, 1024, 32, 1500, 200_000, 8, 16
 U = np.uint64
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=U)
 
@@ -253,11 +253,13 @@ class Lists:
             for q in np.unique(lj[li == p]).tolist():
                 at = np.flatnonzero((li == p) & (lj == q))
                 for part in np.array_split(at, 1 + len(at) * self.sketches[max(p, q)].shape[1] // 8_000_000):
-                    x, y = (self.sketches[k][self.row[e[part]]].astype(np.int64) * scale(self.n[e[part]])[:, None] for k, e in ((p, i), (q, j)))
-                    if p != q:  # the finer one is added up to the coarser one's bins
-                        bins = min(x.shape[1], y.shape[1])
-                        x, y = (z.reshape(len(part), bins, -1).sum(axis=2) for z in (x, y))
-                    out[part] = np.minimum(x, y).sum(axis=1)
+                    bins, got = min(self.sketches[p].shape[1], self.sketches[q].shape[1]), []
+                    for k, e in ((p, i), (q, j)):
+                        z, by = self.sketches[k][self.row[e[part]]], scale(self.n[e[part]])
+                        if z.shape[1] > bins:  # the finer one is added up to the coarser one's bins
+                            z = z.reshape(len(part), bins, -1).sum(axis=2, dtype=np.int32)
+                        got.append(z if (by == 1).all() else z.astype(np.int64) * by[:, None])
+                    out[part] = np.minimum(*got).sum(axis=1, dtype=np.int64)
         return out
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
