@@ -17,27 +17,34 @@ What an item must reach: `share`, at most `least`, of the least BM25 self-score
 PASSAGE / 2 words of the item and of its parts of SPECIFIC words (of the whole where shorter). Every
 run of PASSAGE / 2 words lies wholly in one passage, so a verbatim item or part is always retrieved.
 
-The index is sent to the tasks in slices of at most SLICE bytes of item text, one pass over the
-texts for each slice; document frequencies of terms are counted over all items. No text is shuffled.
+The index is built by tasks, a slice of at most about SLICE bytes of item text in each, with document
+frequencies counted over all items before they meet the slices, and is written to the shared folder.
+The driver passes one slice after the other on as a compressed broadcast; texts are scanned once
+whatever the number of slices, and a task holds one unpacked slice at a time. No text is shuffled.
 
 Defined results: null and empty texts and items hit nothing; items of fewer than SHINGLE words
 count as one shingle; repeated rows and repeated items are each reported; an empty table gives an
-empty result. Extra columns pass through untouched.
+empty result; very long texts are read whole, passage by passage; items with equal scores are listed
+by their place in the index. Extra columns pass through untouched.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings, table
+from .common import store, strings, table
 
 PASSAGE, BLOCK, SHINGLE, K1, B = 64, 16, 5, 1.2, 0.75
 SHARE, LEAST, SLICE = 0.6, 0.5, 1 << 20
@@ -169,51 +176,69 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame, share: float = SHARE) -> list[Index]:
-    """One index for each slice of the items; a slice holds at most SLICE bytes of text, about."""
-    rows = items.where(F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    slices = max(1, -(-(size["b"] or 0) // SLICE))
-    made: list[Index] = []
-    spaced = F.regexp_replace(F.lower("text"), "[^a-z0-9\\x{80}-\\x{10ffff}]+", " ")
-    terms = rows.select(F.explode(F.array_distinct(F.split(F.trim(spaced), " "))).alias("t"))
-    total, mean = size["n"], max(1.0, (size["b"] or 0) / 6.0 / max(1, size["n"]))
+def slices_of(items: DataFrame, share: float = SHARE) -> list[Broadcast]:
+    """The index as compressed slices, broadcast one by one."""
+    spark = items.sparkSession
+    rows = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    bytes_ = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    slices = max(1, -(-bytes_ // SLICE))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)).cast("int"))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(slice, term, n): in how many items; with the number of items and words under the term b""."""
+        for batch in batches:
+            n: Counter = Counter()
+            for k, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
+                w = words(text)
+                if w:
+                    n.update((k, t) for t in set(w))
+                    n[k, b""] += 1
+                    n[k, b" "] += len(w)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in n], pa.int32()), pa.array([t for _, t in n], pa.binary()), pa.array(list(n.values()), pa.int64())], names=["slice", "term", "n"])
+
+    found = store(rows.select("slice", "text").mapInArrow(terms, "slice int, term binary, n long").groupBy("slice", "term").agg(F.sum("n").alias("n")), "terms")
+    sums = {r["term"]: r["n"] for r in found.where(F.col("term").isin(b"", b" ")).groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    total, mean = sums.get(b"", 0), sums.get(b" ", 0) / max(1, sums.get(b"", 0))
+    if not total:
+        return []
+    # A term has one row for each slice at most; it is counted before it meets the slices that use it.
+    counted = found.where(~F.col("term").isin(b"", b" ")).groupBy("term").agg(F.sum("n").alias("df"))
+    own = found.select("slice", "term").join(counted.hint("merge"), "term")
+
+    def build(part: pd.DataFrame, frequency: pd.DataFrame) -> pd.DataFrame:
+        texts = sorted((i, t) for i, t in zip(part["item_id"], part["text"], strict=True) if words(t))
+        made = [Index(texts, dict(zip(frequency["term"], frequency["df"], strict=True)), total, mean, share)] if texts else []
+        return pd.DataFrame({"slice": part["slice"].iloc[: len(made)], "index": [zlib.compress(pickle.dumps(m, protocol=5), 1) for m in made]})
+
+    built = store(rows.groupBy("slice").cogroup(own.groupBy("slice")).applyInPandas(build, "slice int, index binary"), "index")
+    held = []
     for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k)
-        own = part.select(F.explode(F.array_distinct(F.split(F.trim(spaced), " "))).alias("t")).distinct()
-        df = {r["t"].encode(): r["n"] for r in terms.join(own.hint("shuffle_hash"), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
-        texts = sorted((r["item_id"], r["text"]) for r in part.collect())
-        for _, t in texts:  # words that Python and the JVM lower differently
-            for w in words(t):
-                df.setdefault(w, 1)
-        texts = [x for x in texts if words(x[1])]
-        if texts:
-            made.append(Index(texts, df, total, mean, share))
-    return made
+        for r in built.where(F.col("slice") == k).select("index").collect():  # one slice
+            held.append(spark.sparkContext.broadcast(bytes(r["index"])))
+    return held
 
 
 def with_hits(docs: DataFrame, items: DataFrame, least: float = LEAST, name: str = "hits") -> DataFrame:
     """docs with a column of the items found in each text; it replaces one of that name."""
     docs = docs.drop(name)
-    for k, index in enumerate(indexes(items, min(SHARE, least)) or [None]):
-        shipped = docs.sparkSession.sparkContext.broadcast(index)  # of SLICE bytes of text, about
-        schema = T.StructType([f for f in docs.schema if f.name != name] + [T.StructField(name, HITS)])
-        at = docs.columns.index("text")
-
-        def find(batches: Iterator[pa.RecordBatch], k=k, shipped=shipped, at=at, names=schema.names) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            kind = to_arrow_type(HITS)
-            for batch in batches:
-                got = [shipped.value.hits(t, least) if shipped.value else [] for t in strings(batch.column(at))]
-                columns = batch.columns
-                if k:
-                    got = [a.as_py() + b for a, b in zip(columns[-1], got, strict=True)]
-                    columns = columns[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(got, kind)], names=names)
-
-        docs = docs.mapInArrow(find, schema)
-    return docs
+    held, at = slices_of(items, min(SHARE, least)), docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, HITS)])
+
+    def find(batches: Iterator[pa.RecordBatch], names=schema.names) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind, loaded = to_arrow_type(HITS), (None, None)
+        for batch in batches:
+            got: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for k, slice_ in enumerate(held):
+                if loaded[0] != k:
+                    loaded = (None, None)  # the one before goes first
+                    loaded = (k, pickle.loads(zlib.decompress(slice_.value)))
+                for row, text in zip(got, strings(batch.column(at)), strict=True):
+                    row += loaded[1].hits(text, least)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=names)
+
+    return docs.mapInArrow(find, schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:

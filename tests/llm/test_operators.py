@@ -299,6 +299,30 @@ def test_decontamination_by_question_or_answer(spark):
     assert got == [(10 * i + k, i) for i, pair in enumerate(sizes) for k, n in enumerate(pair) if n >= 8]
 
 
+def test_decontamination_against_plain(spark, monkeypatch):
+    """Equal to BM25 of every passage against every item, with one slice and with several; texts share words and pieces of items."""
+    rng = random.Random(14)
+    some = [prose(rng, 1) for _ in range(150)]
+    say = lambda n: " ".join(rng.choice(some) for _ in range(n))
+    items = [(i, f"{say(rng.randint(3, 50))}? {say(rng.randint(2, 40))}.") for i in range(30)] + [(40, None), (41, ""), (42, "...")]
+    items += [(i + 100, t) for i, t in items[:3]]  # repeated items
+    docs = [(0, None), (1, ""), (2, say(3000)), (3, say(2)), (3, say(2))]
+    for k in range(60):
+        w = items[k % 30][1].split()
+        lo = rng.randint(0, len(w) // 2)
+        docs.append((10 + k, f"{say(rng.randint(0, 150))} {' '.join(w[lo : lo + rng.randint(5, len(w))])} {say(rng.randint(0, 150))}"))
+    want = brute.decontamination(docs, items, min(decontaminate.SHARE, decontaminate.LEAST), decontaminate.LEAST)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    for slice_ in (1 << 20, 500):
+        monkeypatch.setattr(decontaminate, "SLICE", slice_)
+        got = sorted((r.doc_id, h.item_id, round(h.score, 3), h.question_overlap, h.answer_overlap) for r in decontaminate.with_hits(df, bench).collect() for h in r.hits)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and len({g[1] for g in got}) > 15
+        for g, w in zip(got, want, strict=True):
+            assert g[2] == pytest.approx(w[2], abs=2e-3) and g[3:] == w[3:]
+    plan = decontaminate.with_hits(df, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one pass for any number of slices
+
+
 def test_decontamination_in_slices(spark, monkeypatch):
     rng = random.Random(4)
     items = [(i, prose(rng, 30)) for i in range(12)]
