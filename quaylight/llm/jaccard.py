@@ -62,7 +62,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered up to a size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got
@@ -123,7 +123,7 @@ def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     size += len(held[-1])
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=names)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield seen()
                 held, size = [], 0
         yield seen()
@@ -167,10 +167,26 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
     """Prefix entries, dealt by shingle; rows without a shingle bring the sketch of a long set to a part."""
     shipped = docs.sparkSession.sparkContext.broadcast(often)  # MOST hashes at most
 
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        long = [f for f in found if level(f[4], long_from)]
+        sent = [np.unique(f[0]) for f in long]
+        k, e = np.array([len(f[0]) for f in found]), np.array([len(x) for x in sent], dtype=np.int64)
+        rep = lambda i, kind: np.r_[np.repeat(np.array([f[i] for f in found], kind), k), np.repeat(np.array([f[i] for f in long], kind), e)]
+        none = pa.nulls(int(e.sum()), pa.int64())
+        columns = [
+            pa.array(np.concatenate([f[0] for f in found] + sent)),
+            pa.concat_arrays([pa.array(np.concatenate([f[1] for f in found])), none]),
+            pa.array(rep(3, np.int64)),
+            pa.array(rep(4, np.int32)),
+            pa.concat_arrays([pa.array(np.concatenate([f[2] for f in found])), none.cast(pa.int32())]),
+            pa.array([x for f in found for x in [None if level(f[4], long_from) else f[5]] * len(f[0])] + [f[5] for f, x in zip(long, sent, strict=True) for _ in x], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTING.split(", ")])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, known = Hashes(), shipped.value, set()
+        found, size = [], 0
         for batch in batches:
-            found = []
             if len(known) > 1_000_000:  # what a task has posted before is not posted again
                 known.clear()
             for text in strings(batch.column(0)):
@@ -182,22 +198,12 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
                 ordered = np.r_[s[~late], s[late]][: prefix_length(len(s), percent)]
                 to = (mix(ordered) % U(parts)).astype(np.int32)
                 found.append((to, ordered.view(np.int64), np.arange(len(ordered), dtype=np.int32), node, len(s), sketch(s, long_from)))
-            if not found:
-                continue
-            long = [f for f in found if level(f[4], long_from)]
-            sent = [np.unique(f[0]) for f in long]
-            k, e = np.array([len(f[0]) for f in found]), np.array([len(x) for x in sent], dtype=np.int64)
-            rep = lambda i, kind: np.r_[np.repeat(np.array([f[i] for f in found], kind), k), np.repeat(np.array([f[i] for f in long], kind), e)]  # noqa: E731, B023
-            none = pa.nulls(int(e.sum()), pa.int64())
-            made = [
-                pa.array(np.concatenate([f[0] for f in found] + sent)),
-                pa.concat_arrays([pa.array(np.concatenate([f[1] for f in found])), none]),
-                pa.array(rep(3, np.int64)),
-                pa.array(rep(4, np.int32)),
-                pa.concat_arrays([pa.array(np.concatenate([f[2] for f in found])), none.cast(pa.int32())]),
-                pa.array([x for f in found for x in [None if level(f[4], long_from) else f[5]] * len(f[0])] + [f[5] for f, x in zip(long, sent, strict=True) for _ in x], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(made, names=[x.split()[0] for x in POSTING.split(", ")])
+                size += len(ordered) * (32 + len(found[-1][5]))
+                if size > 8 << 20:  # sketches sent to many parts are many times the text
+                    yield made(found)
+                    found, size = [], 0
+        if found:
+            yield made(found)
 
     return docs.select("text").mapInArrow(each, POSTING)
 
