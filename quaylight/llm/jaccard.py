@@ -9,8 +9,10 @@ of entries whose sizes are out of reach is skipped whole, entries are skipped by
 the shared shingle (it bounds the overlap left and right of it) and by a sketch of each set (counts
 of its shingles in bins of the hash; 32 bins, and four times as many for each fourfold size over
 `longest`), which bounds the overlap from above. `longest` follows the similarity: up to it, two
-sets without a common shingle miss each other in twice as many bins as a link may. Long sets send
-their sketch once to each task, short ones with each entry. In long lists one set leads: what passes
+sets without a common shingle miss each other in twice as many bins as a link may. Entries that
+are alone in their list, as most are, or have no set in reach of their size, are dropped before any
+sketch travels; of the others, long sets send their sketch once to each task, short ones with each
+entry. In long lists one set leads: what passes
 with the leader is settled against it in one step, and only the rest is compared further. The number
 of parts follows the number of entries (ENTRIES in each, about).
 
@@ -95,34 +97,35 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
-READ = "doc_id long, text_hash long, n_shingles long, node long, shingle long, n long"
+READ = "doc_id long, text_hash long, n_shingles long, node long, sketch binary, shingle long, n long"
 
 
 def read_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Two kinds of rows from one pass over the texts: doc_id, text_hash, n_shingles and node (null without a
+    """Two kinds of rows from one pass over the texts: doc_id, text_hash, n_shingles, node and sketch (null without a
     set) of each row, and (shingle, n) of what a task sees more than once near the start of the plain hash order."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        hashes, held, size, long_from = Hashes(), [], 0, longest(percent)
         names = [x.split()[0] for x in READ.split(", ")]
 
         def seen() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U), np.zeros(0, int))
             at, n = at[n > 1].view(np.int64), n[n > 1]
             none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at), pa.array(n)], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(n)], names=names)
 
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for text in strings(batch.column(2)):
                 s = shingle_set(text, hashes, words)
                 sizes.append(len(s))
                 nodes.append(identity(s) if len(s) else None)
+                sketches.append(sketch(s, long_from) if len(s) else None)
                 if len(s):
                     held.append(s[: prefix_length(len(s), percent) * 3 // 2 + 8])
                     size += len(held[-1])
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), none, none], names=names)
             if size > 1_000_000:
                 yield seen()
                 held, size = [], 0
@@ -138,7 +141,8 @@ def frequent(read: DataFrame) -> np.ndarray:
     return np.sort(rows["shingle"].to_numpy(np.int64).view(U))
 
 
-POSTING = "part int, shingle long, node long, n int, at int, sketch binary"
+ENTRY = "part int, shingle long, node long, n int, at int"
+POSTING = f"{ENTRY}, sketch binary"
 
 
 def longest(percent: int) -> int:
@@ -163,25 +167,15 @@ def scale(n):
     return 1 + n // 200_000
 
 
-def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts: int, long_from: int) -> DataFrame:
-    """Prefix entries, dealt by shingle; rows without a shingle bring the sketch of a long set to a part."""
+def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts: int) -> DataFrame:
+    """Prefix entries of each set, with the part of their shingle."""
     shipped = docs.sparkSession.sparkContext.broadcast(often)  # MOST hashes at most
 
     def made(found: list[tuple]) -> pa.RecordBatch:
-        long = [f for f in found if level(f[4], long_from)]
-        sent = [np.unique(f[0]) for f in long]
-        k, e = np.array([len(f[0]) for f in found]), np.array([len(x) for x in sent], dtype=np.int64)
-        rep = lambda i, kind: np.r_[np.repeat(np.array([f[i] for f in found], kind), k), np.repeat(np.array([f[i] for f in long], kind), e)]
-        none = pa.nulls(int(e.sum()), pa.int64())
-        columns = [
-            pa.array(np.concatenate([f[0] for f in found] + sent)),
-            pa.concat_arrays([pa.array(np.concatenate([f[1] for f in found])), none]),
-            pa.array(rep(3, np.int64)),
-            pa.array(rep(4, np.int32)),
-            pa.concat_arrays([pa.array(np.concatenate([f[2] for f in found])), none.cast(pa.int32())]),
-            pa.array([x for f in found for x in [None if level(f[4], long_from) else f[5]] * len(f[0])] + [f[5] for f, x in zip(long, sent, strict=True) for _ in x], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTING.split(", ")])
+        k = [len(f[0]) for f in found]
+        shingle = np.concatenate([f[0] for f in found])
+        columns = [(mix(shingle) % U(parts)).astype(np.int32), shingle.view(np.int64), np.repeat(np.array([f[1] for f in found], np.int64), k), np.repeat(np.array([f[2] for f in found], np.int32), k), np.concatenate([np.arange(x, dtype=np.int32) for x in k])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[x.split()[0] for x in ENTRY.split(", ")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, known = Hashes(), shipped.value, set()
@@ -195,17 +189,58 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
                     continue
                 known.add(node)
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                ordered = np.r_[s[~late], s[late]][: prefix_length(len(s), percent)]
-                to = (mix(ordered) % U(parts)).astype(np.int32)
-                found.append((to, ordered.view(np.int64), np.arange(len(ordered), dtype=np.int32), node, len(s), sketch(s, long_from)))
-                size += len(ordered) * (32 + len(found[-1][5]))
-                if size > 8 << 20:  # sketches sent to many parts are many times the text
+                found.append((np.r_[s[~late], s[late]][: prefix_length(len(s), percent)], node, len(s)))
+                size += len(found[-1][0])
+                if size > 200_000:
                     yield made(found)
                     found, size = [], 0
         if found:
             yield made(found)
 
-    return docs.select("text").mapInArrow(each, POSTING)
+    return docs.select("text").mapInArrow(each, ENTRY)
+
+
+def shared(index: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Entries (shingle, node, n, at) whose list holds another set within reach of their size. Most shingles are in one set only."""
+    names = ["shingle", "node", "n", "at"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.select(names) for b in batches]
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        s, node, n, at = (got.column(c).to_numpy() for c in names)
+        order = np.lexsort((node, at, n, s))
+        s, node, n, at = s[order], node[order], n[order].astype(np.int64), at[order]
+        order = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])][: len(s)])
+        s, node, n, at = s[order], node[order], n[order], at[order]
+        near = (s[1:] == s[:-1]) & (n[:-1] * 100 >= percent * n[1:])  # sizes grow within a list
+        keep = np.flatnonzero(np.r_[near, False] | np.r_[False, near]) if len(s) else np.zeros(0, np.int64)
+        for lo in range(0, len(keep), 100_000):
+            k = keep[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(s[k]), pa.array(node[k]), pa.array(n[k].astype(np.int32)), pa.array(at[k])], names=names)
+
+    return index.repartition(parts, "part").mapInArrow(each, "shingle long, node long, n int, at int")
+
+
+def sketched(entries: DataFrame, nodes: DataFrame, parts: int, long_from: int) -> DataFrame:
+    """Entries with the sketches of short sets; rows without a shingle bring the sketch of a long set to a part."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, shingle, n, at = (batch.column(c).to_numpy() for c in range(4))
+            part = (mix(shingle.view(U)) % U(parts)).astype(np.int32)
+            long = level(n.astype(np.int64), long_from) > 0
+            _, brings = np.unique(np.stack([node[long], part[long]], axis=1), axis=0, return_index=True)
+            brings = np.flatnonzero(long)[brings]
+            all_of = np.r_[np.arange(len(node)), brings]
+            late = np.arange(len(all_of)) >= len(node)
+            columns = [pa.array(part[all_of]), pa.array(shingle[all_of], mask=late), pa.array(node[all_of]), pa.array(n[all_of]), pa.array(at[all_of], mask=late)]
+            kept = pc.if_else(pa.array(~late & long[all_of]), pa.scalar(None, pa.binary()), batch.column(4).take(pa.array(all_of)))
+            yield pa.RecordBatch.from_arrays([*columns, kept], names=[x.split()[0] for x in POSTING.split(", ")])
+
+    met = entries.join(nodes.select("node", "sketch").hint("merge"), "node").select("node", "shingle", "n", "at", "sketch")
+    return met.mapInArrow(each, POSTING)
 
 
 def chains(pairs: np.ndarray) -> np.ndarray:
@@ -432,12 +467,15 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     base = read.where(F.col("n_shingles").isNotNull()).select("doc_id", "text_hash", "n_shingles", "node")
     # The row that stands for a node: the least doc_id that is known, and its text.
     row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash"))
-    nodes = read.where(F.col("node").isNotNull()).groupBy("node").agg(row.alias("r"), F.max("n_shingles").alias("n"))
-    nodes = store(nodes.select("node", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("first_hash"), "n"), "nodes")
+    nodes = read.where(F.col("node").isNotNull()).groupBy("node").agg(row.alias("r"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = store(nodes.select("node", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("first_hash"), "n", "sketch"), "nodes")
     entries = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("n")).first()["n"] or 0
     parts, long_from = max(partitions_for(docs.sparkSession), -(-int(entries) // ENTRIES)), longest(percent)
-    index = postings(docs, frequent(read), words, percent, parts, long_from)
-    survivors = store(candidates(index, percent, parts, long_from).distinct(), "survivors")
+    entries = store(shared(postings(docs, frequent(read), words, percent, parts), percent, parts), "entries")
+    many = entries.count()
+    parts = max(-(-many // ENTRIES), min(partitions_for(docs.sparkSession), -(-many // (ENTRIES // 10))), 1)
+    survivors = store(candidates(sketched(entries, nodes, parts, long_from), percent, parts, long_from).distinct(), "survivors")
+    nodes = nodes.drop("sketch")
     groups = components(survivors).select(F.col("id").alias("node"), F.col("label").alias("grp"))
     groups = store(groups.join(nodes.hint("merge"), "node"), "groups")
     cells = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / SHINGLES))
