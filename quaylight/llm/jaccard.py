@@ -55,7 +55,7 @@ from .common import mix, partitions_for, store, strings, table
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, LANDMARKS, SALTS = 100, 500_000, 48, 512, 300_000, 1024, 32, 1500, 200_000, 8, 16
+OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, LANDMARKS, SALTS, FAN = 100, 500_000, 48, 512, 300_000, 1024, 32, 1500, 200_000, 8, 16, 16
 U = np.uint64
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=U)
 
@@ -243,8 +243,8 @@ def sketched(entries: DataFrame, nodes: DataFrame, parts: int, long_from: int) -
     return met.mapInArrow(each, POSTING)
 
 
-def chains(pairs: np.ndarray) -> np.ndarray:
-    """Edges with the same components: in each component, from every node to the next larger one."""
+def trees(pairs: np.ndarray) -> np.ndarray:
+    """Edges with the same components: in each component the sorted nodes form a tree of FAN branches, so that it is shallow and no node has many edges."""
     nodes, at = np.unique(pairs, return_inverse=True)
     at = at.reshape(-1, 2)
     label = np.arange(len(nodes))
@@ -258,8 +258,11 @@ def chains(pairs: np.ndarray) -> np.ndarray:
             break
         label = new
     order = np.argsort(label, kind="stable")
-    same = label[order][1:] == label[order][:-1]
-    return np.stack([nodes[order[:-1]][same], nodes[order[1:]][same]], axis=1) if len(nodes) else np.zeros((0, 2), np.int64)
+    starts = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]][: len(order)])
+    start = np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    rank = np.arange(len(order)) - start
+    up, below = start + (rank - 1) // FAN, rank > 0
+    return np.stack([nodes[order[up[below]]], nodes[order[below]]], axis=1)
 
 
 class Lists:
@@ -333,7 +336,7 @@ class Lists:
         for lo, hi in zip(edges[ends - edges > SHORT], ends[ends - edges > SHORT], strict=True):
             out.append(self.led(np.arange(lo, hi)))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return chains(got)
+        return trees(got)
 
     def led(self, at: np.ndarray) -> np.ndarray:
         """A long list: leaders settle what passes with them; every set that a leader leaves is compared with all."""
