@@ -6,13 +6,19 @@ parts are reported only where complementary parts lie in the same scope: the sam
 SCOPE code points from the end of one to the start of the other. A weak secret needs an identifier
 or an endpoint, a weak identifier needs a secret, an endpoint needs both.
 
-Only DataFrame functions run: matches leave a text as (kind, number, gap, match) rows, so the text
+Only DataFrame functions run: matches leave a text as (kind, number, gap, match) parts, so the text
 itself is never shuffled; running sums of gaps and matches give code-point positions; the running
-furthest end and first start of each role are the interval join (no pair is ever emitted). One
-shuffle on the row's key serves all three steps. Work per text follows its length and matches.
+furthest end and first start of each role are the interval join (no pair is ever emitted). Copies
+of a row (same id and text) are counted before the shuffle, so a third of all rows being one row
+sends a row for each input task. That one shuffle on the row's key serves all further steps. A
+kind's pattern runs only over texts that hold one of its words.
+
+Every repeated group of a pattern is possessive and its names are bounded (PARTS names of at most
+PART letters around a keyword, longer ones are no credential names), so a match neither recurses
+nor looks further than a fixed way from its keyword: work per text follows its length.
 
 OP1_SQL has the narrower weak patterns (no names around a keyword) and compares starts, so it
-reports a subset where texts hold such parts.
+reports a subset where texts hold such parts; tests hold the wide ones to a plain search.
 
 A span covers the whole match: start and end in code points, end exclusive.
 
@@ -23,6 +29,8 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,14 +51,27 @@ KINDS = {
 STRONG = [k for k, v in KINDS.items() if v[1]]
 #: A keyword may follow '_', '-', '.', a digit or a capital's edge (DB_PASSWORD, dbPassword), and more names may follow it (secret_access_key).
 EDGE = "(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"
-#: Names after a keyword; one that tells of another role ends the keyword's claim (auth_user, user_password).
-MORE = "[0-9]*(?:(?:[_.-]|(?-i:(?<=[a-z])(?=[A-Z])))(?!{})[A-Za-z0-9]+)*"
+#: Names after a keyword: at most PARTS of at most PART letters and digits.
+PARTS, PART = 12, 40
+#: One that tells of another role ends the keyword's claim (auth_user, user_password). Possessive, as nothing that may follow is a letter.
+MORE = "[0-9]{{0,20}}+(?:(?:[_.-]|(?-i:(?<=[a-z])(?=[A-Z])))(?!{})[A-Za-z0-9]{{1,%d}}+){{0,%d}}+" % (PART, PARTS)
 MORE_SECRET = MORE.format("user|login|account|client|name|id(?![a-z])|host|server|endpoint|url|uri")
 MORE_IDENTIFIER = MORE.format("pass|pwd|auth|cred|secret|token|(?:api|access|secret)?[_.-]?key(?![_.-]?id)|host|server|endpoint|url|uri")
 #: What is searched. KINDS stay as the SQL has them.
 WIDE = KINDS | {
     "weak_secret": ("secret", False, f"(?i){EDGE}(passphrase|pass|pwd|auth|credential|password|passwd|secret|token|api_?key){MORE_SECRET}{SET}({VALUE}{{6,}})", 6, 2),
     "weak_identifier": ("identifier", False, f"(?i){EDGE}(?<!(?:secret|api)[_.-]?)(user_?name|user|login|client_?id|account|access_?key(?:_?id)?){MORE_IDENTIFIER}{SET}([A-Za-z0-9@._-]{{3,}})", 3, 2),
+    # What counts as a letter in \\b differs between Java versions and engines.
+    "endpoint": (*KINDS["endpoint"][:2], KINDS["endpoint"][2].replace("\\b", "(?<![A-Za-z0-9_])"), *KINDS["endpoint"][3:]),
+}
+#: Some of these words, in either case, is in every match of a kind.
+WORDS = {
+    "assign": ["passw", "secret", "token", "api"],
+    "access": ["akia"],
+    "hex": [],
+    "weak_secret": ["pass", "pwd", "auth", "credential", "secret", "token", "api"],
+    "weak_identifier": ["user", "login", "client", "account", "access"],
+    "endpoint": ["://", "host", "endpoint", "server"],
 }
 
 
@@ -58,11 +79,13 @@ def found(text: Column, kind: str) -> Column:
     """Matches of a kind in order, each with the length of the text between it and the one before."""
     pattern = F.lit(WIDE[kind][2])
     hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, WIDE[kind][2], -1)
+    held = [F.lower(text).contains(w) for w in WORDS[kind]]
+    matches = reduce(lambda a, b: a | b, held) & text.rlike(WIDE[kind][2]) if held else text.rlike(WIDE[kind][2])
     rows = F.transform(
         hits,
         lambda m, i: F.struct(F.lit(list(KINDS).index(kind)).alias("k"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match")),
     )
-    return F.when(text.rlike(WIDE[kind][2]), rows).otherwise(F.array().cast("array<struct<k:int,i:int,gap:int,match:string>>"))
+    return F.when(matches, rows).otherwise(F.array().cast("array<struct<k:int,i:int,gap:int,match:string>>"))
 
 
 def long_enough(k: Column, match: Column) -> Column:
@@ -82,21 +105,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, the text's hash, and an ordered array of spans (start, k, kind, end, strong) for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.concat(*[found(F.col("_t"), kind) for kind in KINDS])
+    key = ["doc_id", "text_hash"]
     rows = (
         docs.select("doc_id", text.alias("_t"))
         .select("doc_id", F.xxhash64("_t").alias("text_hash"), parts.alias("_p"))
-        .select("doc_id", "text_hash", F.posexplode_outer("_p").alias("_n", "_p"))
-        .select("doc_id", "text_hash", "_n", "_p.*")
-        .repartition("doc_id", "text_hash")
-    )
-    key = ["doc_id", "text_hash"]
-    # Repeated rows share their parts: one copy of each goes on, with the number of rows.
-    copies = Window.partitionBy(*key)
-    copy = Window.partitionBy(*key, "k", "i").orderBy("gap")
-    rows = (
-        rows.withColumn("_copies", F.sum(F.when(F.coalesce("_n", F.lit(0)) == 0, 1).otherwise(0)).over(copies))
-        .withColumn("_copy", F.row_number().over(copy))
-        .where(F.col("_copy") == 1)
+        .groupBy(*key)
+        .agg(F.first("_p").alias("_p"), F.count("*").alias("_copies"))
+        .select(*key, "_copies", F.explode_outer("_p").alias("_p"))
+        .select(*key, "_copies", "_p.*")
     )
     so_far = Window.partitionBy(*key, "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("match")).over(so_far)

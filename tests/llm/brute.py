@@ -22,6 +22,32 @@ def base_spans(text: str | None) -> list[tuple[int, int, str, int]]:
     return sorted(out + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16])
 
 
+def wide_spans(text: str) -> list[tuple[int, str, int]]:
+    """All spans of the secret scan by one search a kind and a comparison of every two parts."""
+    import regex
+
+    from quaylight.llm.secrets import SCOPE, WIDE
+
+    parts = []
+    for k, (kind, (role, strong, pattern, least, group)) in enumerate(WIDE.items()):
+        for m in regex.finditer(pattern, text, regex.ASCII):
+            own = len(m[group]) >= least
+            if kind == "weak_secret":
+                base = ASSIGN.search(m[0])
+                own = own and (len(m[group]) < 12 or not base)
+            if own:
+                parts.append((m.start(), k, kind, m.end(), role, strong))
+
+    def near(p, role) -> bool:
+        return any(q[4] == role and (p[0] - q[3] <= SCOPE if q[0] <= p[0] else q[0] - p[3] <= SCOPE) for q in parts)
+
+    def told(p) -> bool:
+        s, i, e = (near(p, r) for r in ("secret", "identifier", "endpoint"))
+        return p[5] or {"secret": i or e, "identifier": s, "endpoint": s and i}[p[4]]
+
+    return [(p[0], p[2], p[3]) for p in sorted(parts) if told(p)]
+
+
 def removed(texts: list[str | None], span: int = 200) -> list[tuple[int, int, int, str]]:
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + span] for b in raw for i in range(len(b) - span + 1))
