@@ -12,6 +12,7 @@ from .secrets import OP1_SQL, op1_secrets
 from .sharding import op9_sharding
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op3_toxicity
+from .trie import OP11_SQL, op11_prefix_trie
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-SQL = {"op1_secrets": OP1_SQL, "op8_jaccard": OP8_SQL, "op10_topk": OP10_SQL}
+SQL = {"op1_secrets": OP1_SQL, "op8_jaccard": OP8_SQL, "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL}

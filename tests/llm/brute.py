@@ -166,3 +166,29 @@ def decontamination(docs: list[tuple[int, str | None]], items: list[tuple[int, s
             if w and score >= 1 and max(overlap(p) for p in (own, *specific(question, answer))) >= least:
                 out.append((d, i, round(score, 4), overlap(question), overlap(answer)))
     return sorted(out)
+
+
+def trie(turns: list[tuple]) -> list[tuple]:
+    """Every node of the trie of rebuilt conversations, from whole sequences; no hashes, bands or blocks."""
+    own: dict = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(rows)] for c, rows in own.items()}
+    made = {}
+    for c, rows in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        made[c] = tuple([*own.get(c - int(math.fmod(c, 100)), [])[:h], *rows[h:]])
+    members: dict = {}
+    for c, seq in made.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(seq[:d], []).append(c)
+    out = []
+    for node, inside in members.items():
+        under = [k for k in members if k[: len(node)] == node]
+        children = [k for k in under if len(k) == len(node) + 1]
+        leaves = sum(not any(len(j) == len(k) + 1 and j[:-1] == k for j in under) for k in under)
+        saved = sum((len(members[k]) - 1) * len(k[-1][1]) for k in under if k)
+        done = sorted(c for c in inside if made[c] == node)
+        out.append((min(inside), len(node), min(members[node[:-1]]) if node else None, len(inside), len(children), leaves, saved, sha(",".join(map(str, done)).encode())))
+    return sorted(out, key=repr)
