@@ -13,6 +13,8 @@ from .sharding import op9_sharding
 from .topk import OP10_SQL, op10_topk
 from .toxicity import op3_toxicity
 from .trie import OP11_SQL, op11_prefix_trie
+from .warc import OP12_SQL, op12_warc
+from .whiten import op13_whitening
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_warc": op12_warc,
+    "op13_whitening": op13_whitening,
 }
-SQL = {"op1_secrets": OP1_SQL, "op8_jaccard": OP8_SQL, "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+SQL = {"op1_secrets": OP1_SQL, "op8_jaccard": OP8_SQL, "op10_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_warc": OP12_SQL}
