@@ -21,6 +21,7 @@ from ..operators import features as fe
 from ..operators import graph as gr
 from ..operators import metrics as me
 from ..operators import models as mo
+from ..operators import phrases as ph
 from ..operators import relational as re_
 from ..operators import sensors as se
 from ..schemas import ABLATIONS, EVENT_RULES, FEATURE_SCHEMA, HEDGED, RELATION_CUE, RELATION_NEGATED, TARGET
@@ -327,6 +328,29 @@ def e4_mentions(orders, companies):
     return got.groupBy("doc_id", "cik").agg(F.max("confidence").alias("confidence"))
 
 
+#: A name of 1 to 10 words for each customer, in words that only it has, and a document's text with two of them planted.
+NAME = "array_to_string(list_transform(range(1, 2 + c_custkey % 10), lambda i: c_mktsegment || c_custkey || 'x' || i), ' ')"
+LOW = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""with d as (select c_custkey as cik, {LOW.format(NAME)} as alias, {NAME} as name from customer), n as (select max(cik) + 1 as n from d),
+t as (select doc_id, ' ' || {LOW.format("substr(text, 1, length(text) // 2) || ' ' || a.name || '! ' || substr(text, length(text) // 2 + 1) || ' (' || b.name || ')'")} || ' ' as low
+  from documents, n join d a on a.cik = doc_id % n join d b on b.cik = doc_id * 7 % n where text is not null)
+select doc_id, lpad(cik::varchar, 10, '0') as cik, alias as phrase from t join d on contains(low, ' ' || alias || ' ') where length(alias) >= 5""")
+def e4_planted_phrases(documents, customer):
+    """Names of 1 to 10 words, planted in whole documents, found as phrases."""
+    name = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 10 + 1).cast("int")), lambda i: F.concat("c_mktsegment", F.col("c_custkey").cast("string"), F.lit("x"), i.cast("string"))), " ")
+    names = customer.select(F.col("c_custkey").alias("k"), name.alias("name"))
+    n = names.agg((F.max("k") + 1).alias("n"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = documents.where(F.col("text").isNotNull()).crossJoin(F.broadcast(n)).select("doc_id", "text", (F.col("doc_id") % F.col("n")).alias("a"), (F.col("doc_id") * 7 % F.col("n")).alias("b"))  # one row
+    for c in ("a", "b"):
+        rows = rows.join(names.select(F.col("k").alias(c), F.col("name").alias(f"{c}_name")).hint("merge"), c)
+    planted = F.concat(F.substr("text", F.lit(1), half), F.lit(" "), F.col("a_name"), F.lit("! "), F.substr("text", half + 1), F.lit(" ("), F.col("b_name"), F.lit(")"))
+    known = names.select(ft.normalize_name(F.col("name")).alias("phrase"), F.lpad(F.col("k").cast("string"), 10, "0").alias("cik")).where(F.length("phrase") >= 5)
+    return ph.find_phrases(rows.select("doc_id", ft.normalize_name(planted).alias("low")), "low", known, "cik")
+
+
 @query(f"with {FOUND}, n as (select doc_id, count(*) as candidates from found group by doc_id) select {uuid_sql('concat(' + quoted('filing:') + ', w.doc_id)')} as id, 'sec_filing' as source_type, sha256(text) as text_sha256, coalesce(candidates, 0) as candidates from w left join n on n.doc_id = w.doc_id")
 def e5_filing_evidence(orders, companies):
     rows = filings(orders, companies)
