@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,9 +232,15 @@ def temporal_split(rows: DataFrame, least: int = 12) -> DataFrame:
 
 
 def ablate(nodes: DataFrame, name: str) -> DataFrame:
-    """nodes without the columns' information: zeros for the four columns of each removed source; presence included."""
+    """nodes without the columns' information: zeros for the four columns of each removed source, presence included, and for what `history` and neighbours' means made of them.
+
+    no_temporal leaves of `history` what it makes of the last frame alone (see last_frame_only).
+    """
     gone = {"no_vision": VISION, "no_news": NEWS, "full": [], "no_temporal": []}[name]
-    zeros = {f"{s}_{t}": F.lit(0.0) for s in gone for t in STATS}
+    base = [f"{s}_{t}" for s in gone for t in STATS]
+    of_source = lambda c: any(re.fullmatch(rf"(mean_)?{p}(_lag\d+|_trend)?", c) for p in base)
+    past = lambda c: name == "no_temporal" and re.search(r"_lag[1-9]\d*$|_trend$", c)
+    zeros = {c: F.lit(0.0) for c in [*base, *(c for c in nodes.columns if of_source(c) or past(c))]}
     return nodes.withColumns(zeros) if zeros else nodes
 
 

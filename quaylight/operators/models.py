@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import ablate, last_of_day
+from .history import fit_checkpoint, history, predictions, with_neighbours
 from .metrics import average_precision, brier, confusion, constant_brier, roc_auc
 
 
@@ -36,30 +34,26 @@ def eligibility(least: int = 20) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for ok, reason in rules])
 
 
-def classifier(architecture: str, features: list[str], seed: int) -> Pipeline:
-    join = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    made = {"logistic": LogisticRegression(featuresCol="_x", labelCol="y", regParam=0.01), "trees": GBTClassifier(featuresCol="_x", labelCol="y", maxIter=10, seed=seed)}[architecture]
-    return Pipeline(stages=[join, made])
+def fit_and_select(rows: DataFrame, features: list[str], architectures=("logistic", "trees"), seeds=(42,), ablations=("full", "no_news", "no_vision", "no_temporal"), rounds: int = 10) -> tuple[DataFrame, PipelineModel]:
+    """rows (split, y, features): metrics of each run on each split, and the full model with the least validation Brier score.
 
-
-def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
-
-
-def fit_and_select(rows: DataFrame, features: list[str], architectures=("logistic", "trees"), seeds=(42,), ablations=("full", "no_news", "no_vision")) -> tuple[DataFrame, PipelineModel]:
-    """rows (split, y, features): metrics of each run on each split, and the full model with the least validation Brier score. The test split never selects."""
+    In each run the validation split picks the checkpoint (best_step); the test split is read only
+    once a run's model is chosen, and never selects. Input rows are read many times: cache them or
+    write them first.
+    """
     found, best = None, (float("inf"), None)
     for architecture, seed, ablation in product(architectures, seeds, ablations):
         data = ablate(rows, ablation)
-        model = classifier(architecture, features, seed).fit(data.where("split = 'train'"))
+        train, validation = (data.where(F.col("split") == s) for s in ("train", "validation"))
+        model, step, scores = fit_checkpoint(train, validation, features, architecture, seed, rounds)
         scored = predictions(model, data).select("split", F.col("y").cast("double").alias("y"), "p")
         run = confusion(scored, ["split"])
         for metric in (roc_auc, average_precision, brier):
             run = run.join(metric(scored, ["split"]), "split", "left")
-        run = run.withColumns({"architecture": F.lit(architecture), "seed": F.lit(seed), "ablation": F.lit(ablation)})
-        checked = run.where("split = 'validation'").select("brier").first()
-        if ablation == "full" and checked and checked["brier"] < best[0]:
-            best = (checked["brier"], model)
+        run = run.withColumns({"architecture": F.lit(architecture), "seed": F.lit(seed), "ablation": F.lit(ablation), "best_step": F.lit(step)})
+        least = min(b for _, b in scores)
+        if ablation == "full" and least < best[0]:
+            best = (least, model)
         found = run if found is None else found.unionByName(run)
     return found, best[1]
 
@@ -70,20 +64,27 @@ def score_current(model: PipelineModel, nodes: DataFrame, evidence: DataFrame, m
     return scored.select(F.col("id").alias("company_id"), F.col("p").alias("score"), "evidence_count", F.lit(model_id).alias("model_version_id"), F.lit(snapshot_id).alias("graph_snapshot_id"), F.lit(basis).alias("input_basis"), now.alias("computed_at"))
 
 
-def score_live(versions: DataFrame, snapshots: DataFrame, nodes: DataFrame, evidence: DataFrame, load: Callable[[str], PipelineModel], basis: str, now: Column) -> tuple[str, DataFrame | None]:
+def score_live(versions: DataFrame, snapshots: DataFrame, nodes: DataFrame, evidence: DataFrame, load: Callable[[str], PipelineModel], basis: str, now: Column, columns: list[str], edges: DataFrame | None = None, neighbours: tuple[str, ...] = ()) -> tuple[str, DataFrame | None]:
     """(status, score rows): skipped without an eligible active version or without as many consecutive last days as it has steps.
 
-    snapshots (snapshot_id, as_of); nodes (snapshot_id, id, features); evidence (company_id,
-    evidence_count); load gives the model of a version's id.
+    snapshots (snapshot_id, as_of); nodes (snapshot_id, id, columns); evidence (company_id,
+    evidence_count); load gives the model of a version's id, which learnt from `history` of columns
+    over the version's steps, with the neighbours' means of `neighbours` over edges (src, dst) of
+    the last snapshot. All of these days' frames are the input.
     """
     active = versions.where("is_active").withColumn("_reason", eligibility()).limit(1).collect()
     if not active or active[0]["_reason"]:
         return "skipped: no eligible active model", None
+    steps = active[0]["steps"]
     month = snapshots.where((F.col("as_of") <= now) & (F.col("as_of") >= now - F.make_interval(days=F.lit(30))))
-    days = sorted((r["day"], r["snapshot_id"]) for r in last_of_day(month).collect())[-active[0]["steps"] :]  # 31 rows at most
-    if len(days) < active[0]["steps"] or (days[-1][0] - days[0][0]).days != len(days) - 1:
+    days = sorted((r["day"], r["snapshot_id"]) for r in last_of_day(month).collect())[-steps:]  # 31 rows at most
+    if len(days) < steps or (days[-1][0] - days[0][0]).days != len(days) - 1:
         return "skipped: too few consecutive days", None
-    rows = nodes.where(F.col("snapshot_id") == days[-1][1]).drop("snapshot_id")
+    step = F.coalesce(*[F.when(F.col("snapshot_id") == sid, F.lit(i)) for i, (_, sid) in enumerate(days)])
+    frames = nodes.withColumn("step", step).where(F.col("step").isNotNull())
+    rows = history(frames, columns, steps)
+    if edges is not None:
+        rows = with_neighbours(rows, edges, list(neighbours))
     return "scored", score_current(load(active[0]["id"]), rows, evidence, str(active[0]["id"]), days[-1][1], basis, now)
 
 
@@ -107,11 +108,18 @@ def observed_inputs(companies: DataFrame, severity: DataFrame, members: DataFram
     return met.withColumn("missing", F.col("severity").isNull()).withColumn("severity", F.coalesce("severity", F.lit(0.0)))
 
 
-def experiment_report(runs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Mean and deviation of each (architecture, ablation) on the test split, and the recommended architecture; with rows (split, y), the Brier scores of predicting the training prevalence too."""
+def experiment_report(runs: DataFrame, rows: DataFrame | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """Mean and deviation of each (architecture, ablation) on the test split, and the recommended architecture.
+
+    With rows (split, y), the Brier scores of predicting the training prevalence too; with snapshots
+    (split, snapshot_id), the ids of each split's snapshots, one for each day.
+    """
     test = runs.where("split = 'test'").groupBy("architecture", "ablation").agg(F.avg("f1").alias("f1_mean"), F.stddev_pop("f1").alias("f1_sd"), F.avg("brier").alias("brier_mean"))
     best = runs.where("split = 'validation' and ablation = 'full'").agg(F.min_by("architecture", F.struct("brier", "architecture", "seed")).alias("_best"))
     if rows is not None:
         base = constant_brier(rows).agg(*[F.max(F.when(F.col("split") == s, F.col("constant_brier"))).alias(f"{s}_constant_brier") for s in ("validation", "test")])
         test = test.crossJoin(F.broadcast(base))  # one row
+    if snapshots is not None:
+        ids = snapshots.agg(*[F.array_sort(F.collect_set(F.when(F.col("split") == s, F.col("snapshot_id")))).alias(f"{s}_snapshots") for s in ("train", "validation", "test")])
+        test = test.crossJoin(F.broadcast(ids))  # one row
     return test.crossJoin(F.broadcast(best)).withColumn("recommended", (F.col("architecture") == F.col("_best")) & (F.col("ablation") == "full")).drop("_best")  # one row

@@ -503,22 +503,6 @@ def m11_observed_inputs(suppliers, signals, edges):
     return mo.observed_inputs(suppliers.select("id"), severity, members).select("id", r6("severity"), "missing")
 
 
-@query(f"with {SEQ}, l as (select max(day) as day, arg_max(sid, day) as sid from d) select c.id as company_id, l.sid as graph_snapshot_id, 'm1' as model_version_id, n as evidence_count from {{suppliers}} c join (select company_id, count(*) as n from {{signals}} group by company_id) s on s.company_id = c.id, l")
-def m8_score_live(suppliers, signals, snapshots):
-    spark = suppliers.sparkSession
-    evidence = signals.where("company_id is not null").groupBy("company_id").agg(F.count("*").alias("evidence_count"))
-    rows = suppliers.select("id", "shock", (F.col("shock") > 0.5).cast("double").alias("y"))
-    model = mo.classifier("logistic", ["shock"], 1).fit(rows)
-    sizes = {f"{s}_{n}": v for s in ("train", "validation", "test") for n, v in (("n", 30), ("positives", 10))}
-    facts = {"id": "m1", "is_active": True, "schema_ok": True, "basis_ok": True, "ablation": "full", "lineage_ok": True, "steps": 3, "validation_brier": 0.1, "constant_brier": 0.25, **sizes}
-    version = spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])
-    frames = rows.drop("y").withColumn("snapshot_id", F.lit(fe.last_of_day(snapshots).orderBy(F.desc("day")).first()["snapshot_id"]))
-    end = F.lit("2024-01-31").cast("timestamp")
-    status, got = mo.score_live(version, snapshots, frames, evidence, lambda _: model, "observed", end)
-    assert got is not None, status
-    return got.select("company_id", "graph_snapshot_id", "model_version_id", "evidence_count")
-
-
 # --- the evidence store and its jobs ----------------------------------------------------------------
 
 

@@ -410,9 +410,11 @@ def g5_gcn(suppliers, edges):
     return gr.gcn_propagate(suppliers.select("id", "shock"), edges, ["shock"]).select("id", r6("shock"))
 
 
-@query("select s.id, coalesce(round(avg(t.shock), 6), 0) as mean_shock from {suppliers} s left join {edges} e on e.dst = s.id left join {suppliers} t on t.id = e.src group by s.id")
+@query("select s.id, coalesce(round(avg(round(t.shock * 1000000))), 0) as mean_shock from {suppliers} s left join {edges} e on e.dst = s.id left join {suppliers} t on t.id = e.src group by s.id")
 def g6_mean_neighbours(suppliers, edges):
-    return gr.mean_neighbours(suppliers.select("id", "shock"), edges, ["shock"]).select("id", r6("mean_shock"))
+    """In whole millionths, so that sums are exact in any order and a mean that ends in a half is one for every plan."""
+    got = gr.mean_neighbours(suppliers.select("id", F.round(F.col("shock") * 1_000_000).alias("shock")), edges, ["shock"])
+    return got.select("id", F.round("mean_shock").alias("mean_shock"))
 
 
 @query("select src, dst, round(exp(criticality) / sum(exp(criticality)) over (partition by dst), 6) as weight from {edges}")
@@ -511,15 +513,6 @@ def f9_cosine(embeddings):
     return embeddings.crossJoin(F.broadcast(first)).select("vec_id", F.round(fv.cosine_unit(F.col("embedding"), F.col("_e")), 5).alias("similarity"))  # one row
 
 
-@query()
-def m7_fit_and_select(predictions, documents):
-    rows = predictions.join(documents.select("doc_id", "text"), "doc_id")
-    cues = [("news_value", "stupid|trash"), ("satellite_value", "idiot|moron"), ("viirs_value", "scum|loser"), ("ais_value", "clown|pathetic")]
-    data = rows.select("split", "y", *[F.regexp_count("text", F.lit(f"(?i){p}")).cast("double").alias(n) for n, p in cues])
-    runs, _ = mo.fit_and_select(data, [n for n, _ in cues], architectures=("logistic",), ablations=("full", "no_news"))
-    return runs.select("architecture", "ablation", "split", "n", "positives", r6("f1"), r6("brier"))
-
-
 @query(f"select quality, count(*) as n from (select case when not ({VALID}) then 'invalid' when not ({INSIDE}) then 'outside' else 'accepted' end as quality from {{positions}}) group by quality")
 def p10_position_quality(positions):
     return classify_positions(positions, BOX).groupBy("quality").agg(F.count("*").alias("n"))
@@ -608,4 +601,4 @@ def m4_examples(snapshots, labels):
     return made.select("snapshot_id", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x["label"]).alias("positives"))
 
 
-from . import coverage  # noqa: E402, F401 - registers the rest
+from . import coverage, learning  # noqa: E402, F401 - register the rest
