@@ -19,63 +19,80 @@ MOST_STEPS, MOST_COMPANIES = 366, 10_000
 STATS = ["value", "count", "present", "age"]
 
 
-def field(parsed: Column, name: str) -> Column:
-    return F.try_variant_get(parsed, f"$.{name}", "variant")
+#: What measurements read of a signal's JSON. A number's field takes JSON numbers alone; a text's takes any value as text.
+READING = "origin string, provenance string, eligible_for_scoring string, surface_change double, relative_radiance_decrease double, vessel_activity_ratio double"
+#: Texts of values that say nothing, as a string would too.
+SILENT = ["null", "false", "0", "-0", "0.0", "-0.0", "[]", "{}"]
 
 
-def said(v: Column) -> Column:
-    """Whether a JSON value says something: not null, false, zero or empty."""
-    return ~F.to_json(F.struct(v.alias("v"))).isin(*[f'{{"v":{x}}}' for x in ("null", "false", "0", "-0", "0.0", "-0.0", '""', "[]", "{}")])
+def said(reading: Column, name: str) -> Column:
+    """Whether a JSON value says something: not null, false, zero or empty; null if the key is not there.
 
-
-def number(parsed: Column, name: str) -> Column:
-    """A finite JSON number; null for anything else, texts and booleans included."""
-    kind = F.schema_of_variant(field(parsed, name))
-    return F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), finite(F.try_variant_get(parsed, f"$.{name}", "double")))
+    The text settles it, but where a string has the text of a silent value, or null and absence
+    look alike: only such rows are parsed again, as a variant.
+    """
+    text, raw = reading["typed"][name], reading["text"]
+    v = F.try_variant_get(F.coalesce(F.try_parse_json(raw), F.parse_json(F.lit("{}"))), f"$.{name}", "variant")
+    exact = F.when(v.isNotNull(), ~F.to_json(F.struct(v.alias("v"))).isin(*[f'{{"v":{x}}}' for x in [*SILENT, '""']]))
+    return F.when(text.isNull() & ~F.contains(raw, F.lit(f'"{name}"')) & ~F.contains(raw, F.lit("\\u")), None).when(text.isNull() | text.isin(*SILENT), exact).otherwise(text != "")
 
 
-def eligible(parsed: Column) -> Column:
+def eligible(reading: Column) -> Column:
     """News counts unless it says otherwise; null and empty count as saying so, absence does not."""
-    v = field(parsed, "eligible_for_scoring")
-    return v.isNull() | F.coalesce(said(v), F.lit(False))
-
+    return F.coalesce(said(reading, "eligible_for_scoring"), F.lit(True))
 
-def measurement(parsed: Column) -> Column:
-    """A signal's value: severity of eligible news, or the squashed metric of a located, documented sensor reading; else null.
 
-    parsed: the signal's JSON as a variant, so that it is read once.
-    """
-    located = (F.try_variant_get(parsed, "$.origin", "string") == "location_observation") & F.coalesce(said(field(parsed, "provenance")), F.lit(False))
+def measurement(reading: Column) -> Column:
+    """A signal's value: severity of eligible news, or the squashed metric of a located, documented sensor reading; else null."""
+    typed = reading["typed"]
+    located = F.coalesce(typed["origin"] == "location_observation", F.lit(False)) & F.coalesce(said(reading, "provenance"), F.lit(False))
     return finite(
-        F.when(F.col("source_type") == "news", F.when(eligible(parsed), F.col("severity")))
-        .when(~F.coalesce(located, F.lit(False)), None)
-        .when(F.col("source_type") == "satellite", F.tanh(number(parsed, "surface_change")))
-        .when(F.col("source_type") == "viirs", F.tanh(number(parsed, "relative_radiance_decrease")))
-        .when(F.col("source_type") == "ais", F.tanh(number(parsed, "vessel_activity_ratio") - 1))
+        F.when(F.col("source_type") == "news", F.when(eligible(reading), F.col("severity")))
+        .when(~located, None)
+        .when(F.col("source_type") == "satellite", F.tanh(finite(typed["surface_change"])))
+        .when(F.col("source_type") == "viirs", F.tanh(finite(typed["relative_radiance_decrease"])))
+        .when(F.col("source_type") == "ais", F.tanh(finite(typed["vessel_activity_ratio"]) - 1))
     )
 
 
+def readings() -> Column:
+    """An array with the reading of the column `extracted`: its text and what it says, parsed once. Anything but a JSON object says nothing."""
+    text = F.coalesce(F.col("extracted"), F.lit(""))
+    text = F.when(F.ltrim(text).startswith("{"), text).otherwise("{}")
+    return F.transform(F.array(text), lambda t: F.struct(F.from_json(t, READING).alias("typed"), t.alias("text")))
+
+
 def parsed_once(make) -> Column:
-    """make(parsed) of the column `extracted`. Inside a lambda the parsed variant is one value; as a column it would be parsed anew for every mention."""
-    return F.get(F.transform(F.array(F.coalesce(F.try_parse_json("extracted"), F.parse_json(F.lit("{}")))), make), F.lit(0))
+    """make(reading) of the column `extracted`. Inside a lambda the reading is one value; as a column it would be parsed anew for every mention."""
+    return F.get(F.transform(readings(), make), F.lit(0))
 
 
 def visible_measurements(signals: DataFrame, as_of: Column) -> DataFrame:
-    """Signals known at as_of, inside the window of their source, with a value."""
+    """Signals known at as_of, inside the window of their source, with a value.
+
+    The values leave a generator, which gives no row without one: a filter on the value would be
+    pushed down and work it out a second time.
+    """
     known = bitemporal(signals, as_of).where(F.col("source_type").isin(SOURCES))
     fresh = known.where(F.col("observed_at") >= as_of - F.make_interval(days=window_days(F.col("source_type"))))
-    return fresh.withColumn("value", parsed_once(measurement)).where(F.col("value").isNotNull())
+    return fresh.select(*signals.columns, F.explode(F.filter(F.transform(readings(), measurement), lambda v: v.isNotNull())).alias("value"))
 
 
 def source_features(measured: DataFrame, links: DataFrame, as_of: Column) -> DataFrame:
-    """(company_id, source_type): value (largest for news, else newest), log count, presence and age."""
-    # Each signal carries its value to its own company, or to those of its location.
+    """(company_id, source_type): value (largest for news, else newest), log count, presence and age.
+
+    A signal counts for its own company, or for those of its location. Signals are summed up for
+    each company and each location first, and only a location's sums go to its companies.
+    """
     known = known_links(links, as_of).select("location_id", F.col("company_id").alias("target"))
-    used = ["id", "source_type", "value", "observed_at"]
-    own = measured.where(F.col("company_id").isNotNull()).select(*used, F.col("company_id").alias("target"))
-    met = own.unionByName(measured.where(F.col("company_id").isNull()).select(*used, "location_id").join(known, "location_id").select(*used, "target"))
-    newest_value = F.max_by("value", F.struct("observed_at", "id"))
-    sums = met.groupBy(F.col("target").alias("company_id"), "source_type").agg(F.max("value").alias("_most"), newest_value.alias("_last"), F.count("*").alias("n"), F.max("observed_at").alias("_at"), F.array_sort(F.collect_set("id")).alias("evidence"))
+    newest = F.max(F.struct("observed_at", "id", "value")).alias("_newest")
+    sums = lambda rows, by: rows.groupBy(F.col(by).alias("target"), "source_type").agg(F.max("value").alias("_most"), newest, F.count("*").alias("n"), F.collect_set("id").alias("evidence"))
+    own = sums(measured.where(F.col("company_id").isNotNull()), "company_id")
+    located = sums(measured.where(F.col("company_id").isNull() & F.col("location_id").isNotNull()), "location_id").withColumnRenamed("target", "location_id")
+    met = own.unionByName(located.join(known.hint("merge"), "location_id").drop("location_id"))
+    # A signal has one company or one location, so that nothing is counted twice.
+    sums = met.groupBy(F.col("target").alias("company_id"), "source_type").agg(F.max("_most").alias("_most"), F.max("_newest").alias("_newest"), F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("evidence"))).alias("evidence"))
+    sums = sums.withColumns({"_last": F.col("_newest.value"), "_at": F.col("_newest.observed_at")})
     seconds = (F.unix_micros(as_of) - F.unix_micros("_at")) / 1e6
     return sums.select(
         "company_id",
