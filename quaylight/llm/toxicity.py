@@ -53,7 +53,7 @@ ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "і": "i", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz",
 }
 SEPARATORS = ".-_*~·,'/\\ \t"
-SWAP, REPEAT, SKIP, ANY, LONGEST = 1.0, 0.4, 0.3, 3.5, 24
+SWAP, REPEAT, SKIP, ANY = 1.0, 0.4, 0.3, 3.5
 #: Long stretches are read in windows of so many characters, each half over the next, or of four times the longest lexicon word.
 WINDOW = 96
 MARKS = b"@$!|+(<*#"
@@ -241,7 +241,7 @@ class Restorer:
                     out.update(self.decoded(bare))
                 if any(c in SEPARATORS for c in bare):
                     out.update(self.segmented(bare, spaced=True))
-                elif len(bare) > LONGEST:
+                else:
                     out.update(self.segmented(bare, glued=True))
         return out
 

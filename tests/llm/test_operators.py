@@ -188,6 +188,7 @@ def test_toxicity_disguises_of_any_length(spark):
     tests = {"fe" + "z" * 80 + "ik": {"fezzik"}, "漢字漢字漢字漢字漢字gr|mb0l漢字": set(), "漢字漢字漢字漢字漢字n4rl0d漢字漢字": {"narlod"}}
     tests |= {"a n a r l o d": {"narlod"}, "f e z z i k n a r l o d": {"fezzik", "narlod"}, " ".join("narlodfezzikgrumbolnarlodfezzik"): set(bad)}
     tests |= {"n**lod": {"narlod"}, "n  a  r  l  o  d": {"narlod"}, "so n. a. r. l. o. d it": {"narlod"}, "x 1 2 3 4 5 6 7 8 9": set()}
+    tests |= {"n4rlodf3zzik": {"narlod", "fezzik"}, "gr0mb0lnarl0d": {"narlod"}, "n4rlodf3zzikgrumbolnarlod": set(bad)}  # glued, short and long; 0 is no look-alike of u
     assert {t: reader.hits(t) for t in tests} == tests
 
 
