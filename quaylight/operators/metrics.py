@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def confusion(df: DataFrame, by: list[str], y: str = "y", p: str = "p", at: float = 0.5) -> DataFrame:
     """n, positives, precision, recall and f1 at a threshold; 0 where undefined."""
@@ -15,27 +17,32 @@ def confusion(df: DataFrame, by: list[str], y: str = "y", p: str = "p", at: floa
 
 
 def by_score(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
-    """One row for each distinct score: pos, n; then running counts from the highest score down. Raw rows never meet in a window."""
+    """One row for each distinct score: pos, n; then running counts from the highest score down, over ranges of scores."""
     steps = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+    return running(steps, by, [F.desc(p)], {"tp": "pos", "seen": "n"})
 
 
-def roc_auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """Exact area under the ROC curve, ties at half; null with a single class."""
+def ranking(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """roc_auc and average_precision of each group, from one pass over its scores; null with a single class.
+
+    The area under the ROC curve is exact, ties at half; average precision is the sum of precision
+    times gained recall over distinct scores.
+    """
     s = by_score(df, by, y, p)
     neg = F.col("n") - F.col("pos")
     # Positives strictly above, for each negative of this score, and half of those of the same score.
     wins = F.sum(neg * (F.col("tp") - F.col("pos") + 0.5 * F.col("pos")))
-    return s.groupBy(*by).agg(F.try_divide(wins, F.sum("pos") * F.sum(neg)).alias("roc_auc"))
+    total = F.sum("pos")
+    ap = F.try_divide(F.sum(F.col("tp") / F.col("seen") * F.col("pos")), total)
+    return s.groupBy(*by).agg(F.try_divide(wins, total * F.sum(neg)).alias("roc_auc"), F.when((total > 0) & (F.sum("n") > total), ap).alias("average_precision"))
+
+
+def roc_auc(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    return ranking(df, by, y, p).drop("average_precision")
 
 
 def average_precision(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """The sum of precision times gained recall over distinct scores; null with a single class."""
-    s = by_score(df, by, y, p)
-    total = F.sum("pos")
-    ap = F.try_divide(F.sum(F.col("tp") / F.col("seen") * F.col("pos")), total)
-    return s.groupBy(*by).agg(F.when((total > 0) & (F.sum("n") > total), ap).alias("average_precision"))
+    return ranking(df, by, y, p).drop("roc_auc")
 
 
 def brier(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:

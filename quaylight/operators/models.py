@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .features import ablate, last_of_day
 from .history import fit_checkpoint, history, predictions, with_neighbours
-from .metrics import average_precision, brier, confusion, constant_brier, roc_auc
+from .metrics import brier, confusion, constant_brier, ranking
 
 
 def eligibility(least: int = 20) -> Column:
@@ -41,20 +41,21 @@ def fit_and_select(rows: DataFrame, features: list[str], architectures=("logisti
     once a run's model is chosen, and never selects. Input rows are read many times: cache them or
     write them first.
     """
-    found, best = None, (float("inf"), None)
+    every, best, key = None, (float("inf"), None), ["architecture", "seed", "ablation", "best_step"]
     for architecture, seed, ablation in product(architectures, seeds, ablations):
         data = ablate(rows, ablation)
         train, validation = (data.where(F.col("split") == s) for s in ("train", "validation"))
         model, step, scores = fit_checkpoint(train, validation, features, architecture, seed, rounds)
-        scored = predictions(model, data).select("split", F.col("y").cast("double").alias("y"), "p")
-        run = confusion(scored, ["split"])
-        for metric in (roc_auc, average_precision, brier):
-            run = run.join(metric(scored, ["split"]), "split", "left")
-        run = run.withColumns({"architecture": F.lit(architecture), "seed": F.lit(seed), "ablation": F.lit(ablation), "best_step": F.lit(step)})
+        run = {"architecture": architecture, "seed": seed, "ablation": ablation, "best_step": step}
+        scored = predictions(model, data).select("split", F.col("y").cast("double").alias("y"), "p", *[F.lit(v).alias(k) for k, v in run.items()])
         least = min(b for _, b in scores)
         if ablation == "full" and least < best[0]:
             best = (least, model)
-        found = run if found is None else found.unionByName(run)
+        every = scored if every is None else every.unionByName(scored)
+    by = [*key, "split"]
+    found = confusion(every, by)
+    for metric in (ranking, brier):
+        found = found.join(metric(every, by), by, "left")
     return found, best[1]
 
 

@@ -46,6 +46,28 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: dict | None, size: int) -> DataFrame:
+    """The next `size` rows after the one whose order columns are `after` (the first ones without it).
+
+    order lists (column, descending); ascending nulls come first, descending ones last, and the
+    columns together tell rows apart. What precedes the page is left out by comparisons that reach
+    the scan, so that a late page sorts and keeps no more rows than the first one.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("a page has 1 to 100 rows")
+    if after is not None:
+        past = F.lit(False)
+        for name, down in reversed(order):
+            c, x = F.col(name), after[name]
+            if x is None:
+                beyond, same = (F.lit(False) if down else c.isNotNull()), c.isNull()
+            else:
+                beyond, same = ((c < x) | c.isNull() if down else c > x), c == F.lit(x)
+            past = beyond | (same & past)
+        df = df.where(past)
+    return df.orderBy(*[F.desc(n) if down else F.asc(n) for n, down in order]).limit(size)
+
+
 def with_latest_score(companies: DataFrame, scores: DataFrame) -> DataFrame:
     latest = newest(scores.select("company_id", "computed_at", "id", "score"), ["company_id"], ["computed_at", "id"])
     latest = latest.select(F.col("company_id").alias("id"), "score", "computed_at")
@@ -100,17 +122,30 @@ def induced(edges: DataFrame, nodes: DataFrame, a: str = "src", b: str = "dst")
     return edges
 
 
-def in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
+#: The finest grid has cells of 360 / 2 ** FINEST degrees.
+FINEST = 24
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """points (lat, lon) in boxes (box_id, west, south, east, north), closed.
 
-    Boxes are listed under every grid cell they touch and points meet those of their own cell, so
-    the range join is an equi-join first.
+    A box is listed under the cells of the finest grid whose cells are no smaller than it, four at
+    most whatever its size; grids halve their cells from one to the next. A point meets each grid
+    that some box uses once, FINEST + 1 at most, so the range join is an equi-join first. Boxes that
+    are upside down, or cross the antimeridian, hold nothing.
     """
-    at = lambda x: F.floor(x / cell).cast("long")
-    cells = boxes.withColumn("_x", F.explode(F.sequence(at(F.col("west")), at(F.col("east"))))).withColumn("_y", F.explode(F.sequence(at(F.col("south")), at(F.col("north")))))
-    own = points.withColumns({"_x": at(F.col("lon")), "_y": at(F.col("lat"))})
-    met = own.join(cells.hint("merge"), ["_x", "_y"])
-    return met.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))).drop("_x", "_y")
+    size = lambda level: 360.0 / F.pow(F.lit(2.0), level)
+    at = lambda x, level: F.floor((x + 180) / size(level)).cast("long")
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+    level = F.when(side > 0, F.least(F.greatest(F.floor(F.log2(360.0 / side)), F.lit(0)), F.lit(FINEST))).otherwise(FINEST).cast("int")
+    graded = boxes.where((F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north"))).withColumn("_level", level)
+    span = lambda a, b: F.explode(F.sequence(at(F.col(a), F.col("_level")), at(F.col(b), F.col("_level"))))
+    cells = graded.withColumn("_x", span("west", "east")).withColumn("_y", span("south", "north"))
+    used = [r["_level"] for r in graded.select("_level").distinct().collect()]  # FINEST + 1 at most
+    levels = F.array(*map(F.lit, used)) if used else F.array().cast("array<int>")
+    own = points.withColumn("_level", F.explode(levels)).withColumns({"_x": at(F.col("lon"), F.col("_level")), "_y": at(F.col("lat"), F.col("_level"))})
+    met = own.join(cells.hint("merge"), ["_level", "_x", "_y"])
+    return met.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))).drop("_level", "_x", "_y")
 
 
 def nearest_before_after(targets: DataFrame, candidates: DataFrame, before_days: int = 7, after_days: int = 8, most_cloud: float = 35.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import ndvi
+from .ranks import exact_quantile
 
 
 def daily_activity(positions: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def surface_change(pixels: DataFrame) -> DataFrame:
 def radiance_change(pixels: DataFrame) -> DataFrame:
     """From aligned radiance: means, the bright level (0.98 quantile of both sides, 0.1 at least) and the relative decrease (null from a dark start)."""
     both = pixels.select("scene_id", F.explode(F.array("before_radiance", "after_radiance")).alias("v"))
-    bright = both.groupBy("scene_id").agg(F.greatest(F.lit(0.1), F.percentile("v", 0.98)).alias("bright_level"))
+    bright = exact_quantile(both, ["scene_id"], "v", 0.98).select("scene_id", F.greatest(F.lit(0.1), F.col("quantile")).alias("bright_level"))
     sums = pixels.groupBy("scene_id").agg(F.avg("before_radiance").alias("before"), F.avg("after_radiance").alias("after"))
     drop = F.when(F.col("before") > 0.1, (F.col("before") - F.col("after")) / F.col("before"))
-    return sums.join(bright, "scene_id").withColumn("relative_decrease", drop)
+    return sums.join(bright.hint("merge"), "scene_id").withColumn("relative_decrease", drop)

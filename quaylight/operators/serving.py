@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import k_hop
-from .relational import by_id, cases_page, induced, list_companies, newest, of_company, page, real_relationships, with_latest_score, with_parties
+from .relational import by_id, cases_page, guarded, induced, list_companies, newest, of_company, page, real_relationships, with_latest_score, with_parties
 
 
 def companies_page(companies: DataFrame, scores: DataFrame, number: int = 1, size: int = 50, **filters) -> tuple[DataFrame, DataFrame]:
@@ -31,9 +31,9 @@ def relationships_page(relationships: DataFrame, companies: DataFrame, signals:
     return page(with_parties(kept, companies, signals), [F.desc("created_at"), F.desc("id")], number, size)
 
 
-def ego_graph(edges: DataFrame, companies: DataFrame, scores: DataFrame, centre, depth: int, direction: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes with hops and latest score, links among them)."""
-    reached = k_hop(edges, centre, depth, direction)
+def ego_graph(edges: DataFrame, companies: DataFrame, scores: DataFrame, centre, depth: int, direction: str, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(nodes with hops and latest score, links among them); refused where over `most` nodes are reached."""
+    reached = guarded(k_hop(edges, centre, depth, direction), most, "reached nodes")
     own = scores.join(reached.select(F.col("id").alias("company_id")), "company_id", "left_semi")
     latest = newest(own.select("company_id", "computed_at", "id", "score"), ["company_id"], ["computed_at", "id"]).select(F.col("company_id").alias("id"), "score")
     return reached.join(companies, "id").join(latest, "id", "left").orderBy("hops", "id"), induced(edges, reached).orderBy("src", "dst")

@@ -24,7 +24,7 @@ from ..operators import models as mo
 from ..operators import phrases as ph
 from ..operators import relational as re_
 from ..operators import sensors as se
-from ..schemas import ABLATIONS, EVENT_RULES, FEATURE_SCHEMA, HEDGED, RELATION_CUE, RELATION_NEGATED, TARGET
+from ..schemas import ABLATIONS, EVENT_RULES, FEATURE_SCHEMA, HEDGED, RELATION_CUE, RELATION_NEGATED, SOURCES, TARGET
 from ..session import shared_folder
 from ..sources import files, sinks
 from ..streaming import jobs
@@ -585,26 +585,39 @@ def r2_stream_volume(signals):
     return signals.sparkSession.read.schema("window_start timestamp, n long, saturated boolean").parquet(f"{folder}/out").select(F.to_date("window_start").cast("string").alias("day"), "n")
 
 
-@query("select source_type, case when source_type = 'viirs' then 'failed' else 'committed' end as outcome, case when source_type = 'viirs' then 0 else count(*) filter (severity > 0.9) end as quarantined from {signals} where source_type is not null group by source_type")
-def r7_isolated_sources(signals):
-    """One job for each source; the one of `viirs` fails and the others still commit."""
+def isolated_counts(signals: DataFrame) -> DataFrame:
+    """One job for each source; the one of `viirs` fails and the others still commit what they take and what they refuse."""
     spark = signals.sparkSession
-    bad = shared_folder(spark, "quarantine")
+    bad, good = shared_folder(spark, "quarantine"), shared_folder(spark, "accepted")
     rows = signals.select("id", "source_type", F.when(F.col("severity") > 0.9, "severity").alias("reason"))
 
     def job(source: str):
         def start():
             stream, folder = streamed(rows.where(F.col("source_type") == source), f"source-{source}")
             if source == "viirs":
-                raise ValueError("no connection")
-            return stream.writeStream.foreachBatch(jobs.quarantined(f"{bad}/{source}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+                raise RuntimeError("the source is down")
+            sink = jobs.quarantined(f"{bad}/{source}", f"{good}/{source}")
+            return stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
         return start
 
-    outcome = jobs.isolated({s: job(s) for s in ("news", "satellite", "viirs", "ais")})
-    parts = None
-    for source, failure in outcome.items():
-        n = spark.read.schema(rows.schema).parquet(f"{bad}/{source}").agg(F.count("*").alias("quarantined")) if failure is None else spark.range(1).select(F.lit(0).cast("long").alias("quarantined"))
-        row = n.select(F.lit(source).alias("source_type"), F.lit("committed" if failure is None else "failed").alias("outcome"), "quarantined")
-        parts = row if parts is None else parts.unionByName(row)
-    return parts
+    count = lambda path, schema, name: spark.read.schema(schema).parquet(path).agg(F.count("*").alias(name))
+    found = None
+    for source, failure in jobs.isolated({s: job(s) for s in SOURCES}).items():
+        if failure is None:
+            n = count(f"{bad}/{source}", rows.schema, "quarantined").crossJoin(count(f"{good}/{source}", rows.drop("reason").schema, "accepted"))  # one row each
+        else:
+            n = spark.range(1).select(F.lit(0).cast("long").alias("quarantined"), F.lit(0).cast("long").alias("accepted"))
+        row = n.select(F.lit(source).alias("source_type"), F.lit("committed" if failure is None else "failed").alias("outcome"), "quarantined", "accepted")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
+@query("select source_type, case when source_type = 'viirs' then 'failed' else 'committed' end as outcome, case when source_type = 'viirs' then 0 else count(*) filter (severity > 0.9) end as quarantined from {signals} where source_type is not null group by source_type")
+def r7_isolated_sources(signals):
+    return isolated_counts(signals).drop("accepted")
+
+
+@query("select source_type, case when source_type = 'viirs' then 0 else count(*) filter (severity > 0.9) end as quarantined, case when source_type = 'viirs' then 0 else count(*) filter (coalesce(severity <= 0.9, true)) end as accepted from {signals} where source_type is not null group by source_type")
+def r7_both_sinks(signals):
+    return isolated_counts(signals).drop("outcome")

@@ -183,7 +183,7 @@ BOXES = "boxes as (select id as box_id, 33.70 + id * 0.002 as south, 33.71 + id
 @query(f"with {BOXES} select box_id, count(*) as n from {{positions}} p join boxes b on p.lat between south and north and p.lon between west and east group by box_id")
 def j7_points_in_boxes(positions, locations):
     box = locations.selectExpr("id as box_id", "33.70 + id * 0.002 as south", "33.71 + id * 0.002 as north", "-118.30 + id * 0.001 as west", "-118.28 + id * 0.001 as east")
-    return re_.in_boxes(positions, box, 0.01).groupBy("box_id").agg(F.count("*").alias("n"))
+    return re_.in_boxes(positions, box).groupBy("box_id").agg(F.count("*").alias("n"))
 
 
 @query("""with p as (select page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) as s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as h, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '[?]([^#]*)', 1) as q from pages),
@@ -383,7 +383,7 @@ def g1_k_hop(edges):
 
 @query("select src, dst, round(criticality, 6) as criticality from {edges} where src in (select 3 union select dst from {edges} where src = 3) and dst in (select 3 union select dst from {edges} where src = 3)")
 def g2_ego_links(edges, companies, scores):
-    return sv.ego_graph(edges, companies, scores, 3, 1, "downstream")[1].select("src", "dst", r6("criticality"))
+    return sv.ego_graph(edges, companies, scores, 3, 1, "downstream", most=10_000_000)[1].select("src", "dst", r6("criticality"))
 
 
 CHAIN = "e as (select src, dst from {edges}), b as (select src as a, dst as b from e union select dst, src from e), reach(id, m) as (select a, a from b union select b.b, reach.m from reach join b on b.a = reach.id)"
@@ -534,7 +534,7 @@ EGO = "e as (select distinct * from {edges}), n as (select 3::bigint as id, 0 as
 
 @query(f"with {EGO} select n.id, n.hops, c.name, round(l.score, 6) as score from n join {{companies}} c on c.id = n.id left join l on l.company_id = n.id and l.k = 1")
 def q6_ego_graph(edges, companies, scores):
-    return sv.ego_graph(edges, companies, scores, 3, 1, "downstream")[0].select(F.col("id"), F.col("hops"), "name", r6("score"))
+    return sv.ego_graph(edges, companies, scores, 3, 1, "downstream", most=10_000_000)[0].select(F.col("id"), F.col("hops"), "name", r6("score"))
 
 
 BLOCKED = """case when not schema_ok then 'schema or basis' when ablation <> 'full' then 'not the full model' when not lineage_ok then 'lineage' when not steps between 2 and 30 then 'steps'
@@ -601,4 +601,4 @@ def m4_examples(snapshots, labels):
     return made.select("snapshot_id", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x["label"]).alias("positives"))
 
 
-from . import coverage, learning, streams  # noqa: E402, F401 - register the rest
+from . import coverage, learning, scale, streams  # noqa: E402, F401 - register the rest

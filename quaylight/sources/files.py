@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,16 +55,16 @@ def read_positions_csv(spark: SparkSession, path: str, box: dict[str, float]) ->
 
 @F.pandas_udf(schemas.schema(lat=schemas.D, lon=schemas.D))
 def wkb_point(wkb: pd.Series) -> pd.DataFrame:
-    """A 21-byte point in either byte order; null otherwise."""
-
-    def point(b: bytes | None) -> tuple[float | None, float | None]:
-        if b is None or len(b) != 21 or b[0] not in (0, 1):
-            return None, None
-        order = "<" if b[0] else ">"
-        kind, x, y = struct.unpack(order + "Idd", b[1:])
-        return (y, x) if kind == 1 else (None, None)
-
-    return pd.DataFrame([point(b) for b in wkb], columns=["lat", "lon"], dtype="float64")
+    """A 21-byte point in either byte order; null otherwise. A batch's points are read as one array of records."""
+    whole = wkb.str.len().eq(21).fillna(False).to_numpy(dtype=bool)
+    packed = b"".join(wkb[whole])
+    out = np.full((len(wkb), 2), np.nan)
+    first, where = np.frombuffer(packed, np.uint8)[::21], np.flatnonzero(whole)
+    for order, sign in (("<", 1), (">", 0)):
+        points = np.frombuffer(packed, np.dtype([("o", "u1"), ("kind", f"{order}u4"), ("x", f"{order}f8"), ("y", f"{order}f8")]))
+        mine = (first == sign) & (points["kind"] == 1)
+        out[where[mine]] = np.stack([points["y"][mine], points["x"][mine]], axis=1)
+    return pd.DataFrame(out, columns=["lat", "lon"])
 
 
 def read_positions_parquet(spark: SparkSession, path: str, day: str, box: dict[str, float]) -> tuple[DataFrame, DataFrame]:

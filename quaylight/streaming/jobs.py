@@ -47,11 +47,36 @@ def merge_new(path: str, key: str = "id"):
     return write
 
 
-def quarantined(bad: str):
-    """A foreachBatch sink for rows with a `reason`; one query for each source keeps failures apart."""
+def keep_late(path: str, at: str = "observed_at", delay: str = "1 day"):
+    """A foreachBatch sink that keeps every row, with `late`: whether it is older than the newest row of earlier batches less `delay`.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.where(F.col("reason").isNotNull()).write.mode("append").parquet(bad)
+    The watermark is a maximum over the earlier batches' folders. Late rows are never dropped: what
+    was known at a time follows from ingested_at, so that they are in no snapshot of a time before
+    they came, and in the next one. A batch is a folder, overwritten when it is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        mark = None
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            before = spark.read.option("basePath", path).parquet(path).where(F.col("batch") < number)
+            mark = before.agg(F.unix_micros((F.max(at).cast("timestamp") - F.expr(f"interval {delay}")).cast("timestamp"))).first()[0]
+        late = F.lit(False) if mark is None else F.coalesce(F.col(at) < F.timestamp_micros(F.lit(mark)), F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def quarantined(bad: str, good: str):
+    """A foreachBatch sink: rows with a `reason` go to one table, all others to the other, without it; one query for each source keeps failures apart.
+
+    A batch is a folder in each table, overwritten when it is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        batch.where(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(f"{good}/batch={number}")
 
     return write
 

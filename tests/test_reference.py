@@ -523,6 +523,9 @@ def test_streams(spark, tmp_path):
     assert merged.count() == 8 and merged.where("id = 'e0'").first().ingested_at == NOW
     late = jobs.daily_vessels(stream(), late="0 seconds")
     assert late.isStreaming and jobs.window_volume(stream(), "at").isStreaming
-    bad = jobs.quarantined(f"{tmp_path}/bad")
-    bad(spark.createDataFrame([("a", None), ("b", "why")], "id string, reason string"), 0)
-    assert spark.read.parquet(f"{tmp_path}/bad").count() == 1
+    both = jobs.quarantined(f"{tmp_path}/bad", f"{tmp_path}/good")
+    for _ in range(2):  # a batch that is run again changes nothing
+        both(spark.createDataFrame([("a", None), ("b", "why"), ("c", None)], "id string, reason string"), 0)
+    both(spark.createDataFrame([("d", None)], "id string, reason string"), 1)
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == [("b", "why", 0)]
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/good").collect()) == ["a", "c", "d"]
