@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as fe
 from ..session import shared_folder
+from ..sources.buckets import BucketTable
 from ..streaming import activity, jobs, windows
 from .bindings import DAY, NOW
 from .queries import MEASURED, query, r6
@@ -103,3 +104,29 @@ def r4_late_snapshots(signals, companies, relationships, links):
     landed_twice(signals, record)
     got = signals.sparkSession.read.parquet(path)
     return got.select(F.unix_micros("as_of").alias("as_of_us"), "id", r6("news_value"), r6("news_count"))
+
+
+@query("select id, round(severity, 6) as severity from {signals}")
+def r3_bucket_merge(signals):
+    """Replays of all files into a table of buckets: the first row of a key stays, and the second run writes nothing."""
+    spark, folder = signals.sparkSession, shared_folder(signals.sparkSession, "buckets")
+    rows = signals.select("id", "severity", "ingested_at")
+    later = rows.select("id", (F.col("severity") + 1).alias("severity"), (F.col("ingested_at") + F.expr("interval 1 hour")).alias("ingested_at"))
+    rows.unionByName(later).write.parquet(f"{folder}/landed")
+    table = BucketTable(spark, f"{folder}/table", rows.schema, "id", 8)
+    for run in range(2):
+        stream = jobs.landed(spark, f"{folder}/landed", rows.schema)
+        stream.writeStream.foreachBatch(jobs.merge_buckets(table)).option("checkpointLocation", f"{folder}/state{run}").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("id", r6("severity"))
+
+
+@query("select id, case when id % 3 = 0 then 'moved' else name end as name, id % 2 = 1 or id % 3 = 0 as is_synthetic from {companies}")
+def j17_bucket_upsert(companies):
+    """A table of buckets after three upserts, of which the last one repeats the second."""
+    spark = companies.sparkSession
+    rows = companies.select("id", "name", (F.col("id") % 2 == 1).alias("is_synthetic"))
+    moved = rows.where("id % 3 = 0").select("id", F.lit("moved").alias("name"), F.lit(True).alias("is_synthetic"))
+    table = BucketTable(spark, shared_folder(spark, "companies"), rows.schema, "id", 8)
+    for part in (rows, moved, moved):
+        table.upsert(part)
+    return table.read()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.buckets import BucketTable
+
 
 def once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", name: str | None = None) -> StreamingQuery:
     """Run over what has landed since the last run, then stop; scheduled again for the next files."""
@@ -47,6 +49,21 @@ def merge_new(path: str, key: str = "id"):
     return write
 
 
+def merge_buckets(table: BucketTable, order: str = "ingested_at", update: bool = False):
+    """A foreachBatch sink into a BucketTable: keys that it lacks are added, the first row of a key stays; with update the last row of a key takes its place.
+
+    Only the buckets of a batch's keys are read, and a replayed batch writes nothing.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        rest = F.struct(*[c for c in table.schema.names if c != table.key])
+        pick = F.max_by if update else F.min_by
+        one = batch.groupBy(table.key).agg(pick(rest, order).alias("_r")).select(table.key, "_r.*")
+        (table.upsert if update else table.insert)(one)
+
+    return write
+
+
 def keep_late(path: str, at: str = "observed_at", delay: str = "1 day"):
     """A foreachBatch sink that keeps every row, with `late`: whether it is older than the newest row of earlier batches less `delay`.
 
