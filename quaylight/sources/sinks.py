@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 
 def without(value: Column, kind: T.DataType, drop: tuple[str, ...]) -> Column:
     """value with the fields of structs in name order and without those named in `drop`, at any depth."""
@@ -36,17 +38,26 @@ def content_id(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_snapshot(features: DataFrame, path: str, schema: str) -> DataFrame:
-    """Append features (with as_of) under their content id; a snapshot that is there already is not written again."""
-    named = features.join(content_id(features, "as_of"), "as_of").withColumn("feature_schema", F.lit(schema)).withColumn("as_of_date", F.to_date("as_of"))
-    spark = features.sparkSession
-    try:
-        there = spark.read.parquet(path).select("snapshot_id").distinct()
-        named = named.join(there, "snapshot_id", "left_anti")
-    except Exception as e:  # the first snapshot
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    named.write.mode("append").partitionBy("as_of_date").parquet(path)
-    return spark.read.parquet(path)
+    """Append features (with as_of) under their content id; a snapshot that is there already is not written again.
+
+    Features are worked out once, into the shared folder. Each snapshot is a folder of the table, so
+    that whether it is there is a look at names: no earlier snapshot is read.
+    """
+    spark, draft = features.sparkSession, shared_folder(features.sparkSession, "snapshot")
+    features.write.parquet(draft)
+    rows = spark.read.schema(features.schema).parquet(draft)
+    ids = content_id(rows, "as_of").withColumn("as_of_date", F.to_date("as_of"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(r) -> bool:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/as_of_date={r['as_of_date']}/snapshot_id={r['snapshot_id']}")
+        return folder.getFileSystem(conf).exists(folder)
+
+    new = [r["snapshot_id"] for r in ids.collect() if not there(r)]  # one row for each as_of
+    named = rows.join(F.broadcast(ids.where(F.col("snapshot_id").isin(new))), "as_of").withColumn("feature_schema", F.lit(schema))  # as many rows
+    if new:
+        named.write.mode("append").partitionBy("as_of_date", "snapshot_id").parquet(path)
+    return spark.read.schema(named.schema).parquet(path)
 
 
 def append_scores(rows: DataFrame, path: str) -> None:
