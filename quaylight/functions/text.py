@@ -51,9 +51,8 @@ def clean_html(html: Column) -> Column:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     html = F.regexp_replace(html, r"<[^>]*>", " ")
-    # Only pages that still hold an entity go through Python.
-    html = F.when(F.contains(html, F.lit("&")), unescaped(F.when(F.contains(html, F.lit("&")), html))).otherwise(html)
-    return F.trim(F.regexp_replace(html, r"(?U)\s+", " "))
+    # Nearly every page has an entity; a condition would work out all of the above again for each mention of the page.
+    return F.trim(F.regexp_replace(unescaped(html), r"(?U)\s+", " "))
 
 
 def sentences(text: Column) -> Column:

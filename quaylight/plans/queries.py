@@ -195,7 +195,7 @@ def f1_canonical_pages(pages):
 
 
 CLEAN = "html"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]  # those of the given pages
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&amp", "&")]  # those of the given pages
 for _tag in DROPPED_TAGS:
     CLEAN = f"regexp_replace({CLEAN}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
 CLEAN = f"regexp_replace(regexp_replace({CLEAN}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
