@@ -437,6 +437,77 @@ def test_sharding(spark, docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_sharding_equals_plain_prefix_sums(spark, docs):
+    """The same order, offsets, shards and slots from one sorted list."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    order = sorted(rows, key=lambda r: (md5(r[1])[:2], md5(str(r[0]))[:2], md5(r[1]), r[0]))
+    whole, at, slots, want = sum(len(t.encode()) + 1 for _, t in rows), 0, {}, {}
+    for i, t in order:
+        size = len(t.encode()) + 1
+        shard = min(6, 7 * (2 * at + size) // (2 * whole))
+        slots[shard] = slots.get(shard, -1) + 1
+        want[i] = (size, zlib.crc32(t.encode()), at, shard, slots[shard])
+        at += size
+    got = {r.doc_id: (r["size"], r.text_crc32, r.position, r.shard, r.slot) for r in sharding.assign(docs.select("doc_id", "text"), 7).collect()}
+    assert got == want
+
+
+def test_language_equals_plain_nearest_centroid(spark):
+    """Every prediction of a fitted model against sums and cosines in plain loops; the fit's idf against plain counts."""
+    rng = random.Random(12)
+    kinds = {"aa": "kalotim", "bb": "rujweds", "cc": "aeioutns"}
+    made = lambda k, n: " ".join("".join(rng.choice(kinds[k]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(i, made(k, rng.randint(5, 60)), k) for i in range(150) for k in [rng.choice(list(kinds))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(df)
+
+    def grams(text: str) -> dict[int, int]:
+        raw, out, last = (" " + text.lower() + " ").encode(), [], None
+        for b in raw:
+            b = b if b >= 128 or 97 <= b <= 122 else 32
+            if b != 32 or last != 32:
+                out.append(b)
+            last = b
+        bins: dict[int, int] = {}
+        for x, y, z in zip(out, out[1:], out[2:], strict=False):
+            code = ((x * 65_599 + y) % 2**32 * 65_599 + z) % 2**32
+            at = code * 2_654_435_761 % 2**32 >> 20
+            bins[at] = bins.get(at, 0) + 1
+        return bins
+
+    seen = [grams(t) for _, t, _ in rows]
+    for b in {b for g in seen for b in g}:
+        assert abs(model.idf[b] - (1 + np.log((1 + len(rows)) / (1 + sum(b in g for g in seen))))) < 1e-5
+    tests = [t for _, t, _ in rows[:40]] + [made(k, 20) + " " + made(j, 20) for k in kinds for j in kinds] + ["zzz qqq xxx", "k", "\u00e9t\u00e9 123", "", None, "12 34"]
+    got = language.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model, [F.col("doc_id")]).collect()
+    assert len({r.lang_pred for r in got}) == 4 and {r.rejected for r in got} == {True, False}
+    for r in got:
+        text = tests[r.doc_id]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        bins = grams(text)
+        v = {b: np.log1p(n) * float(model.idf[b]) for b, n in bins.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        near = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centres]
+        best = max(range(len(near)), key=lambda i: near[i])
+        limit = model.limits[best] * min(1.0, sum(bins.values()) / language.FULL) ** 0.5
+        assert abs(r.score - min(1.0, max(0.0, near[best]))) < 1e-4 and near[model.langs.index(r.lang_pred)] <= near[best] + 1e-4
+        assert r.lang_pred == model.langs[best] or sorted(near)[-1] - sorted(near)[-2] < 1e-4
+        assert r.rejected == (near[best] < limit) or abs(near[best] - limit) < 1e-4
+
+
+def test_language_held_out_accuracy(spark):
+    """Accuracy on the given table's held-out rows."""
+    sf = "/root/testdata/sf0.01"
+    got = queries.QUERIES["op2_language"](spark, sf).where("held_out")
+    right = got.join(spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").select("doc_id", "lang"), "doc_id")
+    assert right.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
+
+
 def test_top_k_against_plain(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 5)).round(1)
