@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.text import canonical_url
 from ..functions.values import finite, parse_utc
+from ..operators.sensors import daily_activity
 from .sinks import fingerprint
 
 POSITION_COLUMNS = ["MMSI", "BaseDateTime", "LAT", "LON", "SOG"]
@@ -83,8 +84,11 @@ def read_positions_parquet(spark: SparkSession, path: str, day: str, box: dict[s
     return deduplicated_positions(classified), load_quality(classified)
 
 
-def bbox_subset_job(spark: SparkSession, paths: dict[str, str], box: dict[str, float], out: str) -> DataFrame:
-    """Daily files to typed positions in the box, written by day; refuses unless every day has some. Returns the manifest."""
+def bbox_subset_job(spark: SparkSession, paths: dict[str, str], box: dict[str, float], out: str, least_hours: float = 4.0) -> DataFrame:
+    """Daily files to typed positions in the box, written by day. Returns the manifest.
+
+    Refuses unless the positions of every day cover `least_hours`, as a ratio of activity asks (activity_ratio).
+    """
     days = [(day, *read_positions_parquet(spark, path, day, box)) for day, path in paths.items()]
     positions = reduce(DataFrame.unionByName, [p.withColumn("day", F.lit(day).cast("date")) for day, p, _ in days])
     positions.write.mode("overwrite").partitionBy("day").parquet(out)
@@ -93,8 +97,9 @@ def bbox_subset_job(spark: SparkSession, paths: dict[str, str], box: dict[str, f
     manifest = kept.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("positions"), print_.alias("sha256"))
     quality = reduce(DataFrame.unionByName, [q.withColumn("day", F.lit(day)) for day, _, q in days])
     manifest = quality.join(manifest.hint("merge"), "day", "left")
-    if empty := [r["day"] for r in manifest.where(F.coalesce("positions", F.lit(0)) == 0).select("day").collect()]:
-        raise ValueError(f"no usable coverage on {empty}")
+    covered = daily_activity(kept).where(F.col("hours") >= least_hours).select(F.col("day").cast("string").alias("day"))
+    if short := sorted(set(paths) - {r["day"] for r in covered.collect()}):  # a row for each day
+        raise ValueError(f"no usable coverage on {short}")
     return manifest
 
 

@@ -65,11 +65,13 @@ def test_positions_parquet_job(spark, tmp_path):
     rows = [(123456789, dt.datetime(2024, 1, d, h), 0.5, p) for d in (1, 2) for h, p in ((1, point("<")), (2, point(">")), (3, b"bad"), (4, point("<", 2)))]
     spark.createDataFrame(rows, "mmsi long, base_date_time timestamp, sog double, geometry binary").write.parquet(f"{tmp_path}/in")
     box = {"west": -119.0, "south": 33.0, "east": -118.0, "north": 34.0}
-    manifest = files.bbox_subset_job(spark, {"2024-01-01": f"{tmp_path}/in", "2024-01-02": f"{tmp_path}/in"}, box, f"{tmp_path}/out")
+    manifest = files.bbox_subset_job(spark, {"2024-01-01": f"{tmp_path}/in", "2024-01-02": f"{tmp_path}/in"}, box, f"{tmp_path}/out", least_hours=0.0)
     assert sorted((r.day, r.accepted, r.invalid, r.positions) for r in manifest.collect()) == [("2024-01-01", 2, 2, 2), ("2024-01-02", 2, 2, 2)]
     assert {(r.lat, r.lon) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(33.72, -118.265)}
     with pytest.raises(ValueError, match="no usable coverage"):
-        files.bbox_subset_job(spark, {"2024-01-09": f"{tmp_path}/in"}, box, f"{tmp_path}/out2")
+        files.bbox_subset_job(spark, {"2024-01-09": f"{tmp_path}/in"}, box, f"{tmp_path}/out2", least_hours=0.0)
+    with pytest.raises(ValueError, match="no usable coverage on .'2024-01-01', '2024-01-02'"):  # positions, but of less than four hours
+        files.bbox_subset_job(spark, {"2024-01-01": f"{tmp_path}/in", "2024-01-02": f"{tmp_path}/in"}, box, f"{tmp_path}/out3")
 
 
 def test_directory_filings_articles_catalog(spark, tmp_path):
