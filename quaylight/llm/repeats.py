@@ -162,12 +162,17 @@ def dealt_runs(docs: DataFrame) -> DataFrame:
             use, which = np.unique(np.searchsorted(often, r[known, 4]), return_index=True)
             fresh = np.flatnonzero(known)[which[~sampled[use]]]
             sampled[use] = True
-            rows = np.r_[np.arange(len(r)), fresh]
-            way = np.r_[way, np.where(hot[fresh], COUNTED_SAMPLE, SAMPLE)]
+            # Neighbouring runs that are repeated make one: a periodic text has a run for each byte.
+            doc = np.repeat(np.arange(len(k)), k)
+            after = known[1:] & known[:-1] & (doc[1:] == doc[:-1]) & (r[1:, 0] <= r[:-1, 1] + 1)
+            starts = np.flatnonzero(np.r_[np.ones(min(1, len(r)), bool), ~after])
+            ends = np.r_[starts[1:], len(r)][: len(starts)] - 1
+            rows, last = np.r_[starts, fresh], np.r_[r[ends, 1], r[fresh, 1]]
+            way = np.r_[way[starts], np.where(hot[fresh], COUNTED_SAMPLE, SAMPLE)]
             deal = np.where(hot[rows], r[rows, 4], r[rows, 3])
             deal = np.where(way == REPEATED, np.arange(len(rows)), deal)  # settled: dealt evenly
-            doc = np.repeat(np.arange(len(k)), k)[rows]
-            arrays = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *(pa.array(r[rows, c].astype(np.int32)) for c in range(3)), pa.array(deal), pa.array(r[rows, 4]), pa.array(way.astype(np.int32))]
+            doc = doc[rows]
+            arrays = [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(r[rows, 0].astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(r[rows, 2].astype(np.int32)), pa.array(deal), pa.array(r[rows, 4]), pa.array(way.astype(np.int32))]
             for lo in range(0, len(rows), 100_000):
                 yield pa.RecordBatch.from_arrays([x.slice(lo, 100_000) for x in arrays], names=[x.split()[0] for x in RUN.split(", ")])
 

@@ -423,6 +423,22 @@ def test_first_of_each_by_component(spark):
     assert sorted(((i, t) for i, t in got if t not in (a, a + " more")), key=repr) == sorted([(1, b), (1, c), (4, ""), (None, ""), (None, None)], key=repr)
 
 
+def test_repeats_of_periodic_texts(spark):
+    """Megabytes of one letter, of a short period and of blanks between two texts: few runs, one span each."""
+    rng = random.Random(14)
+    n = 4_000_000
+    ends = prose(rng, 80), prose(rng, 80)
+    texts = ["a" * n, "ab " * (n // 3), ends[0] + " " * n + ends[1], ends[0][:150], prose(rng, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    keyed = df.withColumn("h", F.xxhash64("text"))
+    counts = {r.doc_id: r.n for r in repeats.dealt_runs(keyed).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert max(counts.values()) < 200, counts
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.dedup(df).collect()}
+    assert got[0] == (n, n, 1) and got[1] == (n // 3 * 3, n // 3 * 3, 1) and got[3][1] == got[4][1] == 0
+    size, removed, spans = got[2]
+    assert size == len(texts[2]) and removed == n and spans == 1
+
+
 def test_sharding(spark, docs, none):
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "x"), (3, "twice"), (3, "twice")], "doc_id long, text string"))
     got = sharding.assign(rows, 4).collect()
