@@ -16,7 +16,7 @@ STALE_DAYS = {"viirs": 120, "sec_filing": 365}
 ABLATIONS = ["full", "no_vision", "no_news", "no_temporal"]
 TARGET = "reported_disruption_within_7d"
 FEATURE_SCHEMA = "snapshot-v1"
-#: Event rules: type, pattern, severity.
+#: Event rules: type, pattern, severity; then what makes a headline doubtful. Event types and severities must match them.
 EVENT_RULES = [
     ("strike", r"(?i)\b(strike|walkout|industrial action)\b", 0.7),
     ("natural_disaster", r"(?i)\b(earthquake|flood|hurricane|wildfire)\b", 0.8),
@@ -25,7 +25,9 @@ EVENT_RULES = [
     ("regulatory", r"(?i)\b(recall|antitrust|regulator|investigation)\b", 0.5),
 ]
 HEDGED = r"(?i)\b(no|not|avoids?|averts?|ends?|ended|resolved|may|might|could|risk of)\b"
+#: Words that state a relation, and words that make a statement of it doubtful. Fixed values.
 RELATION_CUE = r"(?i)\b(suppl\w*|sourc\w*|manufactur\w*|customer\w*|purchas\w*|sell\w*|provid\w*|buy)\b"
+RELATION_NEGATED = r"(?i)\b(no longer|not|never|may|might|could|would|if|previously|potential)\b"
 #: What a sentence says of an alias ({}), over its normalised text. Fixed values.
 SUPPLIER_FORMS = [
     r"\b(?:we|our company)\b.{0,90}\b(?:source|purchase|buy)\w*.{0,60}\bfrom\s+{}",
@@ -33,10 +35,10 @@ SUPPLIER_FORMS = [
     r"\bour suppliers?\b.{0,40}\b(?:include|is|are)\b.{0,40}{}",
 ]
 CUSTOMER_FORMS = [r"\bwe\s+(?:supply|sell|provide)\b.{0,80}\bto\s+{}"]
+#: What tells the kind of a relation, and the legal forms that end a company's name. Fixed values.
 LOGISTICS_FORM, RAW_MATERIAL = r"\b(ship|transport|logistics)", "raw material"
 LEGAL_SUFFIX = r"(?i)(?:[, ]+(?:incorporated|inc|corporation|corp|limited|ltd|plc|co)\.?)+$"
 DROPPED_TAGS = ["script", "style", "noscript", "ix:header"]
-RELATION_NEGATED = r"(?i)\b(no longer|not|never|may|might|could|would|if|previously|potential)\b"
 
 S, D, I, B, TS = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
 
