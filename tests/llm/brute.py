@@ -143,27 +143,41 @@ def viterbi(steps: list, model: list) -> tuple[float, str]:
     return min((c - model[a][b][0], w) for (a, b), (c, w) in best.items() if w)
 
 
+def retrieved(texts: list[str], items: list[tuple[int, str]], share: float) -> list[dict[int, float]]:
+    """For each text the places of all items that BM25 scores at `share` of their floor or more in a passage, with the best score; no index, blocks or bounds."""
+    from quaylight.llm.decontaminate import B, K1, PASSAGE, parts, specific, words
+
+    df = Counter(w for _, t in items for w in set(words(t)))
+    mean = sum(len(words(t)) for _, t in items) / max(1, len(items))
+    weights = []
+    for _, item in items:
+        own, run = words(item), PASSAGE // 2
+        norm = K1 * (1 - B + B * len(own) / mean)
+        weight = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in Counter(own).items()}
+        floor = share * min(sum(weight[t] for t in set(p[i : i + run])) for p in (own, *specific(*parts(item))) for i in range(max(1, len(p) - run + 1)))
+        weights.append({t: x / floor for t, x in weight.items()})
+    out = []
+    for text in texts:
+        w = words(text)
+        passages = [set(w[s : s + PASSAGE]) for s in range(0, max(1, len(w) - PASSAGE // 2), PASSAGE // 2)]
+        best = [max(sum(own.get(t, 0.0) for t in p) for p in passages) for own in weights]
+        out.append({n: x for n, x in enumerate(best) if x >= 1})
+    return out
+
+
 def decontamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], share: float, least: float) -> list[tuple]:
-    """BM25 of every passage against every item, then the overlaps; no index, blocks or bounds."""
-    from quaylight.llm.decontaminate import B, K1, PASSAGE, SHINGLE, parts, specific, words
+    """BM25 of every passage against every item, then the overlaps."""
+    from quaylight.llm.decontaminate import SHINGLE, parts, specific, words
 
     kept = [(i, t) for i, t in items if t and words(t)]
-    df = Counter(w for _, t in kept for w in set(words(t)))
-    mean = sum(len(words(t)) for _, t in kept) / max(1, len(kept))
     runs_of = lambda w, n: [w[i : i + n] for i in range(max(1, len(w) - n + 1))]
     out = []
-    for d, text in docs:
+    for (d, text), found in zip(docs, retrieved([t or "" for _, t in docs], kept, share), strict=True):
         w = words(text or "")
-        starts = range(0, max(1, len(w) - PASSAGE // 2), PASSAGE // 2)
-        for i, item in kept:
-            own = words(item)
-            norm = K1 * (1 - B + B * len(own) / mean)
-            weight = {t: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in Counter(own).items()}
-            question, answer = parts(item)
-            floor = share * min(sum(weight[t] for t in set(r)) for p in (own, *specific(question, answer)) for r in runs_of(p, PASSAGE // 2))
-            score = max((sum(weight.get(t, 0.0) for t in set(w[s : s + PASSAGE])) for s in starts), default=0.0) / floor
+        for n, score in found.items():
+            (i, item), (question, answer) = kept[n], parts(kept[n][1])
             overlap = lambda p: sum(r in runs_of(w, min(SHINGLE, len(p))) for r in runs_of(p, min(SHINGLE, len(p)))) / len(runs_of(p, min(SHINGLE, len(p)))) if p else None  # noqa: B023, E731
-            if w and score >= 1 and max(overlap(p) for p in (own, *specific(question, answer))) >= least:
+            if max(overlap(p) for p in (words(item), *specific(question, answer))) >= least:
                 out.append((d, i, round(score, 4), overlap(question), overlap(answer)))
     return sorted(out)
 

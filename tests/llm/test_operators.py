@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -362,6 +363,28 @@ def test_decontamination_in_slices(spark, monkeypatch):
     whole = sorted((r.doc_id, h.item_id) for r in decontaminate.with_hits(df, bench).collect() for h in r.hits)
     monkeypatch.setattr(decontaminate, "SLICE", 600)
     assert sorted((r.doc_id, h.item_id) for r in decontaminate.with_hits(df, bench).collect() for h in r.hits) == whole == [(i, i) for i in range(12)]
+    monkeypatch.setattr(decontaminate, "HELD", 1)  # a part of the index of one slice at a time
+    assert len(list(decontaminate.slices_of(bench))) > 1
+    parts = decontaminate.with_hits(df, bench)
+    assert sorted((r.doc_id, h.item_id) for r in parts.collect() for h in r.hits) == whole and parts.columns == ["doc_id", "text", "hits"]
+
+
+@pytest.mark.parametrize(("block", "group", "at_once"), [(4, 64, 512), (2, 8, 3), (8, 8, 1)])
+def test_retrieval_skips_no_item(monkeypatch, block, group, at_once):
+    """Everything at or above the threshold is retrieved with its score, whatever it shares with the text."""
+    for name, value in (("BLOCK", block), ("GROUP", group), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(21)
+    some = [prose(rng, 1) for _ in range(120)]
+    say = lambda n: " ".join(rng.choice(some) for _ in range(n))
+    items = [(i, f"{say(rng.randint(4, 60))}? {say(rng.randint(2, 40))}.") for i in range(37)]
+    texts = ["", say(1), say(64), say(65), say(2000), *(say(rng.randint(1, 300)) for _ in range(12)), *(t for _, t in items[:3])]
+    frequency = Counter(w for _, t in items for w in set(decontaminate.words(t)))
+    index = decontaminate.Index(items, frequency, len(items), sum(len(decontaminate.words(t)) for _, t in items) / len(items))
+    got = index.retrieve([index.numbers(decontaminate.words(t)) for t in texts])
+    want = brute.retrieved(texts, items, decontaminate.SHARE)
+    assert [sorted(g) for g in got] == [sorted(w) for w in want] and sum(map(len, want)) > 100 and not want[0]
+    assert all(g[n] == pytest.approx(w[n]) for g, w in zip(got, want, strict=True) for n in w)
 
 
 @pytest.mark.parametrize("hot", [2, 256])
