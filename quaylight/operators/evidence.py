@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import uuid5
 from ..functions.values import sic_to_industry
@@ -39,13 +40,15 @@ def upsert_company(companies: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def derived_relationships(found: DataFrame, schema: T.StructType) -> DataFrame:
+    """found as pending rows of a schema, with an id derived from the parties and the signal; what found lacks is null."""
+    named = found.withColumn("id", uuid5(F.concat_ws("|", F.lit("relationship"), "supplier_id", "customer_id", "source_signal_id"))).withColumn("status", F.lit("pending"))
+    return named.select(*[F.col(f.name).cast(f.dataType) if f.name in named.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def save_relationships(there: DataFrame, found: DataFrame) -> DataFrame:
     """Derived id, pending, insert-only: what was reviewed stays reviewed."""
-    named = found.withColumn("id", uuid5(F.concat_ws("|", F.lit("relationship"), "supplier_id", "customer_id", "source_signal_id"))).withColumn("status", F.lit("pending"))
-    for c in there.columns:
-        if c not in named.columns:
-            named = named.withColumn(c, F.lit(None).cast(there.schema[c].dataType))
-    return insert_only(there, named.select(*there.columns))
+    return insert_only(there, derived_relationships(found, there.schema))
 
 
 def review(relationships: DataFrame, decisions: DataFrame) -> DataFrame:

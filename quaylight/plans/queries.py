@@ -601,4 +601,4 @@ def m4_examples(snapshots, labels):
     return made.select("snapshot_id", F.size("labels").cast("long").alias("n"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x["label"]).alias("positives"))
 
 
-from . import coverage, learning, scale, streams  # noqa: E402, F401 - register the rest
+from . import coverage, learning, scale, store, streams  # noqa: E402, F401 - register the rest

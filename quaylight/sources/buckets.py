@@ -75,6 +75,12 @@ class BucketTable:
         buckets = [r["b"] for r in rows.select(self.bucket(F.col(self.key)).alias("b")).distinct().collect()]
         return self.read(buckets).where(F.col(self.key).isin(keys))
 
+    def meeting(self, rows: DataFrame) -> DataFrame:
+        """The table's rows whose key some of rows have; only their buckets are read."""
+        keys = rows.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        buckets = [r["b"] for r in keys.select(self.bucket(F.col(self.key)).alias("b")).distinct().collect()]  # a number a bucket at most
+        return self.read(buckets).join(keys.hint("merge"), self.key, "left_semi").select(*self.schema.names)
+
     def _write(self, rows: DataFrame, tag: str) -> dict[int, str]:
         """rows (with _bucket) as files, a folder for each bucket that has any; the folders by bucket."""
         out = rows.repartition("_bucket").sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket")
