@@ -12,7 +12,7 @@ from ..schemas import FEATURE_SCHEMA, SOURCES, TARGET
 from ..sources.sinks import write_snapshot
 from .evidence import valid_edges
 from .metrics import split_problems
-from .relational import bitemporal, guarded, known_links, recent_or_referenced
+from .relational import bitemporal, count_targets, guarded, known_links, reached, recent_or_referenced
 
 VISION, NEWS = ["satellite", "viirs"], ["news"]
 MOST_STEPS, MOST_COMPANIES = 366, 10_000
@@ -86,12 +86,12 @@ def source_features(measured: DataFrame, links: DataFrame, as_of: Column) -> Dat
     """
     known = known_links(links, as_of).select("location_id", F.col("company_id").alias("target"))
     newest = F.max(F.struct("observed_at", "id", "value")).alias("_newest")
-    sums = lambda rows, by: rows.groupBy(F.col(by).alias("target"), "source_type").agg(F.max("value").alias("_most"), newest, F.count("*").alias("n"), F.collect_set("id").alias("evidence"))
+    sums = lambda rows, by: rows.groupBy(F.col(by).alias("target"), "source_type").agg(F.max("value").alias("_most"), newest, F.count("*").alias("n"))
     own = sums(measured.where(F.col("company_id").isNotNull()), "company_id")
     located = sums(measured.where(F.col("company_id").isNull() & F.col("location_id").isNotNull()), "location_id").withColumnRenamed("target", "location_id")
     met = own.unionByName(located.join(known.hint("merge"), "location_id").drop("location_id"))
     # A signal has one company or one location, so that nothing is counted twice.
-    sums = met.groupBy(F.col("target").alias("company_id"), "source_type").agg(F.max("_most").alias("_most"), F.max("_newest").alias("_newest"), F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("evidence"))).alias("evidence"))
+    sums = met.groupBy(F.col("target").alias("company_id"), "source_type").agg(F.max("_most").alias("_most"), F.max("_newest").alias("_newest"), F.sum("n").alias("n"))
     sums = sums.withColumns({"_last": F.col("_newest.value"), "_at": F.col("_newest.observed_at")})
     seconds = (F.unix_micros(as_of) - F.unix_micros("_at")) / 1e6
     return sums.select(
@@ -102,28 +102,42 @@ def source_features(measured: DataFrame, links: DataFrame, as_of: Column) -> Dat
         F.lit(1.0).alias("present"),
         age(seconds, window_days(F.col("source_type"))).alias("age"),
         "n",
-        "evidence",
     )
 
 
 def assemble(companies: DataFrame, signals: DataFrame, relationships: DataFrame, links: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """nodes (22 features), edges and evidence as they could be known at as_of."""
+    """nodes (22 features), edges and evidence as they could be known at as_of.
+
+    evidence has a row for each signal of a company and grows with companies times signals of a
+    location; covered (company_id, source_type) and counts (company_id, evidence_count) do not.
+    """
     universe = companies.where(~F.col("is_synthetic") & (F.col("created_at") <= as_of))
-    features = source_features(visible_measurements(signals, as_of), links, as_of).join(universe.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+    ids = universe.select(F.col("id").alias("company_id"))
+    measured = visible_measurements(signals, as_of)
+    features = source_features(measured, links, as_of).join(ids, "company_id", "left_semi")
     # One row for each company: conditional maxima instead of a pivot, which would first look for the values.
     wide = features.groupBy("company_id").agg(*[F.max(F.when(F.col("source_type") == s, F.col(t))).alias(f"{s}_{t}") for s in SOURCES for t in STATS])
     absent = {f"{s}_{t}": 1.0 if t == "age" else 0.0 for s in SOURCES for t in STATS}
     nodes = universe.select("id", *industry_features(F.col("industry"))).join(wide.withColumnRenamed("company_id", "id"), "id", "left").na.fill(absent).withColumn("as_of", as_of)
-    evidence = features.select("company_id", "source_type", F.explode("evidence").alias("signal_id"))
-    return {"nodes": nodes, "edges": valid_edges(relationships, companies, signals, as_of), "evidence": evidence}
+    named = measured.where(F.col("id").isNotNull())
+    owned = named.select("company_id", F.when(F.col("company_id").isNull(), F.col("location_id")).alias("location_id"), "source_type", F.col("id").alias("signal_id"))
+    known = known_links(links, as_of)
+    return {
+        "nodes": nodes,
+        "edges": valid_edges(relationships, companies, signals, as_of),
+        "evidence": reached(owned.distinct(), known).select("company_id", "source_type", "signal_id").join(ids, "company_id", "left_semi"),
+        "covered": reached(owned.drop("signal_id").distinct(), known).select("company_id", "source_type").distinct().join(ids, "company_id", "left_semi"),
+        "counts": count_targets(named, links, as_of).select("company_id", F.col("signals").alias("evidence_count")).join(ids, "company_id", "left_semi"),
+    }
 
 
 def evidence_count(evidence: DataFrame) -> DataFrame:
-    """Distinct signals of each company; companies without any are not scored."""
+    """Distinct signals of each company; companies without any are not scored. `counts` of `assemble` gives the same without the pairs."""
     return evidence.groupBy("company_id").agg(F.count_distinct("signal_id").alias("evidence_count")).where("evidence_count > 0")
 
 
 def feature_coverage(evidence: DataFrame) -> DataFrame:
+    """Companies of each source, from evidence or covered of `assemble`."""
     return evidence.groupBy("source_type").agg(F.count_distinct("company_id").alias("companies"))
 
 
