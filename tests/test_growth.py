@@ -48,3 +48,11 @@ def test_evidence_is_counted_without_pairs(spark):
     signals, links = place(spark, 300, 300)
     rows, most = rows_of(fe.assemble(companies, signals, none, links, F.lit(NOW))["counts"])
     assert len(rows) == 299 and most < 5_000
+
+
+def test_coverage_is_counted_without_pairs(spark):
+    """a19: as from the pairs."""
+    signals, links = place(spark, 300, 300)
+    companies, none = universe(spark, 300)
+    rows, most = rows_of(fe.feature_coverage(fe.assemble(companies, signals, none, links, F.lit(NOW))["covered"]))
+    assert [tuple(r) for r in rows] == [("news", 299)] and most < 5_000
