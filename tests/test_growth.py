@@ -39,6 +39,15 @@ def universe(spark, n):
     return named, spark.createDataFrame([], none)
 
 
+def test_signals_of_a_location_are_counted_without_pairs(spark):
+    """j5: the counts of `targets`, whatever ids repeat."""
+    signals, links = place(spark, 20, 30)
+    want = {r.company_id: r["count"] for r in rel.targets(signals, links, F.lit(NOW)).groupBy("company_id").count().collect()}
+    assert {r.company_id: r.signals for r in rel.count_targets(signals, links, F.lit(NOW)).collect()} == want and want[3] == 31 and want[5] == 31
+    rows, most = rows_of(rel.count_targets(*place(spark, 300, 300), F.lit(NOW)))
+    assert len(rows) == 300 and most < 5_000
+
+
 def test_evidence_is_counted_without_pairs(spark):
     """a18: as from the pairs."""
     signals, links = place(spark, 20, 30)
