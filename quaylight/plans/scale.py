@@ -23,7 +23,7 @@ def j7_mixed_boxes(positions, locations):
     side = F.pow(F.lit(2.0), F.col("id") % 17 - 12)
     north = 1 - 3 * (F.col("id") % 11 == 5).cast("int")
     boxes = locations.select(F.col("id").alias("box_id"), (33.74 - side * (1 + F.col("id") % 3)).alias("south"), (33.74 + side * north).alias("north"), (-118.26 - side).alias("west"), (-118.26 + side * (1 + F.col("id") % 2)).alias("east"))
-    return re_.in_boxes(positions, boxes).groupBy("box_id").agg(F.count("*").alias("n"), F.sum("mmsi").alias("vessels"))
+    return re_.sums_in_boxes(positions, boxes, {"vessels": "mmsi"})
 
 
 RANKED = "s as (select l_linenumber % 3 as split, l_extendedprice as p, sum((l_returnflag = 'R')::int) as pos, count(*) as n from lineitem group by 1, 2), c as (select *, sum(pos) over w as tp, sum(n) over w as seen from s window w as (partition by split order by p desc))"

@@ -102,3 +102,20 @@ def test_texts_are_read_once_for_megabytes_of_phrases(spark):
     got = ph.find_phrases(texts, "text", known).collect()
     assert sorted((r.id, r.owner, r.phrase) for r in got) == [(i, str(4000 * i), f"customer of the north {4000 * i:09}") for i in range(38)]
     assert set(folder.glob("phrases-*")) == before
+
+
+def test_boxes_are_summed_without_pairs(spark):
+    """j7: as `in_boxes`, with equal points and boxes, edges on points, boxes of no size, upside down and empty; no row for each pair."""
+    rng = random.Random(6)
+    spot = lambda: (rng.randint(-5, 5) / 4, rng.randint(-5, 5) / 4)
+    points = spark.createDataFrame([(i, *spot()) for i in range(150)] + [(999, None, 0.0), (1000, 0.0, float("nan"))], "v long, lat double, lon double")
+    rows = [(i, *spot(), *spot()) for i in range(60)] + [(i + 60, -1.0, -1.0, 1.0, 1.0) for i in range(3)] + [(70, 0.25, 0.5, 0.25, 0.5), (71, 50.0, 50.0, 60.0, 60.0), (72, -180.0, -90.0, 180.0, 90.0)]
+    boxes = spark.createDataFrame(rows, "box_id long, west double, south double, east double, north double")
+    want = rel.in_boxes(points, boxes).groupBy("box_id").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    got = sorted(map(tuple, rel.sums_in_boxes(points, boxes, {"v": "v"}).collect()))
+    assert got == sorted(map(tuple, want.collect())) and (72, 150, sum(range(150))) in got
+    assert rel.sums_in_boxes(points.limit(0), boxes, {"v": "v"}).count() == 0 and rel.sums_in_boxes(points, boxes.limit(0), {"v": "v"}).count() == 0
+    many = spark.range(400).select(F.lit(1).cast("long").alias("v"), (F.col("id") / 1000).alias("lat"), (F.col("id") / 1000).alias("lon"))
+    wide = spark.range(400).select(F.col("id").alias("box_id"), (-F.col("id") / 100).alias("west"), F.lit(-1.0).alias("south"), F.lit(1.0).alias("east"), F.lit(2.0).alias("north"))
+    rows, most = rows_of(rel.sums_in_boxes(many, wide, {"v": "v"}))
+    assert {tuple(r) for r in rows} == {(i, 400, 400) for i in range(400)} and most < 20_000
