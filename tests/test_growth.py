@@ -8,6 +8,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quaylight.operators import extraction as ex
 from quaylight.operators import features as fe
 from quaylight.operators import phrases as ph
 from quaylight.operators import relational as rel
@@ -119,3 +120,35 @@ def test_boxes_are_summed_without_pairs(spark):
     wide = spark.range(400).select(F.col("id").alias("box_id"), (-F.col("id") / 100).alias("west"), F.lit(-1.0).alias("south"), F.lit(1.0).alias("east"), F.lit(2.0).alias("north"))
     rows, most = rows_of(rel.sums_in_boxes(many, wide, {"v": "v"}))
     assert {tuple(r) for r in rows} == {(i, 400, 400) for i in range(400)} and most < 20_000
+
+
+def test_runner_ups_are_found_without_all_pairs(spark):
+    """j12: as by comparing every mention with every alias; random names meet only those near them."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+
+    def typed(s: str, n: int) -> str:
+        for _ in range(n):
+            i = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:i] + rng.choice("abcxyz") + s[i:], s[:i] + s[i + 1 :], s[:i] + "q" + s[i + 1 :]])
+        return s
+
+    base = [word(rng.randint(6, 45)) for _ in range(60)]
+    names = sorted({*base, *(typed(b, rng.randint(1, 5)) for b in base[:40])})
+    said = sorted({typed(b, rng.randint(0, 4)) for b in base * 3})
+    directory = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)] + [("again", names[0])], "cik string, name string")
+    pairs = spark.createDataFrame([(m, n) for m in said for n in names], "m string, n string")
+    ratios: dict = {}
+    for m, n, r in pairs.select("m", "n", ex.indel_ratio("m", "n")).collect():
+        ratios.setdefault(m, []).append((r, n))
+    want = set()
+    for m, near in ratios.items():
+        (r, n), (second, _) = sorted(near, reverse=True)[:2]
+        if len(m) >= 6 and r >= 92 and r - second >= 8 and n != names[0]:
+            want.add((m, str(names.index(n))))
+    got = {(r.mention, r.cik) for r in ex.resolve_fuzzy(spark.createDataFrame([(m,) for m in said], "mention string"), directory).collect()}
+    assert got == want and 20 < len(want) < len(said)
+    hashes = spark.range(1500).select(F.sha1(F.col("id").cast("string")).alias("name"), F.col("id").cast("string").alias("cik"))
+    mentions = hashes.select(F.concat(F.col("name").substr(1, 20), F.lit("x"), F.col("name").substr(21, 20)).alias("mention"))
+    rows, most = rows_of(ex.resolve_fuzzy(mentions, hashes))
+    assert len(rows) == 1500 and most < 600_000
