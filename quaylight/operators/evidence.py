@@ -8,13 +8,16 @@ from pyspark.sql import types as T
 
 from ..functions.text import uuid5
 from ..functions.values import sic_to_industry
+from ..session import parts
 from .relational import newest, oldest, real_relationships
 
 
 def insert_only(there: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """there, plus new rows whose key is not there; of several new rows with a key the earliest ingested."""
+    n = parts(there, new)
+    new = new.repartition(n, key)
     first = oldest(new, [key], ["ingested_at"]) if "ingested_at" in new.columns else new.dropDuplicates([key])
-    return there.unionByName(first.join(there.select(key), key, "left_anti").select(*there.columns))
+    return there.unionByName(first.join(there.select(key).repartition(n, key), key, "left_anti").select(*there.columns))
 
 
 def upsert(there: DataFrame, new: DataFrame, key: str = "id", keep: list[str] | None = None) -> DataFrame:

@@ -30,6 +30,13 @@ def test_partitions_follow_the_files(spark, many):
     assert n == session.parts(many) and n > 8 and session.parts(spark.range(3)) == 4
 
 
+def test_found_relationships_are_dealt(spark, many):
+    """k3: what is inserted is met by the key in tasks of a bounded share."""
+    there = many.where("id % 2 = 0")
+    got = ev.insert_only(there, many)
+    assert got.count() == 3000 and tasks(got.where("id % 2 = 1")) > 8
+
+
 def test_joined_lines_are_dealt(spark, monkeypatch):
     """q4 and all others on relationships: the join of lines and orders."""
     monkeypatch.setattr(session, "SHARE", 1 << 13, raising=False)
