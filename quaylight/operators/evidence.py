@@ -56,9 +56,10 @@ def save_relationships(there: DataFrame, found: DataFrame) -> DataFrame:
 
 def review(relationships: DataFrame, decisions: DataFrame) -> DataFrame:
     """The last decision (id, status, decided_at) of each relationship takes effect."""
-    last = newest(decisions.where(F.col("status").isin("approved", "rejected")), ["id"], ["decided_at", "status"])
+    n = parts(relationships, decisions)
+    last = newest(decisions.where(F.col("status").isin("approved", "rejected")).repartition(n, "id"), ["id"], ["decided_at", "status"])
     last = last.select("id", F.col("status").alias("_s"), F.col("decided_at").alias("_at"))
-    met = relationships.join(last, "id", "left")
+    met = relationships.repartition(n, "id").join(last, "id", "left")
     return met.withColumns({"status": F.coalesce("_s", "status"), "reviewed_at": F.coalesce("_at", "reviewed_at")}).select(*relationships.columns)
 
 

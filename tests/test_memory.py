@@ -37,6 +37,13 @@ def test_found_relationships_are_dealt(spark, many):
     assert got.count() == 3000 and tasks(got.where("id % 2 = 1")) > 8
 
 
+def test_reviews_are_dealt(spark, many):
+    """k4: the last decision counts; those on what is not there have none."""
+    decided = many.selectExpr("id + 1500 as id", "if(id % 2 = 0, 'rejected', 'pending') as status", "timestamp '2024-01-01' as decided_at")
+    got = ev.review(many, decided)
+    assert tasks(got) > 8 and got.where("status = 'rejected'").count() == 750 and got.count() == 3000
+
+
 def test_joined_lines_are_dealt(spark, monkeypatch):
     """q4 and all others on relationships: the join of lines and orders."""
     monkeypatch.setattr(session, "SHARE", 1 << 13, raising=False)
