@@ -87,7 +87,7 @@ def graph_counts(companies: DataFrame, signals: DataFrame, relationships: DataFr
 
 
 def purge(tables: dict[str, DataFrame], basis: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables without synthetic companies, their dependents and scores of another basis; a preview of the counts)."""
+    """(tables without synthetic companies, their dependents and scores of another basis; a preview of the counts, which reads each table once)."""
     gone = tables["companies"].where("is_synthetic").select("id")
     keys = {"signals": ["company_id"], "relationships": ["supplier_id", "customer_id"], "company_locations": ["company_id"], "risk_scores": ["company_id"]}
     left = {"companies": tables["companies"].where(~F.col("is_synthetic"))}
@@ -97,7 +97,7 @@ def purge(tables: dict[str, DataFrame], basis: str) -> tuple[dict[str, DataFrame
             for c in columns:
                 df = df.join(gone.select(F.col("id").alias(c)), c, "left_anti")
             left[name] = (df.where(F.col("input_basis") == basis) if name == "risk_scores" else df).select(*tables[name].columns)
-    counts = None
+    counts, once = None, gone.distinct()
     for name in left:
         row = tables[name].agg(F.count("*").alias("before")).crossJoin(left[name].agg(F.count("*").alias("after")))  # one row each
         row = row.select(F.lit(name).alias("table"), (F.col("before") - F.col("after")).alias("removed"))

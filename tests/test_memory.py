@@ -48,3 +48,16 @@ def test_joined_lines_are_dealt(spark, monkeypatch):
     """q4 and all others on relationships: the join of lines and orders."""
     monkeypatch.setattr(session, "SHARE", 1 << 13, raising=False)
     assert tasks(bound(spark, "/root/testdata/sf0.001", "relationships").select("id", "status")) > 8
+
+
+def test_purged_rows_are_counted_in_one_pass(spark):
+    """k5: equal to counting what is left, with null and repeated keys and a null basis."""
+    companies = spark.createDataFrame([(1, True), (1, True), (2, False), (3, True), (None, True), (4, None)], "id long, is_synthetic boolean")
+    signals = spark.createDataFrame([(1, 1), (2, None), (3, 2), (4, 3), (5, 9)], "id long, company_id long")
+    relationships = spark.createDataFrame([(1, 1, 3), (2, 2, 1), (3, None, 2), (4, 2, 2), (5, 3, None)], "id long, supplier_id long, customer_id long")
+    scores = spark.createDataFrame([(1, 2, "observed"), (2, 1, "observed"), (3, 2, "simulated"), (4, 2, None), (5, None, "observed")], "id long, company_id long, input_basis string")
+    tables = {"companies": companies, "signals": signals, "relationships": relationships, "risk_scores": scores}
+    left, counts = ev.purge(tables, "observed")
+    assert {r.table: r.removed for r in counts.collect()} == {n: tables[n].count() - left[n].count() for n in tables}
+    assert counts.where("removed > 0").count() == 4
+    assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().toString()
