@@ -83,7 +83,8 @@ def projection(companies: DataFrame, signals: DataFrame, relationships: DataFram
 
 def graph_counts(companies: DataFrame, signals: DataFrame, relationships: DataFrame) -> DataFrame:
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(companies, "companies").crossJoin(one(signals, "signals")).crossJoin(one(relationships.where("status = 'approved'").select("supplier_id", "customer_id").distinct(), "edges"))  # one row each
+    pairs = relationships.where("status = 'approved'").select("supplier_id", "customer_id").repartition(parts(relationships), "supplier_id", "customer_id").distinct()
+    return one(companies, "companies").crossJoin(one(signals, "signals")).crossJoin(one(pairs, "edges"))  # one row each
 
 
 def purge(tables: dict[str, DataFrame], basis: str) -> tuple[dict[str, DataFrame], DataFrame]:

@@ -50,6 +50,14 @@ def test_joined_lines_are_dealt(spark, monkeypatch):
     assert tasks(bound(spark, "/root/testdata/sf0.001", "relationships").select("id", "status")) > 8
 
 
+def test_pairs_are_counted_in_shares(spark, many):
+    """a27: partial counts come from many tasks, which their shuffle's rows show."""
+    one = spark.range(3).select("id")
+    got = ev.graph_counts(one, one, many)
+    assert tuple(got.first()) == (3, 3, 280)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+
+
 def test_purged_rows_are_counted_in_one_pass(spark):
     """k5: equal to counting what is left, with null and repeated keys and a null basis."""
     companies = spark.createDataFrame([(1, True), (1, True), (2, False), (3, True), (None, True), (4, None)], "id long, is_synthetic boolean")
