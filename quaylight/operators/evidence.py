@@ -100,8 +100,16 @@ def purge(tables: dict[str, DataFrame], basis: str) -> tuple[dict[str, DataFrame
             left[name] = (df.where(F.col("input_basis") == basis) if name == "risk_scores" else df).select(*tables[name].columns)
     counts, once = None, gone.distinct()
     for name in left:
-        row = tables[name].agg(F.count("*").alias("before")).crossJoin(left[name].agg(F.count("*").alias("after")))  # one row each
-        row = row.select(F.lit(name).alias("table"), (F.col("before") - F.col("after")).alias("removed"))
+        columns, stays = keys.get(name, []), F.lit(True)
+        if name == "companies":
+            stays = ~F.col("is_synthetic")
+        elif name == "risk_scores":
+            stays = F.col("input_basis") == basis
+        met, n = tables[name], parts(tables[name])
+        for i, c in enumerate(columns):
+            met = met.repartition(n, c).join(once.select(F.col("id").alias(c), F.lit(True).alias(f"_gone{i}")).hint("merge"), c, "left")
+            stays = stays & F.col(f"_gone{i}").isNull()
+        row = met.agg((F.count("*") - F.count_if(stays)).alias("removed")).select(F.lit(name).alias("table"), "removed")
         counts = row if counts is None else counts.unionByName(row)
     return left, counts
 
