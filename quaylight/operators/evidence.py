@@ -43,9 +43,14 @@ def upsert_company(companies: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def relationship_id() -> Column:
+    """An id derived from the parties and the signal."""
+    return uuid5(F.concat_ws("|", F.lit("relationship"), "supplier_id", "customer_id", "source_signal_id"))
+
+
 def derived_relationships(found: DataFrame, schema: T.StructType) -> DataFrame:
-    """found as pending rows of a schema, with an id derived from the parties and the signal; what found lacks is null."""
-    named = found.withColumn("id", uuid5(F.concat_ws("|", F.lit("relationship"), "supplier_id", "customer_id", "source_signal_id"))).withColumn("status", F.lit("pending"))
+    """found as pending rows of a schema, with their derived id; what found lacks is null."""
+    named = found.withColumn("id", relationship_id()).withColumn("status", F.lit("pending"))
     return named.select(*[F.col(f.name).cast(f.dataType) if f.name in named.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 

@@ -8,7 +8,7 @@ from ..schemas import TS, S, schema
 from ..session import shared_folder
 from ..sources.evidence_tables import EvidenceTables
 from .bindings import DAY, NOW
-from .coverage import PAIR, uuid_sql
+from .coverage import PAIR, landed, uuid_sql
 from .queries import query
 
 
@@ -58,6 +58,7 @@ def k4_reviewed_tables(relationships):
     """Found relationships saved and reviewed in two rounds; what is found again stays as it was reviewed."""
     found = relationships.select("supplier_id", "customer_id", "source_signal_id")
     kinds = found.schema
+    found = found.sparkSession.read.schema(kinds).parquet(landed(found, "found"))  # each merge reads them twice
     store = opened(found, "reviews", relationships=schema(id=S, **{f.name: f.dataType for f in kinds}, status=S, reviewed_at=TS))
     for part, rule, status, us in (("supplier_id % 2 = 0", "supplier_id % 4 = 0", "approved", FIRST), ("true", "supplier_id % 3 = 0", "rejected", SECOND)):
         store.save_relationships(found.where(part))

@@ -3,7 +3,10 @@
 A merge reads and writes only the buckets that its rows fall in, and only where something is new:
 an insert adds files to them, an upsert writes them anew. What it wrote counts from the moment that
 the next manifest has its name; a job that dies before leaves files that no manifest names, and the
-table is what it was. A replay of what the table has writes nothing. Files carry Bloom filters of
+table is what it was. A replay of what the table has adds nothing to it.
+
+Rows are shuffled once, by key: a bucket has as many partitions as the size of the input asks for, so
+that rows meet, are grouped and are written in tasks of a bounded share. Files carry Bloom filters of
 the key, so that a look-up of few keys skips files as well as buckets. One writer at a time: a
 second one that finished first makes the merge fail, and it can be run again.
 """
@@ -11,12 +14,15 @@ second one that finished first makes the merge fail, and it can be run again.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import parts
+
 #: A bucket of more file folders than this is written as one with the next insert.
 FOLDERS = 8
 
@@ -46,7 +52,10 @@ class BucketTable:
         if not version:
             return {}
         text = self.spark.read.text(f"{self.path}/manifests/{version}.json", wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(text).items()}
+        found = {int(k): v for k, v in json.loads(text).items()}
+        if any("/_part=" not in f for fs in found.values() for f in fs):
+            raise RuntimeError(f"{self.path} has buckets of another hash; write its rows into a new table")
+        return found
 
     def _switch(self, version: int, manifest: dict[int, list[str]]) -> None:
         fs, at = self._fs(f"{self.path}/manifests/{version + 1}.json")
@@ -61,7 +70,7 @@ class BucketTable:
     # --- rows ------------------------------------------------------------------------------------------
 
     def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash(key), F.lit(self.buckets)).cast("int")  # as partitions of a shuffle by key
 
     def read(self, buckets: list[int] | None = None, version: int | None = None) -> DataFrame:
         """The rows of all or some buckets, now or at an earlier version."""
@@ -81,57 +90,98 @@ class BucketTable:
         buckets = [r["b"] for r in keys.select(self.bucket(F.col(self.key)).alias("b")).distinct().collect()]  # a number a bucket at most
         return self.read(buckets).join(keys.hint("merge"), self.key, "left_semi").select(*self.schema.names)
 
-    def _write(self, rows: DataFrame, tag: str) -> dict[int, str]:
-        """rows (with _bucket) as files, a folder for each bucket that has any; the folders by bucket."""
-        out = rows.repartition("_bucket").sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket")
-        out.option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(f"{self.path}/data/{tag}")
-        return {int(n.removeprefix("_bucket=")): f"{tag}/{n}" for n in self._names(f"{self.path}/data/{tag}") if n.startswith("_bucket=")}
+    def _slots(self, *frames: DataFrame) -> int:
+        """A multiple of the buckets: one for each, more where the files of frames are many."""
+        return self.buckets * -(-parts(*frames, least=self.buckets) // self.buckets)
+
+    def _dealt(self, rows: DataFrame, n: int, key: Column | None = None) -> DataFrame:
+        """rows in n partitions by `key`, which is what their key is or will be. As n is a multiple of the buckets, a partition is part of one bucket."""
+        return rows.repartition(n, F.col(self.key) if key is None else key)
+
+    def _folders(self, tag: str) -> dict[int, str]:
+        return {int(n.removeprefix("_part=")): f"{tag}/{n}" for n in self._names(f"{self.path}/data/{tag}") if n.startswith("_part=")}
+
+    def _write(self, dealt: DataFrame, tag: str, by: tuple[str, ...] = ("_part",)) -> dict[int, str]:
+        """Dealt rows as files, a folder for each bucket that has any; the folders by bucket."""
+        out = dealt.withColumn("_part", self.bucket(F.col(self.key))).select(*self.schema.names, *by).sortWithinPartitions(*by, self.key).write.partitionBy(*by)
+        # A filter is a megabyte unless it may adapt to its rows.
+        out.option(f"parquet.bloom.filter.enabled#{self.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("compression", "zstd").parquet(f"{self.path}/data/{tag}")
+        return self._folders(tag)
 
     def _drop(self, tag: str) -> None:
         fs, p = self._fs(f"{self.path}/data/{tag}")
         fs.delete(p, True)
 
-    def _touched(self, rows: DataFrame) -> tuple[DataFrame, list[int]]:
-        keyed = rows.select(*self.schema.names).where(F.col(self.key).isNotNull()).withColumn("_bucket", self.bucket(F.col(self.key)))
-        return keyed, [r["_bucket"] for r in keyed.select("_bucket").distinct().collect()]  # a number a bucket at most
+    def _touched(self, rows: DataFrame, key: Column | None = None) -> list[int]:
+        key = F.col(self.key) if key is None else key
+        return [r["b"] for r in rows.where(key.isNotNull()).select(self.bucket(key).alias("b")).distinct().collect()]  # a number a bucket at most
 
-    def insert(self, rows: DataFrame) -> int:
-        """Add rows (a key once) whose key the table does not have; the number of buckets that were written."""
+    def insert(self, rows: DataFrame, key: Column | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Add rows (a key once) whose key the table does not have; the number of buckets that were written.
+
+        With `made`, rows may be anything of which the expression `key` will be the key: they are
+        dealt to tasks by it, and made(dealt) gives the rows. Grouped by the key they are not shuffled again.
+        """
         version, tag = self.version(), uuid4().hex
         manifest = self.manifest(version)
-        keyed, touched = self._touched(rows)
-        new = keyed.join(self.read(touched, version).select(self.key).hint("merge"), self.key, "left_anti")
-        written = self._write(new.select(*self.schema.names, "_bucket"), tag)
+        old = self.read(self._touched(rows, key), version).select(self.key)
+        n = self._slots(rows, old)
+        dealt = self._dealt(rows, n, key)
+        new = (made(dealt) if made else dealt).where(F.col(self.key).isNotNull())
+        written = self._write(new.join(self._dealt(old, n).hint("merge"), self.key, "left_anti"), tag)
         if not written:
             self._drop(tag)
             return 0
         full = [b for b in written if len(manifest.get(b, [])) >= FOLDERS]
         merged = {b: [*manifest.get(b, []), f] for b, f in written.items()}
         if full:  # as one, so that reads do not open ever more files
-            parts = [f"{self.path}/data/{f}" for b in full for f in merged[b]]
-            whole = self.spark.read.schema(self.schema).parquet(*parts).withColumn("_bucket", self.bucket(F.col(self.key)))
-            merged |= {b: [f] for b, f in self._write(whole, f"{tag}-whole").items()}
+            whole = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f}" for b in full for f in merged[b]])
+            merged |= {b: [f] for b, f in self._write(self._dealt(whole, self._slots(whole)), f"{tag}-whole").items()}
         self._switch(version, manifest | merged)
         return len(written)
 
     def upsert(self, rows: DataFrame) -> int:
         """Set the rows of these keys (a key once); buckets in which nothing differs stay as they are. The number of buckets that were written."""
+        return self._merge(rows.select(*self.schema.names), None)
+
+    def update(self, changes: DataFrame, made: Callable[[DataFrame], DataFrame]) -> int:
+        """Set some columns of the rows that are there; the number of buckets that were written.
+
+        changes has the key and is dealt to tasks by it; made(dealt) gives each key once with the
+        columns to set, as in `insert`. A null sets nothing, and keys that are not there are left out.
+        """
+        return self._merge(changes, made)
+
+    def _merge(self, rows: DataFrame, made: Callable[[DataFrame], DataFrame] | None) -> int:
+        """Buckets of rows' keys are written beside the table in one pass; those in which a row differs are moved into it."""
         version, tag = self.version(), uuid4().hex
         manifest = self.manifest(version)
-        keyed, touched = self._touched(rows)
-        old = self.read(touched, version)
-        was = old.select(F.col(self.key), F.struct(*self.schema.names).alias("_was"))
-        changed = keyed.join(was.hint("merge"), self.key, "left").where(~F.struct(*self.schema.names).eqNullSafe(F.col("_was"))).select(*self.schema.names, "_bucket")
-        staged = self._write(changed, f"{tag}-staged")
-        if not staged:
+        old = self.read(self._touched(rows), version)
+        n = self._slots(rows, old)
+        dealt = self._dealt(rows.where(F.col(self.key).isNotNull()), n)
+        new = made(dealt) if made else dealt
+        rest = [c for c in self.schema.names if c != self.key]
+        names = [c for c in rest if c in new.columns]
+        packed = lambda df, columns, name: df.select(self.key, F.struct(F.lit(True).alias("_there"), *columns).alias(name))
+        met = packed(self._dealt(old, n), rest, "_was").join(packed(new, names, "_is").hint("merge"), self.key, "left" if made else "full")
+        value = lambda c: (F.coalesce(F.col(f"_is.{c}"), F.col(f"_was.{c}")) if made else F.when(F.col("_is").isNull(), F.col(f"_was.{c}")).otherwise(F.col(f"_is.{c}"))) if c in names else F.col(f"_was.{c}")
+        whole = met.select("_was", *[F.col(c) if c == self.key else value(c).alias(c) for c in self.schema.names])
+        differs = ~F.struct(F.lit(True), *rest).eqNullSafe(F.col("_was"))
+        self._write(whole.withColumn("_changed", differs.cast("int")), f"{tag}-staged", ("_part", "_changed"))
+        fs, _ = self._fs(self.path)
+        at = lambda f: self._fs(f"{self.path}/data/{f}")[1]
+        changed = {b: f for b, f in self._folders(f"{tag}-staged").items() if "_changed=1" in self._names(f"{self.path}/data/{f}")}
+        if not changed:
             self._drop(f"{tag}-staged")
             return 0
-        fresh = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{f}" for f in staged.values()])
-        kept = self.read(list(staged), version).join(fresh.select(self.key).hint("merge"), self.key, "left_anti").select(*self.schema.names)
-        whole = kept.unionByName(fresh).withColumn("_bucket", self.bucket(F.col(self.key)))
-        self._switch(version, manifest | {b: [f] for b, f in self._write(whole, tag).items()})
+        fs.mkdirs(at(tag))
+        moved = {b: f"{tag}/_part={b}" for b in changed}
+        for b, f in changed.items():
+            if not fs.rename(at(f), at(moved[b])):
+                raise RuntimeError(f"{f} could not be moved")
+        self._switch(version, manifest | {b: [f"{f}/{part}" for part in self._names(f"{self.path}/data/{f}") if part.startswith("_changed=")] for b, f in moved.items()})
         self._drop(f"{tag}-staged")
-        return len(staged)
+        return len(changed)
 
     def clean(self, keep: int = 1) -> list[str]:
         """Remove folders that none of the last `keep` manifests names; their names. Readers of older versions must be gone."""

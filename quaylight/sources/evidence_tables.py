@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import uuid5
 from ..functions.values import sic_to_industry
-from ..operators.evidence import derived_relationships, review
-from ..operators.relational import oldest
+from ..operators.evidence import derived_relationships, relationship_id
+from ..operators.relational import newest, oldest
 from ..schemas import schema
 from .buckets import BucketTable
 
@@ -72,9 +72,11 @@ class EvidenceTables:
     def save_relationships(self, found: DataFrame) -> int:
         """Derived id, pending, insert-only: what was reviewed stays reviewed."""
         table = self.tables["relationships"]
-        return table.insert(once(derived_relationships(found, table.schema), "id"))
+        # The id is made where the rows are dealt to, so that only the columns of found are shuffled.
+        return table.insert(found, relationship_id(), lambda dealt: once(derived_relationships(dealt, table.schema), "id"))
 
     def review(self, decisions: DataFrame) -> int:
         """The last decision of each relationship takes effect; decisions on what is not there have none."""
-        table = self.tables["relationships"]
-        return table.upsert(review(table.meeting(decisions.where(F.col("status").isin("approved", "rejected"))), decisions))
+        valid = decisions.where(F.col("status").isin("approved", "rejected")).select("id", "status", "decided_at")
+        last = lambda dealt: newest(dealt, ["id"], ["decided_at", "status"]).withColumnRenamed("decided_at", "reviewed_at")
+        return self.tables["relationships"].update(valid, last)

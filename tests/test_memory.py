@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaylight import session
 from quaylight.operators import evidence as ev
 from quaylight.plans.bindings import bound
+from quaylight.sources.buckets import BucketTable
 
 RELATIONSHIPS = "id long, supplier_id long, customer_id long, source_signal_id long, status string, reviewed_at timestamp"
 
@@ -69,3 +70,22 @@ def test_purged_rows_are_counted_in_one_pass(spark):
     assert {r.table: r.removed for r in counts.collect()} == {n: tables[n].count() - left[n].count() for n in tables}
     assert counts.where("removed > 0").count() == 4
     assert "REPARTITION_BY_NUM" in counts._jdf.queryExecution().toString()
+
+
+def test_merges_write_a_bucket_by_many_tasks(spark, many, tmp_path):
+    """k4_reviewed_tables: rows are shuffled once, to partitions that are part of one bucket each, and filters are small."""
+    table = BucketTable(spark, f"{tmp_path}/t", many.schema, "id", 2)
+    assert table.insert(many) == 2 and table.upsert(many.where("id < 1500").withColumn("status", F.lit("rejected"))) == 2
+    files = [f for fs in table.manifest().values() for part in fs for f in (tmp_path / "t/data" / part).glob("*.parquet")]
+    assert len(files) > 8 and max(f.stat().st_size for f in files) < 1 << 18
+    assert table.read().count() == 3000 and table.read().where("status = 'rejected'").count() == 1500
+    assert table.update(many.selectExpr("id + 2990 as id", "'new' as status"), lambda dealt: dealt) == 2 and table.read().count() == 3000
+    assert table.read().where("status = 'new' and source_signal_id is not null").count() == 10
+    assert table.update(many.selectExpr("id + 2990 as id", "'new' as status"), lambda dealt: dealt) == 0
+
+
+def test_a_table_of_another_hash_is_refused(spark, many, tmp_path):
+    table = BucketTable(spark, f"{tmp_path}/t", many.schema, "id", 2)
+    table._switch(0, {0: ["tag/_bucket=0"]})
+    with pytest.raises(RuntimeError, match="another hash"):
+        table.insert(many)
