@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from .features import ablate, last_of_day
 from .history import fit_checkpoint, history, predictions, with_neighbours
 from .metrics import brier, confusion, constant_brier, ranking
@@ -52,7 +53,9 @@ def fit_and_select(rows: DataFrame, features: list[str], architectures=("logisti
         if ablation == "full" and least < best[0]:
             best = (least, model)
         every = scored if every is None else every.unionByName(scored)
-    by = [*key, "split"]
+    by, path = [*key, "split"], shared_folder(rows.sparkSession, "scored")
+    every.write.parquet(path)  # so that no metric scores the rows again
+    every = rows.sparkSession.read.schema(every.schema).parquet(path)
     found = confusion(every, by)
     for metric in (ranking, brier):
         found = found.join(metric(every, by), by, "left")

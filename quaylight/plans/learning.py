@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import features as fe
 from ..operators import history as hi
 from ..operators import models as mo
-from ..session import shared_folder
+from ..session import parts, shared_folder
 from .bindings import DAY, NOW
 from .coverage import RUNS, experiment_runs
 from .queries import SEQ, SPLIT, now, query, r6
@@ -93,11 +93,13 @@ def m7_fit_and_select(companies, signals, relationships, links):
     late = F.unix_micros(F.col("observed_at").cast("timestamp")).between(NOW, NOW + 7 * DAY)
     warned = signals.where(late & (F.col("source_type") == "viirs")).select(F.col("company_id").alias("id")).distinct().withColumn("y", F.lit(1))
     edges = made["edges"].select(F.col("supplier_id").alias("src"), F.col("customer_id").alias("dst"))
-    rows = hi.with_neighbours(made["nodes"].select("id", *features), edges, ["news_value", "news_count"])
+    nodes = made["nodes"].select("id", *features)
+    nodes.write.parquet(f"{path}/nodes")  # neighbours' means read them three times
+    rows = hi.with_neighbours(spark.read.schema(nodes.schema).parquet(f"{path}/nodes"), edges, ["news_value", "news_count"])
     rows = rows.join(warned.hint("merge"), "id", "left").na.fill({"y": 0}).withColumn("split", F.when(F.col("id") % 5 < 3, "train").when(F.col("id") % 5 == 3, "validation").otherwise("test"))
-    rows.write.parquet(path)
+    rows.repartition(parts(companies), "id").sortWithinPartitions("id").write.parquet(f"{path}/rows")  # a file is one task of every fit
     used = [*features, "mean_news_value", "mean_news_count"]
-    runs, _ = mo.fit_and_select(spark.read.schema(rows.schema).parquet(path), used, ablations=("full", "no_news", "no_vision"), rounds=6)
+    runs, _ = mo.fit_and_select(spark.read.schema(rows.schema).parquet(f"{path}/rows"), used, ablations=("full", "no_news", "no_vision"), rounds=6)
     return runs.select("architecture", "ablation", "best_step", "split", "n", "positives", r6("f1"), r6("roc_auc"), r6("brier"))
 
 

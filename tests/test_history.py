@@ -88,3 +88,10 @@ def test_the_test_split_never_selects(spark, learnt):
 
 def test_staged_brier_of_nothing(spark):
     assert hi.staged_brier(spark.createDataFrame([], "y int, stages array<double>")).count() == 0
+
+
+def test_metrics_do_not_score_again(spark, learnt):
+    """m7: each run's predictions are written once, and all metrics read them."""
+    runs, _ = mo.fit_and_select(learnt, ["news_value", "ais_value"], ("logistic",), ablations=("full", "no_news"), rounds=2)
+    assert runs.count() == 6 and runs.inputFiles() and all("/scored-" in f for f in runs.inputFiles())
+    assert "UDF" not in runs._jdf.queryExecution().toString()
