@@ -531,3 +531,16 @@ def test_streams(spark, tmp_path):
     both(spark.createDataFrame([("d", None)], "id string, reason string"), 1)
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/bad").collect()] == [("b", "why", 0)]
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/good").collect()) == ["a", "c", "d"]
+
+
+def test_references_are_read_in_spark(spark):
+    """f4: as html.unescape, whatever stands after an &; no page goes through Python."""
+    import html as entities
+    import random
+
+    rng = random.Random(11)
+    parts = ["&", "&amp", "&amp;", "&ampx", "&notit;", "&notin;", "&#38", "&#x26;", "&#0;", "&#13;", "&#128;", "&#x81;", "&#11;", "&#xD800;", "&#xFDD0;", "&#x1FFFE;", "&#x10FFFF;", "&#x110000;", "&#99999999999999999999;", "&#xFEFF;", "&#x1F600;", "&#0000065;", "&#xffg", "&#", "&#x;", "&acE;", "&NotEqualTilde;", "&b=2", "é", "😀", ";", " ", "x", "<", "#", "\\", "$1", "&CounterClockwiseContourIntegral;", "&eacutes"]
+    texts = ["", "&", "plain", *parts, *("".join(rng.choice(parts) for _ in range(rng.randint(2, 12))) for _ in range(400)), *(f"&#{n};" for n in range(200)), *(f"&{n}" for n in entities.entities.html5)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "h string").select("h", ft.unescaped(F.col("h")).alias("t"))
+    assert "Python" not in rows._jdf.queryExecution().toString()
+    assert {r.h: r.t for r in rows.collect()} == {t: entities.unescape(t) for t in texts} | {None: None}
