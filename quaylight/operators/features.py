@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import age, finite, industry_features, log_count, window_days
 from ..schemas import FEATURE_SCHEMA, SOURCES, TARGET
+from ..session import shared_folder
 from ..sources.sinks import write_snapshot
 from .evidence import valid_edges
 from .metrics import split_problems
@@ -239,7 +240,9 @@ def split_snapshots(split: DataFrame) -> DataFrame:
 def record_snapshot(companies: DataFrame, signals: DataFrame, relationships: DataFrame, links: DataFrame, as_of: Column, path: str, schema: str = FEATURE_SCHEMA, most: int = MOST_COMPANIES) -> DataFrame:
     """The features as of now, assembled from recent or referenced signals, refused without companies or with over `most`, appended under their content id."""
     used = recent_or_referenced(bitemporal(signals, as_of), relationships.where("status = 'approved'"), as_of)
-    nodes = assemble(companies, used, relationships, links, as_of)["nodes"]
+    spark, landed = signals.sparkSession, shared_folder(signals.sparkSession, "used")
+    used.write.parquet(landed)  # own and located signals are summed apart
+    nodes = assemble(companies, spark.read.schema(used.schema).parquet(landed), relationships, links, as_of)["nodes"]
     if not guarded(nodes, most, "companies").limit(1).count():
         raise ValueError("no real companies")
     return write_snapshot(nodes, path, schema)

@@ -152,3 +152,13 @@ def test_runner_ups_are_found_without_all_pairs(spark):
     mentions = hashes.select(F.concat(F.col("name").substr(1, 20), F.lit("x"), F.col("name").substr(21, 20)).alias("mention"))
     rows, most = rows_of(ex.resolve_fuzzy(mentions, hashes))
     assert len(rows) == 1500 and most < 600_000
+
+
+def test_recent_or_referenced_signals_are_read_once(spark):
+    """m2, j19: as the union of both, each id once, null ids and times included; signals stand in the plan once."""
+    old, new = NOW - dt.timedelta(days=200), NOW - dt.timedelta(days=1)
+    signals = spark.createDataFrame([(1, new, "a"), (2, old, "b"), (3, old, "c"), (4, None, "d"), (5, None, "e"), (None, new, "f"), (None, old, "g"), (6, new, "h"), (6, new, "h")], "id long, observed_at timestamp, text string")
+    edges = spark.createDataFrame([(2,), (2,), (4,), (1,), (9,), (None,)], "source_signal_id long")
+    got = rel.recent_or_referenced(signals, edges, F.lit(NOW))
+    assert got.columns == signals.columns and sorted(r.text for r in got.collect()) == ["a", "b", "d", "f", "h"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
