@@ -10,23 +10,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from .jobs import stateful, stores
+
 ACTIVITY = "area string, day date, vessels long, positions long, hours double, slow_share double, usable_vessels long, ratio double, error string"
+DAYS = "area string, at timestamp, vessels long, positions long, first long, last long, slow long, known long"
 DAY_MS = 86_400_000
+#: State partitions of the second job, which gets one row of an area and day.
+FEW = 4
 
 
-def day_totals(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """(area, at, vessels, positions, first, last, slow) of each area and UTC day that the watermark has passed, from positions (area, at, mmsi, sog).
-
-    A day's rows are summed for each vessel first, so a busy area is spread over its vessels and
-    only one row for each vessel and day meets in the second sum. Rows later than `late` are gone.
-    """
+def vessel_days(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """(w, area, mmsi, positions, first, last, slow, known) of each vessel, area and UTC day that the watermark has passed, from positions (area, at, mmsi, sog). Rows later than `late` are gone."""
     us = F.unix_micros("at")
     slow = F.coalesce((F.col("sog") < 1).cast("long"), F.lit(0))
     kept = stream.withWatermark("at", late)
-    one = kept.groupBy(F.window("at", "1 day").alias("w"), "area", "mmsi").agg(F.count("*").alias("positions"), F.min(us).alias("first"), F.max(us).alias("last"), F.sum(slow).alias("slow"), F.count("sog").alias("known"))
-    day = one.groupBy("w", "area").agg(F.count("mmsi").alias("vessels"), F.sum("positions").alias("positions"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("slow").alias("slow"), F.sum("known").alias("known"))
-    return day.select("area", F.window_time("w").alias("at"), "vessels", "positions", "first", "last", "slow", "known")
+    return kept.groupBy(F.window("at", "1 day").alias("w"), "area", "mmsi").agg(F.count("*").alias("positions"), F.min(us).alias("first"), F.max(us).alias("last"), F.sum(slow).alias("slow"), F.count("sog").alias("known"))
+
+
+def day_totals(vessels: DataFrame) -> DataFrame:
+    """DAYS (`at` begins the day) of all vessels of some days. A busy area is spread over its vessels, of which only one row for each day meets here."""
+    day = vessels.groupBy("w", "area").agg(F.count("mmsi").alias("vessels"), F.sum("positions").alias("positions"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("slow").alias("slow"), F.sum("known").alias("known"))
+    return day.select("area", F.col("w.start").alias("at"), "vessels", "positions", "first", "last", "slow", "known")
+
+
+def keep_days(path: str):
+    """A foreachBatch sink of `vessel_days`: totals of the days that a batch ends.
+
+    All vessels of a day leave the stream in the batch whose watermark passes its end, so their sum
+    needs no state. A batch is a folder, overwritten when it is run again.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        day_totals(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 class Activity(StatefulProcessor):
@@ -47,13 +64,15 @@ class Activity(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat(list(rows)).sort_values("at")  # a day is one row
         out = []
+        kept = {k[0]: v for k, v in self.days.iterator()}
         for r in came.itertuples():
             day = int(r.at.value // 1000 // (DAY_MS * 1000))
             hours = (r.last - r.first) / 3.6e9
-            self.days.updateValue((day,), (int(r.vessels), float(hours)))
-            kept = {k[0]: v for k, v in self.days.iterator()}
+            kept[day] = int(r.vessels), float(hours)
+            self.days.updateValue((day,), kept[day])
             for old in [d for d in kept if d < day - self.before]:
                 self.days.removeKey((old,))
+                del kept[old]
             span = [kept.get(day - back) for back in range(self.before + 1)]
             good = all(v is not None and v[1] >= self.least_hours for v in span)
             usual = median(v[0] for v in span[1:]) if good else None
@@ -76,22 +95,26 @@ class Activity(StatefulProcessor):
         pass
 
 
-def activity(stream: DataFrame, before: int = 7, least_hours: float = 4.0, late: str = "1 day") -> DataFrame:
-    """ACTIVITY of each area and finished day of positions (area, at, mmsi, sog)."""
+def activity(days: DataFrame, before: int = 7, least_hours: float = 4.0) -> DataFrame:
+    """ACTIVITY of each area and day of a stream of DAYS, whose later batches bring later days."""
     if not 3 <= before <= 30:
         raise ValueError("3 to 30 days")
-    days = day_totals(stream, late)
-    return days.groupBy("area").transformWithStateInPandas(Activity(before, least_hours), ACTIVITY, "Append", "EventTime")
-
-
-def follow_activity(stream: DataFrame, path: str, checkpoint: str, **settings) -> StreamingQuery:
-    """Start the job over what has landed since its last run; it ends by itself. Its state needs the RocksDB store, which is set for this query alone."""
-    conf = stream.sparkSession.conf
-    name = "spark.sql.streaming.stateStore.providerClass"
-    was = conf.get(name, None)
-    conf.set(name, ROCKS)
-    try:
-        out = activity(stream, **settings)
-        return out.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start()
-    finally:
-        conf.unset(name) if was is None else conf.set(name, was)
+    return days.withWatermark("at", "0 seconds").groupBy("area").transformWithStateInPandas(Activity(before, least_hours), ACTIVITY, "Append", "EventTime")
+
+
+def follow_activity(stream: DataFrame, path: str, checkpoint: str, before: int = 7, least_hours: float = 4.0, late: str = "1 day", partitions: int | None = None) -> StreamingQuery:
+    """Sum up the days that what has landed since the last run ends, then start the job over these days; it ends by itself.
+
+    Days go from the first job (`partitions` of state, or as many as `stores` says) to the second one by a
+    table beside their checkpoints. It is read once the first has ended, so no batch there is written again after that.
+    """
+    spark, days = stream.sparkSession, f"{checkpoint}/finished"
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    if old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(old):
+        raise RuntimeError("the checkpoint is of the earlier form, one job for all: start with a new one")
+    with stateful(spark, partitions or stores(spark)):
+        first = vessel_days(stream, late).writeStream.foreachBatch(keep_days(days)).outputMode("append").option("checkpointLocation", f"{checkpoint}/days").trigger(availableNow=True).start()
+    first.awaitTermination()
+    with stateful(spark, min(FEW, partitions or stores(spark))):
+        out = activity(spark.readStream.schema(DAYS).option("recursiveFileLookup", True).parquet(days), before, least_hours)
+        return out.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint}/areas").trigger(availableNow=True).format("parquet").option("path", path).start()

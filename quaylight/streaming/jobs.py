@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,31 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.buckets import BucketTable
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stores(spark: SparkSession) -> int:
+    """State partitions of a new job: two for each core, or those of the session's shuffles where they are fewer.
+
+    Each of them is loaded and committed in each batch, whatever it holds, and a store of RocksDB
+    may be larger than memory: their number follows the cluster, not the size of the tables.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def stateful(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Settings that a query started inside takes along: the RocksDB store and its partitions. A query that goes on keeps those of its first start."""
+    set_to = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(partitions)}
+    was = {k: spark.conf.get(k, None) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
 def once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", name: str | None = None) -> StreamingQuery:
     """Run over what has landed since the last run, then stop; scheduled again for the next files."""

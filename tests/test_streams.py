@@ -110,3 +110,51 @@ def test_activity_equals_the_batch_version(spark, tmp_path):
             assert (r.usable_vessels, r.ratio, r.error) == (ratio[d.day].vessels, ratio[d.day].ratio, ratio[d.day].error)
             checked += 1
     assert checked == len(got) >= 24 and any(r.ratio for r in got.values()) and any(r.error for r in got.values())
+
+
+def test_activity_keeps_few_states(spark, tmp_path):
+    """r5: state partitions follow the cores, not the shuffles of the session, whose settings are put back; both runs give each day once."""
+    from quaylight.streaming import activity
+
+    shuffles, provider = "spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass"
+    was, store = spark.conf.get(shuffles), spark.conf.get(provider)
+    spark.conf.set(shuffles, "32")
+    try:
+        for days in (range(0, 6), range(6, 12)):
+            rows = [(f"a{i % 5}", (START // DAY + d) * DAY + i * DAY // 50, i, 0.5) for d in days for i in range(50)]
+            spark.createDataFrame(rows, "area string, us long, mmsi long, sog double").select("area", F.timestamp_micros("us").alias("at"), "mmsi", "sog").coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+            stream = spark.readStream.schema("area string, at timestamp, mmsi long, sog double").parquet(f"{tmp_path}/landed")
+            activity.follow_activity(stream, f"{tmp_path}/out", f"{tmp_path}/state", before=3).awaitTermination()
+        assert spark.conf.get(shuffles) == "32" and spark.conf.get(provider) == store
+    finally:
+        spark.conf.set(shuffles, was)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    first = min(r.day for r in got)
+    assert sorted((r.area, (r.day - first).days, r.vessels, r.positions) for r in got) == [(f"a{k}", d, 10, 10) for k in range(5) for d in range(10)]
+    assert all((r.ratio == 1.0) == ((r.day - first).days >= 3) for r in got)
+    states = [p for p in tmp_path.glob("state/**/state/*/*") if p.name.isdigit()]
+    assert 0 < len(states) <= 8 + activity.FEW
+
+
+def test_days_of_a_batch_are_written_once(spark, tmp_path):
+    """A batch that is run again takes the place of its folder; vessels without a number count as positions only."""
+    from quaylight.streaming import activity
+
+    at = lambda us: (us, us + DAY)
+    rows = [(at(START), "x", 1, 2, 5, 9, 1, 2), (at(START), "x", None, 3, 4, 8, 0, 0), (at(START), None, 1, 1, 6, 6, 0, 1)]
+    made = spark.createDataFrame([(*w, *r) for w, *r in rows], "s long, e long, area string, mmsi long, positions long, first long, last long, slow long, known long")
+    batch = made.select(F.struct(F.timestamp_micros("s").alias("start"), F.timestamp_micros("e").alias("end")).alias("w"), *made.columns[2:])
+    for _ in range(2):
+        activity.keep_days(f"{tmp_path}/days")(batch, 0)
+    got = spark.read.schema(activity.DAYS).option("recursiveFileLookup", True).parquet(f"{tmp_path}/days")
+    assert {tuple(r) for r in got.select("area", F.unix_micros("at"), *got.columns[2:]).collect()} == {("x", START, 1, 5, 4, 9, 1, 2), (None, START, 1, 1, 6, 6, 0, 1)} and got.count() == 2
+
+
+def test_an_earlier_checkpoint_is_refused(spark, tmp_path):
+    from quaylight.streaming import activity
+
+    (tmp_path / "state/offsets").mkdir(parents=True)
+    (tmp_path / "landed").mkdir()
+    stream = spark.readStream.schema("area string, at timestamp, mmsi long, sog double").parquet(f"{tmp_path}/landed")
+    with pytest.raises(RuntimeError, match="earlier form"):
+        activity.follow_activity(stream, f"{tmp_path}/out", f"{tmp_path}/state")
