@@ -109,9 +109,11 @@ def follow_activity(stream: DataFrame, path: str, checkpoint: str, before: int =
     table beside their checkpoints. It is read once the first has ended, so no batch there is written again after that.
     """
     spark, days = stream.sparkSession, f"{checkpoint}/finished"
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
-    if old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(old):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = at(days).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(at(f"{checkpoint}/offsets")):
         raise RuntimeError("the checkpoint is of the earlier form, one job for all: start with a new one")
+    files.mkdirs(at(days))  # nothing may have landed
     with stateful(spark, partitions or stores(spark)):
         first = vessel_days(stream, late).writeStream.foreachBatch(keep_days(days)).outputMode("append").option("checkpointLocation", f"{checkpoint}/days").trigger(availableNow=True).start()
     first.awaitTermination()

@@ -158,3 +158,12 @@ def test_an_earlier_checkpoint_is_refused(spark, tmp_path):
     stream = spark.readStream.schema("area string, at timestamp, mmsi long, sog double").parquet(f"{tmp_path}/landed")
     with pytest.raises(RuntimeError, match="earlier form"):
         activity.follow_activity(stream, f"{tmp_path}/out", f"{tmp_path}/state")
+
+
+def test_activity_of_nothing_landed(spark, tmp_path):
+    from quaylight.streaming import activity
+
+    (tmp_path / "landed").mkdir()
+    stream = spark.readStream.schema("area string, at timestamp, mmsi long, sog double").parquet(f"{tmp_path}/landed")
+    activity.follow_activity(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert not list((tmp_path / "out").glob("*.parquet"))
