@@ -2,19 +2,23 @@
 
 A text's set holds the 64-bit hashes of its distinct word shingles. Equal sets are one node.
 All sets are ordered by one global order, frequent shingles last, and each set is indexed under
-its prefix: two sets with 100 * intersection >= percent * union share a prefix shingle.
+its prefix: two sets with 100 * intersection >= percent * union share COMMON prefix shingles, or as
+many as they need to have in common, if those are fewer.
 
 Index level. The list of a shingle is sorted by set size and position and read in steps: a block
 of entries whose sizes are out of reach is skipped whole, entries are skipped by the positions of
 the shared shingle (it bounds the overlap left and right of it) and by a sketch of each set (counts
 of its shingles in bins of the hash; 32 bins, and four times as many for each fourfold size over
 `longest`), which bounds the overlap from above. `longest` follows the similarity: up to it, two
-sets without a common shingle miss each other in twice as many bins as a link may. Entries that
-are alone in their list, as most are, or have no set in reach of their size, are dropped before any
-sketch travels; of the others, long sets send their sketch once to each task, short ones with each
-entry. In long lists one set leads: what passes
-with the leader is settled against it in one step, and only the rest is compared further. The number
-of parts follows the number of entries (ENTRIES in each, about).
+sets without a common shingle miss each other in twice as many bins as a link may. No sketch travels
+with an entry of a list of up to SHORT, as nearly all are: such lists give pairs, a pair of sets is
+counted over all lists, and one that meets less than COMMON times, as most chance pairs do, is
+dropped (shingles of longer lists, which are not counted, may make up for what it misses). The others
+meet the two sketches in joins, once for each pair and in batches, so no task holds the sketches of a
+part. In longer lists, whose entries get a sketch (of long sets once for each task), one set leads:
+what passes with the leader is settled against it in one step, and only the rest is compared further.
+The number of parts follows the number of entries (ENTRIES in each, about) and the bytes of their
+sketches (BYTES at most, but for one list); a task has one part.
 
 Answer level. What passes makes candidate groups (connected components of the survivors), each
 with all its sets together. Within a group a set leads: its overlaps with all others are computed
@@ -55,7 +59,7 @@ from .common import mix, partitions_for, store, strings, table
 from .graph import components
 
 WORDS, PERCENT = 3, 90
-OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, LANDMARKS, SALTS, FAN = 100, 500_000, 48, 512, 300_000, 1024, 32, 1500, 200_000, 8, 16, 16
+OFTEN, MOST, SHORT, GROUP, SHINGLES, OTHERS, BINS, LONG, ENTRIES, BYTES, LANDMARKS, SALTS, FAN, COMMON = 100, 500_000, 48, 512, 300_000, 1024, 32, 1500, 200_000, 32 << 20, 8, 16, 16, 4
 U = np.uint64
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=U)
 
@@ -94,6 +98,7 @@ def identity(s: np.ndarray) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
+    """Shingles of a set of which a set that links with it holds one; each further one asks for one more."""
     return n - (n * percent + 99) // 100 + 1
 
 
@@ -189,7 +194,7 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
                     continue
                 known.add(node)
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                found.append((np.r_[s[~late], s[late]][: prefix_length(len(s), percent)], node, len(s)))
+                found.append((np.r_[s[~late], s[late]][: prefix_length(len(s), percent) + COMMON - 1], node, len(s)))
                 size += len(found[-1][0])
                 if size > 200_000:
                     yield made(found)
@@ -200,10 +205,45 @@ def postings(docs: DataFrame, often: np.ndarray, words: int, percent: int, parts
     return docs.select("text").mapInArrow(each, ENTRY)
 
 
+def dealt(index: DataFrame, parts: int) -> DataFrame:
+    """One part for each task: hashes of the part's number would bring up to seven together."""
+    return index.repartitionById(parts, "part")
+
+
+def within(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes a, b and the positions p, q of a common shingle leave two sets a chance, and the overlap that they need."""
+    need = -(-percent * (a + b) // (100 + percent))
+    ok = (np.minimum(p, q) + 1 + np.minimum(a - 1 - p, b - 1 - q)) >= need
+    return ok & (np.minimum(a, b) * 100 >= percent * np.maximum(a, b)), need
+
+
+def steps(n: np.ndarray, end_of: np.ndarray, i: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries i, of lists of up to SHORT that end at end_of, with those behind them within reach of their size."""
+    for d in range(1, SHORT):
+        i = i[i + d < end_of[i]]
+        i = i[n[i] * 100 >= percent * n[i + d]]  # sizes only grow: the rest of the list is skipped
+        if not len(i):
+            break
+        for part in np.array_split(i, 1 + len(i) // 200_000):
+            yield part, part + d
+
+
+FOUND = "shingle long, node long, n int, at int, a long, b long, need int, k long"
+
+
 def shared(index: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Entries (shingle, node, n, at) whose list holds another set within reach of their size. Most shingles are in one set only."""
+    """Two kinds of rows: of lists of up to SHORT entries the pairs (a, b, need, k) that sizes and positions leave a chance, which
+    meet k times here; of longer ones the entries (shingle, node, n, at) whose list holds another set within reach of their size.
+    Most shingles are in one set only."""
     names = ["shingle", "node", "n", "at"]
 
+    def rows(entry: list[np.ndarray], pair: list[np.ndarray]) -> pa.RecordBatch:
+        kinds = [x.split()[1] for x in FOUND.split(", ")]
+        kinds = [pa.int64() if x == "long" else pa.int32() for x in kinds]
+        size = len((entry or pair)[0])
+        columns = [pa.array(x).cast(t) if x is not None else pa.nulls(size, t) for x, t in zip([*(entry or [None] * 4), *(pair or [None] * 4)], kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FOUND.split(", ")])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.select(names) for b in batches]
         if not held:
@@ -211,16 +251,84 @@ def shared(index: DataFrame, percent: int, parts: int) -> DataFrame:
         got = pa.Table.from_batches(held)
         s, node, n, at = (got.column(c).to_numpy() for c in names)
         order = np.lexsort((node, at, n, s))
-        s, node, n, at = s[order], node[order], n[order].astype(np.int64), at[order]
+        s, node, n, at = s[order], node[order], n[order].astype(np.int64), at[order].astype(np.int64)
         order = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])][: len(s)])
         s, node, n, at = s[order], node[order], n[order], at[order]
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+        size = np.diff(np.r_[starts, len(s)])
+        end_of, long = np.repeat(starts + size, size), np.repeat(size > SHORT, size)
         near = (s[1:] == s[:-1]) & (n[:-1] * 100 >= percent * n[1:])  # sizes grow within a list
-        keep = np.flatnonzero(np.r_[near, False] | np.r_[False, near]) if len(s) else np.zeros(0, np.int64)
+        keep = np.flatnonzero(long & (np.r_[near, False] | np.r_[False, near])) if len(s) else np.zeros(0, np.int64)
         for lo in range(0, len(keep), 100_000):
             k = keep[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s[k]), pa.array(node[k]), pa.array(n[k].astype(np.int32)), pa.array(at[k])], names=names)
+            yield rows([s[k], node[k], n[k], at[k]], [])
+
+        sets, first, name = np.unique(node, return_index=True, return_inverse=True)
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]  # pairs as numbers, and how often they met
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            pair, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return pair, np.bincount(at, weights=np.concatenate([x[1] for x in held]), minlength=len(pair)).astype(np.int64)
+
+        def made(pair: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(pair), 100_000):
+                a, b = np.divmod(pair[lo : lo + 100_000], len(sets))
+                need = -(-percent * (n[first[a]] + n[first[b]]) // (100 + percent))
+                yield rows([], [sets[a], sets[b], need, k[lo : lo + 100_000]])
+
+        size = 0
+        for i, j in steps(n, end_of, np.flatnonzero(~long), percent):
+            ok = within(n[i], n[j], at[i], at[j], percent)[0]
+            x, y = name[i[ok]], name[j[ok]]
+            held.append((np.minimum(x, y) * len(sets) + np.maximum(x, y), np.ones(len(x), np.int64)))
+            size += len(x)
+            if size > 1_000_000:
+                held, size = [summed()], 0
+                if len(held[0][0]) > 1_000_000:
+                    yield from made(*held.pop())
+                    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        yield from made(*summed())
 
-    return index.repartition(parts, "part").mapInArrow(each, "shingle long, node long, n int, at int")
+    return dealt(index, parts).mapInArrow(each, FOUND)
+
+
+def often_met(found: DataFrame) -> DataFrame:
+    """Pairs (a, b, need) that meet COMMON times, or as often as they need to; each shingle of a longer list that both may hold counts too."""
+    pairs = store(found.where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("k").alias("k")), "met")
+    asked = F.least("need", F.lit(COMMON))
+    hidden = found.where(F.col("shingle").isNotNull()).groupBy("node").agg(F.count("*").alias("h"))
+    of = lambda x: hidden.select(F.col("node").alias(x), F.col("h").alias(f"h_{x}")).hint("merge")
+    rest = pairs.where(F.col("k") < asked).join(of("a"), "a").join(of("b"), "b").where(F.col("k") + F.least("h_a", "h_b") >= asked)
+    return pairs.where(F.col("k") >= asked).select("a", "b", "need").union(rest.select("a", "b", "need"))
+
+
+def most(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What two sketches, row by row, leave as the overlap of sets of n and m at most."""
+    bins, got = min(x.shape[1], y.shape[1]), []
+    for z, by in ((x, scale(n)), (y, scale(m))):
+        if z.shape[1] > bins:  # the finer one is added up to the coarser one's bins
+            z = z.reshape(len(z), bins, -1).sum(axis=2, dtype=np.int32)
+        got.append(z if (by == 1).all() else z.astype(np.int64) * by[:, None])
+    return np.minimum(*got).sum(axis=1, dtype=np.int64)
+
+
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches leave the overlap that they need."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, need, n, m = (batch.column(c).to_numpy() for c in ("a", "b", "need", "n_a", "n_b"))
+            width = [pc.binary_length(batch.column(c)).to_numpy() for c in ("s_a", "s_b")]
+            ok = np.zeros(len(a), bool)
+            for p, q in np.unique(np.stack(width, axis=1), axis=0).tolist():
+                at = np.flatnonzero((width[0] == p) & (width[1] == q))
+                for part in np.array_split(at, 1 + len(at) * max(p, q) // 8_000_000):
+                    x, y = (np.frombuffer(b"".join(batch.column(c).take(pa.array(part)).to_pylist()), dtype=np.uint8).reshape(len(part), w) for c, w in (("s_a", p), ("s_b", q)))
+                    ok[part] = most(x, y, n[part].astype(np.int64), m[part].astype(np.int64)) >= need[part]
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(each, "a long, b long")
 
 
 def sketched(entries: DataFrame, nodes: DataFrame, parts: int, long_from: int) -> DataFrame:
@@ -297,21 +405,13 @@ class Lists:
             for q in np.unique(lj[li == p]).tolist():
                 at = np.flatnonzero((li == p) & (lj == q))
                 for part in np.array_split(at, 1 + len(at) * self.sketches[max(p, q)].shape[1] // 8_000_000):
-                    bins, got = min(self.sketches[p].shape[1], self.sketches[q].shape[1]), []
-                    for k, e in ((p, i), (q, j)):
-                        z, by = self.sketches[k][self.row[e[part]]], scale(self.n[e[part]])
-                        if z.shape[1] > bins:  # the finer one is added up to the coarser one's bins
-                            z = z.reshape(len(part), bins, -1).sum(axis=2, dtype=np.int32)
-                        got.append(z if (by == 1).all() else z.astype(np.int64) * by[:, None])
-                    out[part] = np.minimum(*got).sum(axis=1, dtype=np.int64)
+                    x, y = i[part], j[part]
+                    out[part] = most(self.sketches[p][self.row[x]], self.sketches[q][self.row[y]], self.n[x], self.n[y])
         return out
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether sizes, positions and sketches leave entries i and j a chance."""
-        a, b, p, q = self.n[i], self.n[j], self.at[i], self.at[j]
-        need = -(-self.percent * (a + b) // (100 + self.percent))
-        ok = (np.minimum(p, q) + 1 + np.minimum(a - 1 - p, b - 1 - q)) >= need
-        ok &= (np.minimum(a, b) * 100 >= self.percent * np.maximum(a, b))
+        ok, need = within(self.n[i], self.n[j], self.at[i], self.at[j], self.percent)
         at = np.flatnonzero(ok)
         if len(at):
             ok[at] = self.most(i[at], j[at]) >= need[at]
@@ -324,15 +424,9 @@ class Lists:
         end_of = np.repeat(ends, ends - edges)
         long = np.repeat(ends - edges > SHORT, ends - edges)
         out = []
-        i = np.flatnonzero(~long)
-        for d in range(1, SHORT):
-            i = i[i + d < end_of[i]]
-            i = i[self.n[i] * 100 >= self.percent * self.n[i + d]]  # sizes only grow: the rest of the list is skipped
-            if not len(i):
-                break
-            for part in np.array_split(i, 1 + len(i) // 200_000):
-                ok = part[self.near(part, part + d)]
-                out.append(np.stack([self.node[ok], self.node[ok + d]], axis=1))
+        for i, j in steps(self.n, end_of, np.flatnonzero(~long), self.percent):
+            ok = self.near(i, j)
+            out.append(np.stack([self.node[i[ok]], self.node[j[ok]]], axis=1))
         for lo, hi in zip(edges[ends - edges > SHORT], ends[ends - edges > SHORT], strict=True):
             out.append(self.led(np.arange(lo, hi)))
         got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -374,7 +468,7 @@ def candidates(index: DataFrame, percent: int, parts: int, long_from: int) -> Da
             got = Lists(pa.Table.from_batches(held), percent, long_from).pairs()
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return index.repartition(parts, "part").mapInArrow(each, "a long, b long")
+    return dealt(index, parts).mapInArrow(each, "a long, b long")
 
 
 class Cell:
@@ -472,12 +566,16 @@ def labelled(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     row = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "text_hash"))
     nodes = read.where(F.col("node").isNotNull()).groupBy("node").agg(row.alias("r"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = store(nodes.select("node", F.col("r.doc_id").alias("first"), F.col("r.text_hash").alias("first_hash"), "n", "sketch"), "nodes")
-    entries = nodes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("n")).first()["n"] or 0
+    entries = nodes.agg(F.sum(F.least("n", F.col("n") - F.ceil(F.col("n") * percent / 100) + COMMON)).alias("n")).first()["n"] or 0
     parts, long_from = max(partitions_for(docs.sparkSession), -(-int(entries) // ENTRIES)), longest(percent)
-    entries = store(shared(postings(docs, frequent(read), words, percent, parts), percent, parts), "entries")
-    many = entries.count()
-    parts = max(-(-many // ENTRIES), min(partitions_for(docs.sparkSession), -(-many // (ENTRIES // 10))), 1)
-    survivors = store(candidates(sketched(entries, nodes, parts, long_from), percent, parts, long_from).distinct(), "survivors")
+    found = store(shared(postings(docs, frequent(read), words, percent, parts), percent, parts), "entries")
+    pairs = store(often_met(found), "pairs")
+    entries = found.where(F.col("shingle").isNotNull()).select("shingle", "node", "n", "at")
+    bins = BINS * F.pow(F.lit(4), F.greatest(F.ceil(F.log2(F.col("n") / long_from) / 2), F.lit(0)))
+    many, size = entries.agg(F.count("*"), F.coalesce(F.sum(bins), F.lit(0.0))).first()
+    parts = max(-(-many // ENTRIES), math.ceil(size / BYTES), min(partitions_for(docs.sparkSession), -(-many // (ENTRIES // 10))), 1)
+    long = candidates(sketched(entries, nodes, parts, long_from), percent, parts, long_from)
+    survivors = store(alike(pairs, nodes).union(long).distinct(), "survivors")
     nodes = nodes.drop("sketch")
     groups = components(survivors).select(F.col("id").alias("node"), F.col("label").alias("grp"))
     groups = store(groups.join(nodes.hint("merge"), "node"), "groups")

@@ -618,3 +618,26 @@ def test_pipeline_stages(spark, tmp_path, none):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_jaccard_lists_bring_no_sketches_of_chance_pairs(spark, monkeypatch):
+    """A task has one part of the lists; long texts that share a sentence by chance, in short lists, send no sketch; near copies do, once for each pair."""
+    index = spark.range(6000).select((F.col("id") % 60).cast("int").alias("part"))
+    held = jaccard.dealt(index, 60).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("part").alias("parts"), F.count("*").alias("n")).collect()
+    assert {(r.parts, r.n) for r in held} == {(1, 100)} and len(held) == 60
+
+    sent = {}
+    seen = lambda name, of: monkeypatch.setattr(jaccard, name, lambda rows, *a: sent.__setitem__(name, rows.count()) or of(rows, *a))
+    seen("sketched", jaccard.sketched)
+    seen("alike", jaccard.alike)
+    store = jaccard.store
+    monkeypatch.setattr(jaccard, "store", lambda rows, name: [out := store(rows, name), name == "met" and sent.__setitem__(name, out.count())][0])
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(600))) for i in range(40)]
+    rows = [(i, t + f" common words of {i // 2} here") for i, t in rows]  # each meets one other in one or two shingles
+    rows += [(100 + i, t + " more") for i, t in rows[:3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: w for (i, _), w in zip(rows, brute.components(rows, 3, 90), strict=True)}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == want
+    assert sent.pop("met") > 5 and sent == {"sketched": 0, "alike": 3} and want[100][1] == 0
