@@ -544,3 +544,19 @@ def test_references_are_read_in_spark(spark):
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "h string").select("h", ft.unescaped(F.col("h")).alias("t"))
     assert "Python" not in rows._jdf.queryExecution().toString()
     assert {r.h: r.t for r in rows.collect()} == {t: entities.unescape(t) for t in texts} | {None: None}
+
+
+def test_page_text_of_cut_references(spark, tmp_path):
+    """f4: titles that are cut within a reference, as the query's SQL has them."""
+    import duckdb
+
+    from quaylight.plans.queries import QUERIES, SQL
+
+    cuts = ["&", "&a", "&am", "&amp", "&quo", "&quot", "&q", "&copy", "&middo", "&middot", "&nbsp", "&lt", "&gt", "&#39", "&#3", "&#", "&ampx", "&quotx", "&amp; &quot; &lt; &gt; &copy; &middot; &#39;"]
+    rows = [(i, f"<title>of {c}</title><p>{'word ' * 80}{c} {c}</p>") for i, c in enumerate(cuts)]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(duck.execute(SQL["f4_page_text"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["f4_page_text"](spark, str(tmp_path)).collect()) == want and len(want) == len(cuts)
+    assert one(spark, ft.unescaped(F.col("h")), h="&quot &#39") == "\" '"
